@@ -3,9 +3,9 @@
 Two forms. ``struct_digest`` hashes one bounded record: the canonical compact JSON of a
 struct. ``set_digest`` hashes an unbounded set of rows without ordering or collecting them:
 every row is hashed with SHA-256, the hash is cut into eight 32-bit lanes, and each lane is
-summed. Sums are partial aggregates, so only one small row per task is shuffled, and any
-number of sets can share one scan by passing a ``when`` condition. Two sets get the same
-digest exactly when their row counts and all eight sums agree.
+summed. Sums are partial aggregates, so only one small row per task and set is shuffled, and
+any number of sets can share one scan. Two sets get the same digest exactly when their row
+counts and all eight sums agree.
 """
 
 from __future__ import annotations
@@ -39,15 +39,22 @@ def struct_digest(*columns: Column) -> Column:
     return text_digest(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
-def lane_sums(row_key: Column, when: Column | None = None) -> list[Column]:
-    """The eight lane sums over rows where ``when`` holds, named by the caller."""
-    hashed = F.sha2(row_key.cast("string").cast("binary"), 256)
-    lanes = []
-    for lane in range(LANES):
-        part = F.conv(F.substring(hashed, 1 + lane * LANE_HEX, LANE_HEX), 16, 10).cast(LANE_TYPE)
-        kept = part if when is None else F.when(when, part)
-        lanes.append(F.coalesce(F.sum(kept), F.lit(0).cast("decimal(28,0)")))
-    return lanes
+def row_hash(row_key: Column) -> Column:
+    """Hash of one row's key. Project it before aggregating, so it is computed once per row."""
+    return F.sha2(row_key.cast("string").cast("binary"), 256)
+
+
+def lane_sums(hashed: Column) -> list[Column]:
+    """The eight lane sums of a hash column; null hashes are left out."""
+    return [
+        F.coalesce(
+            F.sum(
+                F.conv(F.substring(hashed, 1 + lane * LANE_HEX, LANE_HEX), 16, 10).cast(LANE_TYPE)
+            ),
+            F.lit(0).cast("decimal(28,0)"),
+        )
+        for lane in range(LANES)
+    ]
 
 
 def fold_lanes(label: Column, count: Column, lanes: list[Column]) -> Column:
@@ -56,7 +63,10 @@ def fold_lanes(label: Column, count: Column, lanes: list[Column]) -> Column:
     return text_digest(F.concat_ws("|", *parts))
 
 
-def set_digest(row_key: Column, label: Column, when: Column | None = None) -> Column:
-    """Aggregate expression: the digest of all row keys (where ``when`` holds)."""
-    count = F.count(F.lit(1)) if when is None else F.count_if(when)
-    return fold_lanes(label, count, lane_sums(row_key, when))
+def set_digest(hashed: Column, label: Column) -> Column:
+    """Aggregate expression: the digest of all non-null row hashes of a group."""
+    return fold_lanes(label, F.count(hashed), lane_sums(hashed))
+
+
+def empty_set_digest(label: Column) -> Column:
+    return fold_lanes(label, F.lit(0), [F.lit(0)] * LANES)
