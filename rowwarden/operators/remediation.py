@@ -188,9 +188,18 @@ def recheck(planned: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def quarantine_rows(
-    registry: Registry, check_id: str, action_id: str, frames: Frames, run_id: str | Column
+    registry: Registry,
+    check_id: str,
+    action_id: str,
+    frames: Frames,
+    run_id: str | Column,
+    pk_hash: bool = False,
 ) -> DataFrame | None:
-    """Copies of the target rows: (run_id, table_name, pk_json, reason, payload)."""
+    """Copies of the target rows: (run_id, table_name, pk_json, reason, payload).
+
+    ``pk_hash`` adds the hash the target fingerprint is made of, so that the copy itself can be
+    checked against the plan.
+    """
     targets = target_rows(registry, check_id, action_id, frames)
     if targets is None or action_id == "null_fill":
         return None
@@ -202,6 +211,7 @@ def quarantine_rows(
         F.to_json(F.struct(contract.single_key), keep).alias("pk_json"),
         F.lit(action_id).alias("reason"),
         F.to_json(F.struct(*targets.columns), keep).alias("payload"),
+        *([row_hash(F.col(contract.single_key)).alias("pk_hash")] if pk_hash else []),
     )
 
 
@@ -222,8 +232,3 @@ def notices(results: DataFrame, policies: DataFrame) -> DataFrame:
     return results.filter(F.col("status") == "fail").join(F.broadcast(chosen), "check_id").select(
         *keys, "check_id", "action_id", "table", "n_failed", "message"
     )
-
-
-def bind(registry: Registry, spark: SparkSession) -> DataFrame:
-    """Every declared policy with its derived parameters, ready to join with requests."""
-    return registry.policies_frame(spark)
