@@ -211,7 +211,7 @@ def failure_samples(
     registry: Registry, frames: Frames, check_ids: Sequence[str] | None = None,
     limit: int = SAMPLE_DEFAULT,
 ) -> DataFrame:
-    """Up to ``limit`` failing rows per check as (check_id, position, sample JSON).
+    """Up to ``limit`` failing rows per check as (check_id, row_key, sample JSON).
 
     Kept apart from results on purpose: samples are row values. One bounded top-k per check.
     """
@@ -230,7 +230,8 @@ def failure_samples(
                          {"ignoreNullFields": "false"})
         first = rows.orderBy(*order).limit(limit).select(
             F.lit(spec.check_id).alias("check_id"),
-            F.struct(*order).cast("string").alias("row_key"), body.alias("sample"))
+            F.concat_ws("|", *[F.col(name).cast("string") for name in order]).alias("row_key"),
+            body.alias("sample"))
         parts.append(first)
     empty = spark.createDataFrame([], "check_id string, row_key string, sample string")
     return reduce(DataFrame.unionByName, parts, empty)
