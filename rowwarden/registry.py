@@ -83,6 +83,17 @@ class Registry:
     def check(self, check_id: str) -> CheckSpec:
         return self.checks[check_id]
 
+    def tables_of(self, *check_ids: str) -> list[str]:
+        """The tables a few checks read: their own and those their foreign keys refer to."""
+        tables: list[str] = []
+        for check_id in check_ids:
+            spec = self.check(check_id)
+            key = self.contract(spec.table).foreign_key(spec.column)
+            tables.append(spec.table)
+            if key and spec.dimension == REFERENTIAL_INTEGRITY:
+                tables.append(key[1])
+        return list(dict.fromkeys(tables))
+
     def _contract_or_refuse(self, table: str, path: str) -> TableContract:
         try:
             return self.contract(table)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes shuffles, splits skewed partitions and drops empty branches.
 SETTINGS = {
@@ -40,3 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="rowwarden-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table into the shared checkpoint folder and read it back.
+
+    For results that several later steps use: they are computed once, later plans stay small
+    and know the table's size, and the loss of an executor does not start them again.
+    """
+    spark = frame.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rowwarden/{uuid.uuid4().hex}/{name}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

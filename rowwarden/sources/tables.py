@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +41,13 @@ def jdbc_reader(registry: Registry, options: Mapping[str, str]) -> Reader:
     return read
 
 
-def load_frames(spark: SparkSession, registry: Registry, read: Reader) -> dict[str, DataFrame]:
-    """One lazy frame per contract. A table that does not exist is left out; nothing is read."""
+def load_frames(
+    spark: SparkSession, registry: Registry, read: Reader, tables: Iterable[str] | None = None
+) -> dict[str, DataFrame]:
+    """One lazy frame per contract, or per named table. A table that does not exist is left out;
+    only schemas are read."""
     frames = {}
-    for table in registry.contracts:
+    for table in registry.contracts if tables is None else dict.fromkeys(tables):
         try:
             frames[table] = read(spark, table)
         except AnalysisException as exc:

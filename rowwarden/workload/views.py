@@ -222,9 +222,12 @@ def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str, declared: Registry | None = None) -> dict[str, DataFrame]:
-    """Contracted frames with planted defects."""
-    loaded = load_frames(spark, declared or registry(), parquet_reader(sf_dir))
+def frames(
+    spark: SparkSession, sf_dir: str, declared: Registry | None = None, *, only: list[str] | None = None
+) -> dict[str, DataFrame]:
+    """Contracted frames with planted defects; ``only`` keeps the schemas of other tables unread."""
+    loaded = load_frames(spark, declared or registry(), parquet_reader(sf_dir), only)
     for table, rules in (("orders", ORDERS_COLUMNS), ("pages", PAGES_COLUMNS)):
-        loaded[table] = loaded[table].select(*[F.expr(rule).alias(n) for n, rule in rules.items()])
+        if table in loaded:
+            loaded[table] = loaded[table].select(*[F.expr(rule).alias(n) for n, rule in rules.items()])
     return loaded
