@@ -15,6 +15,7 @@ from rowwarden.contracts import REFERENTIAL_INTEGRITY, SCHEMA_DRIFT, UNIQUENESS,
 from rowwarden.functions.predicates import row_predicate, rule_columns
 from rowwarden.operators.joins import fits_broadcast, key_groups, skew_join
 from rowwarden.registry import Registry
+from rowwarden.session import config_frame
 
 Frames = Mapping[str, DataFrame]
 SAMPLE_DEFAULT, SAMPLE_MOST = 20, 100  # fixed values: sample size and its upper bound
@@ -75,10 +76,10 @@ def drift_frame(registry: Registry, frames: Frames, spark: SparkSession) -> Data
     expected = registry.columns_frame(spark).select("table", "column", F.lit(True).alias("declared"))
     seen = [(table, name) for table in registry.contracts if table in frames
             for name in frames[table].columns]
-    observed = spark.createDataFrame(seen, "table string, column string").withColumn(
+    observed = config_frame(spark, seen, "table string, column string").withColumn(
         "found", F.lit(True)
     )
-    loaded = spark.createDataFrame([(t,) for t in frames], "table string").withColumn(
+    loaded = config_frame(spark, [(t,) for t in frames], "table string").withColumn(
         "loaded", F.lit(True)
     )
     compared = (
@@ -131,7 +132,7 @@ def sample_rows(
         names = frames[spec.table].columns if spec.table in frames else []
         spark = next(iter(frames.values())).sparkSession
         return (
-            spark.createDataFrame(list(enumerate(names)), "position int, column_name string")
+            config_frame(spark, list(enumerate(names)), "position int, column_name string")
             .orderBy("position").limit(limit).select("column_name")
         )
     if spec.dimension == UNIQUENESS:

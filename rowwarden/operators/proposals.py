@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rowwarden.contracts import ACTIONS, ERROR, FAIL
 from rowwarden.operators.joins import HOT_ROWS, skew_join
 from rowwarden.operators.suite import roll_up
-from rowwarden.registry import Registry
+from rowwarden.registry import Registry, canonical_json
 
 # Texts of the default proposer.
 NO_POLICY = "The check has no reviewed executable policy; record an alert only."
@@ -41,23 +41,24 @@ BOUNDED = {
 }
 
 
-def run_failures(results: DataFrame, registry: Registry, spark: SparkSession) -> DataFrame:
+def run_failures(results: DataFrame, registry: Registry) -> DataFrame:
     """(run_id, failed): the run's failed checks as a map check_id -> what may be done about it.
 
     A map holds at most the declared checks, so it stays small for any number of proposals.
     """
-    rules = registry.policies_frame(spark).groupBy("check_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("action_id", "params"))).alias("rules")
-    )
-    declared = registry.checks_frame(spark).select("check_id", F.lit(True).alias("declared"),
-                                                   F.col("table").alias("home"))
-    failed = (
-        results.filter(F.col("status") == FAIL)
-        .join(F.broadcast(declared), "check_id", "left")
-        .join(F.broadcast(rules), "check_id", "left")
-    )
+    declared = []
+    for spec in registry.checks.values():
+        rules = [F.lit(word) for policy in spec.policies for word in (
+            policy.action_id, canonical_json(registry.policy_params(spec, policy.action_id)))]
+        allowed = F.create_map(*rules) if rules else F.create_map()
+        declared += [F.lit(spec.check_id), F.struct(
+            F.lit(spec.table).alias("home"), allowed.cast("map<string,string>").alias("rules"))]
+    known = F.try_element_at(F.create_map(*declared), F.col("check_id"))
+    # one literal per declared check keeps this a plain aggregate, so its size stays estimable
+    failed = results.filter(F.col("status") == FAIL).withColumn("__known", known)
     entry = F.struct(
-        "contract_id", F.coalesce("declared", F.lit(False)).alias("declared"), "home", "rules"
+        "contract_id", F.col("__known").isNotNull().alias("declared"),
+        F.col("__known")["home"].alias("home"), F.col("__known")["rules"].alias("rules"),
     )
     return failed.groupBy("run_id").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("check_id"), entry))).alias("failed")
@@ -86,7 +87,7 @@ def justify(
     One lookup per action by run: the evidence array is judged in place, without exploding it.
     """
     joined = skew_join(
-        actions, run_failures(results, registry, spark), ["run_id"], "left", hot_rows=hot_rows
+        actions, run_failures(results, registry), ["run_id"], "left", hot_rows=hot_rows
     )
     declared_ids = F.array(*[F.lit(check_id) for check_id in registry.checks])
 
@@ -113,20 +114,19 @@ def justify(
         .when(F.exists("__params", lambda value: value.isNull()), "not_declared")
         .when(F.size(distinct) > 1, "incompatible")
     )
-    return judged.select(
+    # staged, so that the verdict is one column and not repeated in every later expression
+    return judged.withColumn("refusal", refusal).select(
         *actions.columns,
         "failed",
-        refusal.alias("refusal"),
-        F.when(refusal.isNull(), F.try_element_at(distinct, F.lit(1))).alias("params"),
+        "refusal",
+        F.when(F.col("refusal").isNull(), F.try_element_at(distinct, F.lit(1))).alias("params"),
         F.array_distinct(F.transform("evidence", lambda item: _hit(item)["home"])).alias("home_tables"),
     )
 
 
 def blocked_reason(refusal: Column) -> Column:
-    mapping = F.lit(None).cast("string")
-    for code, text in REFUSALS.items():
-        mapping = F.when(refusal == code, text).otherwise(mapping)
-    return mapping
+    return F.try_element_at(
+        F.create_map(*[F.lit(word) for pair in REFUSALS.items() for word in pair]), refusal)
 
 
 # -- proposer ----------------------------------------------------------------------------

@@ -19,6 +19,7 @@ from rowwarden.functions.values import fill_literal
 from rowwarden.operators.checks import orphan_rows
 from rowwarden.operators.joins import HOT_ROWS, fits_broadcast, key_groups, skew_join
 from rowwarden.registry import Registry
+from rowwarden.session import config_frame
 
 Frames = Mapping[str, DataFrame]
 # Actions whose targets are the rows matching one condition.
@@ -109,8 +110,9 @@ def _fused(rows: DataFrame, table: str, pk: str,
              set_digest(F.col("__h"), F.lit(table)).alias("target_fingerprint"))
     )
     # every requested policy is in the result, also one without any target row
-    asked = rows.sparkSession.createDataFrame(
-        [(n, check_id, action_id) for n, (check_id, action_id, _) in enumerate(wanted)],
+    asked = config_frame(
+            rows.sparkSession,
+            [(n, check_id, action_id) for n, (check_id, action_id, _) in enumerate(wanted)],
         "position int, check_id string, action_id string",
     )
     return asked.join(found, "position", "left").select(
@@ -160,7 +162,7 @@ def target_sets(
     for table, wanted in fused.items():
         parts.append(_fused(frames[table], table, registry.contract(table).single_key, wanted))
     parts.append(
-        spark.createDataFrame(idle, "check_id string, action_id string, table string").select(
+        config_frame(spark, idle, "check_id string, action_id string, table string").select(
             "*", F.lit(0).cast("bigint").alias("target_count"),
             empty_set_digest(F.col("table")).alias("target_fingerprint"))
     )

@@ -47,6 +47,7 @@ CHECK_FIELDS = (
     "check_id", "table", "column", "dimension", "status", "n_failed", "n_total", "message",
     "contract_id", "predicate",
 )
+from rowwarden.session import config_frame
 COUNTS = "check_id string, n_failed bigint, n_total bigint"
 
 
@@ -186,8 +187,9 @@ def run_suite(registry: Registry, frames: Frames, spark: SparkSession) -> DataFr
         reason = structural_error(registry, spec, schemas)
         if reason:
             errors[spec.check_id] = reason
-    facts = spark.createDataFrame(
-        _schema_facts(registry, frames, errors), f"{COUNTS}, forced string, fixed string"
+    facts = config_frame(
+            spark,
+            _schema_facts(registry, frames, errors), f"{COUNTS}, forced string, fixed string"
     )
     counted = [
         part.select("check_id", F.col("n_failed").cast("bigint"), F.col("n_total").cast("bigint"),
@@ -233,7 +235,7 @@ def failure_samples(
             F.concat_ws("|", *[F.col(name).cast("string") for name in order]).alias("row_key"),
             body.alias("sample"))
         parts.append(first)
-    empty = spark.createDataFrame([], "check_id string, row_key string, sample string")
+    empty = config_frame(spark, [], "check_id string, row_key string, sample string")
     return reduce(DataFrame.unionByName, parts, empty)
 
 

@@ -34,6 +34,7 @@ from rowwarden.plans.admission import (
 from rowwarden.plans.compiler import policy_drift
 from rowwarden.registry import Registry
 from rowwarden.sources.sinks import Store
+from rowwarden.session import config_frame
 
 FAILED_REASON = "controlled apply failed before a result could be admitted"
 STEP_TYPE = "array<struct<action_id:string,table:string,estimated_rows:bigint,rowcount:bigint>>"
@@ -192,8 +193,9 @@ def _plan_items(art: Artifacts, plan_id: str) -> list:
 
 
 def _unchanged(registry: Registry, frames: Mapping[str, DataFrame], items: list, spark) -> bool:
-    planned = spark.createDataFrame(
-        [(i.check_id, i.action_id, i.target_count, i.target_fingerprint) for i in items],
+    planned = config_frame(
+            spark,
+            [(i.check_id, i.action_id, i.target_count, i.target_fingerprint) for i in items],
         "check_id string, action_id string, target_count bigint, target_fingerprint string")
     current = target_sets(registry, frames, spark, [(i.check_id, i.action_id) for i in items])
     return recheck(planned, current).filter(~F.col("unchanged")).isEmpty()
@@ -310,8 +312,9 @@ def _apply_item(item, registry: Registry, frames: Mapping[str, DataFrame], store
 def _recover(store: Store, header: dict, granted, items: list) -> ApplyResult | None:
     spark = store.spark
     shape = [(i.action_id, i.table) for i in items]
-    request = spark.createDataFrame(
-        [(granted.admission_id, header["plan_id"], header["run_id"], header["plan_fingerprint"],
+    request = config_frame(
+            spark,
+            [(granted.admission_id, header["plan_id"], header["run_id"], header["plan_fingerprint"],
           granted.fingerprint, shape)],
         "admission_id string, plan_id string, quality_run_id string, plan_fingerprint string,"
         " admission_fingerprint string, steps array<struct<action_id:string,table:string>>")
@@ -332,8 +335,9 @@ def _record(store: Store, header: dict, granted, result: ApplyResult, outcome: s
     spark = store.spark
     steps = [(s["action_id"], s["table"], s["estimated_rows"], s["rowcount"]) for s in result.steps]
     previous = granted.decision_event_id if granted else header["evaluation_id"]
-    row = spark.createDataFrame(
-        [(header["run_id"], result.run_id, result.plan_id, header["plan_fingerprint"],
+    row = config_frame(
+            spark,
+            [(header["run_id"], result.run_id, result.plan_id, header["plan_fingerprint"],
           header["policy_fingerprint"], header["evaluation_id"], header["evaluation_fingerprint"],
           granted.decision_id if granted else None, granted.fingerprint if granted else None,
           granted.admission_id if granted else None, previous, result.dry_run, steps, reasons,
@@ -351,7 +355,8 @@ def _record(store: Store, header: dict, granted, result: ApplyResult, outcome: s
     result.fingerprint, result.apply_result_id = facts.result_fingerprint, facts.apply_result_id
     result.event_id = event.select("event_id").head().event_id
     if outcome == "apply_succeeded":
-        totals = spark.createDataFrame(
+        totals = config_frame(
+            spark,
             [(i.item_id, i.target_count, i.target_fingerprint) for i in items or []],
             "item_id string, target_count bigint, target_fingerprint string")
         digest = totals.select("target_count", row_hash(

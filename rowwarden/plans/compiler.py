@@ -119,14 +119,14 @@ def compile_items(
         .when(F.col("target_count").isNull(), NO_TARGET)
     )
     has_evidence = F.coalesce(F.size("evidence"), F.lit(0)) > 0
-    executable = reason.isNull()
+    executable = F.col("__reason").isNull()
     kept = lambda column: F.when(executable, column)
-    requested = judged.filter(~incomplete | has_evidence).select(
+    requested = judged.filter(~incomplete | has_evidence).withColumn("__reason", reason).select(
         "run_id", "proposal_id", F.col("ordinal").cast("bigint").alias("ordinal"),
         F.concat(F.lit("candidate-"), F.col("ordinal").cast("string")).alias("item_id"),
         F.when(executable, "executable").otherwise("non_executable").alias("kind"),
         kept(F.col("action_id")).alias("action_id"), kept(F.col("__table")).alias("table"),
-        kept(F.col("params")).alias("params"), "evidence", reason.alias("reason"),
+        kept(F.col("params")).alias("params"), "evidence", F.col("__reason").alias("reason"),
         kept(F.col("target_count")).alias("target_count"),
         kept(F.col("target_fingerprint")).alias("target_fingerprint"),
         kept(policy_lookup(registry, F.col("evidence"), F.col("action_id"))).alias("policy_fingerprint"),
@@ -146,7 +146,7 @@ def omitted_items(
 
     A failed check is covered as soon as any request cites it, executable or not.
     """
-    failures = run_failures(results, registry, spark)
+    failures = run_failures(results, registry)
     complete = roll_up(results).filter(~F.col("incomplete")).select("run_id")
     open_runs = failures.join(complete, "run_id", "left_semi").select(
         "run_id", F.transform(F.map_entries("failed"), lambda e: F.struct(

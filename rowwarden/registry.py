@@ -33,6 +33,7 @@ from rowwarden.contracts import (
 )
 from rowwarden.functions.fingerprint import json_digest
 from rowwarden.functions.values import fill_value
+from rowwarden.session import config_frame
 
 # Version of the rules that turn a policy into target rows; part of every policy fingerprint.
 RULES_VERSION = "rowwarden-rules-1"
@@ -265,7 +266,8 @@ class Registry:
             (c.table, c.contract_id, c.grain, c.description, list(c.primary_key))
             for c in self.contracts.values()
         ]
-        return spark.createDataFrame(
+        return config_frame(
+            spark,
             rows,
             "table string, contract_id string, grain string, description string,"
             " primary_key array<string>",
@@ -278,7 +280,8 @@ class Registry:
             for c in self.contracts.values()
             for position, k in enumerate(c.columns)
         ]
-        return spark.createDataFrame(
+        return config_frame(
+            spark,
             rows,
             "table string, ordinal int, column string, dtype string, nullable boolean,"
             " unique boolean, allowed_values array<string>, description string",
@@ -286,7 +289,8 @@ class Registry:
 
     def foreign_keys_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(c.table, *key) for c in self.contracts.values() for key in c.foreign_keys]
-        return spark.createDataFrame(
+        return config_frame(
+            spark,
             rows, "table string, column string, ref_table string, ref_column string"
         )
 
@@ -298,7 +302,8 @@ class Registry:
              s.policies[0].action_id if s.policies else None)
             for n, s in enumerate(self.checks.values())
         ]
-        return spark.createDataFrame(
+        return config_frame(
+            spark,
             rows,
             "ordinal int, check_id string, table string, column string, dimension string,"
             " contract_id string, description string, contains string, window_start string,"
@@ -314,10 +319,11 @@ class Registry:
                 rule = ACTIONS[policy.action_id]
                 rows.append(
                     (spec.check_id, position, policy.action_id, spec.table,
-                     _json(self.policy_params(spec, policy.action_id)), rule.mutates, rule.rank,
+                     canonical_json(self.policy_params(spec, policy.action_id)), rule.mutates, rule.rank,
                      rule.reversible, self.policy_fingerprint(spec.check_id, policy.action_id))
                 )
-        return spark.createDataFrame(
+        return config_frame(
+            spark,
             rows,
             "check_id string, ordinal int, action_id string, table string, params string,"
             " mutates boolean, rank string, reversible boolean, policy_fingerprint string",
@@ -330,7 +336,8 @@ class Registry:
              sorted(self.action_tables[r.action_id]) if r.action_id in self.action_tables else None)
             for r in ACTIONS.values()
         ]
-        return spark.createDataFrame(
+        return config_frame(
+            spark,
             rows,
             "action_id string, mutates boolean, rank string, rank_weight double,"
             " reversible boolean, required_params array<string>, allowed_tables array<string>",
@@ -367,7 +374,7 @@ def _plain(value: Any) -> Any:
     return value.isoformat() if isinstance(value, date) else value
 
 
-def _json(value: Any) -> str:
+def canonical_json(value: Any) -> str:
     return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"))
 
 

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Adaptive execution sizes shuffles, splits skewed partitions and drops empty branches.
 SETTINGS = {
@@ -43,6 +48,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def config_frame(spark: SparkSession, rows: Sequence[Sequence[Any]], ddl: str) -> DataFrame:
+    """Declarations and single results as a DataFrame. Arrow input becomes a local relation, so
+    the optimizer knows that it is small; it costs neither a job nor a Python worker."""
+    schema = T.StructType.fromDDL(ddl)
+    columns = [[row[n] for row in rows] for n in range(len(schema))]
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(values, type=kind) for values, kind in zip(columns, arrow.types, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table into the shared checkpoint folder and read it back.
 

@@ -23,6 +23,7 @@ LOG_FIELDS = (
     " admission_fingerprint string,"
     " steps array<struct<action_id:string,table:string,estimated_rows:bigint,rowcount:bigint>>"
 )
+from rowwarden.session import config_frame
 EVENT_SCHEMA = ", ".join(
     ["event_id string", *[f"{n} {t}" for n, t in EVENT_FIELDS.items()], "fingerprint string",
      "occurred_at timestamp", "run_bucket int"])
@@ -51,7 +52,7 @@ class Store:
         except AnalysisException as exc:
             if not (exc.getCondition() or "").startswith(ABSENT):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return config_frame(self.spark, [], schema)
 
     # -- check runs ---------------------------------------------------------------------
 

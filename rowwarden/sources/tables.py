@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowwarden.registry import Registry
+from rowwarden.session import config_frame
 
 Reader = Callable[[SparkSession, str], DataFrame]
 # The error classes that mean "no such table"; every other error propagates.
@@ -59,7 +62,7 @@ def load_frames(
 def observed_columns(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFrame:
     """(table, position, column) of every loaded frame."""
     rows = [(t, n, c) for t, frame in frames.items() for n, c in enumerate(frame.columns)]
-    return spark.createDataFrame(rows, "table string, position int, column string")
+    return config_frame(spark, rows, "table string, position int, column string")
 
 
 def observed_schema(spark: SparkSession, registry: Registry,
@@ -69,15 +72,11 @@ def observed_schema(spark: SparkSession, registry: Registry,
         (n, item.name, item.dataType.simpleString())
         for n, item in enumerate(frames[registry.contract(table).table].schema.fields)
     ]
-    return spark.createDataFrame(rows, "position int, column string, type string")
+    return config_frame(spark, rows, "position int, column string, type string")
 
 
 def table_totals(frames: Mapping[str, DataFrame]) -> DataFrame:
     """(table, n_rows, n_columns) of every loaded frame; counts come from file footers."""
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
     return reduce(
         DataFrame.unionByName,
         [frame.agg(F.count(F.lit(1)).alias("n_rows")).select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rowwarden.operators.conformance import FieldRule
 from rowwarden.registry import Registry
+from rowwarden.session import config_frame
 
 # Vocabularies of the demonstration data.
 COUNTRIES = ("US", "GB", "DE", "FR", "ES", "CA", "NL")
@@ -130,7 +131,7 @@ def lineage_edges(spark: SparkSession) -> DataFrame:
     rows = [(s, t, "pipeline") for s, t in PIPELINES]
     # the order line to order and product references, and so on, in contract order
     rows += [(parent, table, "fk") for table, keys in REFERENCES.items() for _, parent, _ in keys]
-    return spark.createDataFrame(rows, "source string, target string, kind string")
+    return config_frame(spark, rows, "source string, target string, kind string")
 
 
 # Expected failures per check at any scale, one set of planted rows.

@@ -23,6 +23,7 @@ from rowwarden.sources import warehouse
 from rowwarden.workload import views
 from rowwarden.workload.base import query
 from rowwarden.workload.views import with_views
+from rowwarden.session import config_frame
 
 DAY = "%Y-%m-%d"
 REG = views.registry()
@@ -462,7 +463,7 @@ EXPECTED = {
     + ") e(check_id, n) FULL JOIN counts c ON c.check_id = e.check_id",
     "orders_d", "pages_d", more=COUNTS))
 def d11_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.createDataFrame(list(EXPECTED.items()), "check_id string, n_expected bigint")
+    wanted = config_frame(spark, list(EXPECTED.items()), "check_id string, n_expected bigint")
     return suite.reconcile(run(spark, sf_dir), wanted)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowwarden.registry import Registry
-from rowwarden.sources.tables import load_frames, parquet_reader
+from rowwarden.sources.tables import load_frames
 
 # Column expressions are valid in both engines.
 ORDERS_COLUMNS = {
@@ -218,6 +218,7 @@ def broken_registry() -> Registry:
     return Registry.from_document(BROKEN, "broken")
 
 
+@lru_cache(maxsize=64)
 def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -226,7 +227,10 @@ def frames(
     spark: SparkSession, sf_dir: str, declared: Registry | None = None, *, only: list[str] | None = None
 ) -> dict[str, DataFrame]:
     """Contracted frames with planted defects; ``only`` keeps the schemas of other tables unread."""
-    loaded = load_frames(spark, declared or registry(), parquet_reader(sf_dir), only)
+    def read(session: SparkSession, table: str) -> DataFrame:
+        return base(session, sf_dir, table)
+
+    loaded = load_frames(spark, declared or registry(), read, only)
     for table, rules in (("orders", ORDERS_COLUMNS), ("pages", PAGES_COLUMNS)):
         if table in loaded:
             loaded[table] = loaded[table].select(*[F.expr(rule).alias(n) for n, rule in rules.items()])
