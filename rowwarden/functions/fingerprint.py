@@ -2,10 +2,10 @@
 
 Two forms. ``struct_digest`` hashes one bounded record: the canonical compact JSON of a
 struct. ``set_digest`` hashes an unbounded set of rows without ordering or collecting them:
-every row is hashed with SHA-256, the hash is cut into eight 32-bit lanes, and each lane is
-summed. Sums are partial aggregates, so only one small row per task and set is shuffled, and
-any number of sets can share one scan. Two sets get the same digest exactly when their row
-counts and all eight sums agree.
+every row is hashed with SHA-256, the hash is cut into five lanes, and each lane is summed.
+Sums are partial aggregates, so only one small row per task and set is shuffled, and any number
+of sets can share one scan. Two sets get the same digest exactly when their row counts and all
+five sums agree.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PREFIX = "sha256:"
-LANES = 8
-LANE_HEX = 8
-# A lane is below 2**32; decimal(18,0) sums into decimal(28,0), enough for 10**18 rows.
+# (first hex digit, digits) of each lane: together the whole hash. A lane is below 2**52 and
+# decimal(18,0) sums into decimal(28,0), enough for 2 * 10**12 rows; beyond that Spark raises.
+LANES = ((1, 13), (14, 13), (27, 13), (40, 13), (53, 12))
 LANE_TYPE = "decimal(18,0)"
 
 
@@ -44,29 +44,27 @@ def row_hash(row_key: Column) -> Column:
     return F.sha2(row_key.cast("string").cast("binary"), 256)
 
 
-def lane_sums(hashed: Column) -> list[Column]:
-    """The eight lane sums of a hash column; null hashes are left out."""
+def _lane_sums(hashed: str) -> list[str]:
+    """SQL for the lane sums of a hash column; null hashes are left out."""
     return [
-        F.coalesce(
-            F.sum(
-                F.conv(F.substring(hashed, 1 + lane * LANE_HEX, LANE_HEX), 16, 10).cast(LANE_TYPE)
-            ),
-            F.lit(0).cast("decimal(28,0)"),
-        )
-        for lane in range(LANES)
+        f"coalesce(sum(cast(conv(substring({hashed}, {first}, {digits}), 16, 10) as {LANE_TYPE})), 0)"
+        for first, digits in LANES
     ]
 
 
-def fold_lanes(label: Column, count: Column, lanes: list[Column]) -> Column:
-    """One digest from a label, the row count and the lane sums."""
-    parts = [label, count.cast("string"), *[lane.cast("string") for lane in lanes]]
-    return text_digest(F.concat_ws("|", *parts))
+def _fold(label: str, count: str, lanes: list[str]) -> Column:
+    parts = ", ".join(f"cast({part} as string)" for part in (label, count, *lanes))
+    return F.expr(f"concat('{PREFIX}', sha2(cast(concat_ws('|', {parts}) as binary), 256))")
 
 
-def set_digest(hashed: Column, label: Column) -> Column:
-    """Aggregate expression: the digest of all non-null row hashes of a group."""
-    return fold_lanes(label, F.count(hashed), lane_sums(hashed))
+def set_digest(hashed: str, label: str) -> Column:
+    """Aggregate expression: the digest of all non-null row hashes of a group.
 
+    ``hashed`` names the hash column and ``label`` is a plain word, usually the table.
+    """
+    return _fold(f"'{label}'", f"count({hashed})", _lane_sums(hashed))
 
-def empty_set_digest(label: Column) -> Column:
-    return fold_lanes(label, F.lit(0), [F.lit(0)] * LANES)
+
+def empty_set_digest(label: str | None = None, column: str | None = None) -> Column:
+    """The digest of no rows, for a fixed label or for the label in a column."""
+    return _fold(f"'{label}'" if column is None else column, "0", ["0"] * len(LANES))

@@ -79,7 +79,7 @@ def summarize(targets: DataFrame, table: str, pk: str) -> DataFrame:
     """(target_count, target_fingerprint) of a target frame: one row, keys discarded."""
     return targets.select(row_hash(F.col(pk)).alias("__h")).agg(
         F.count("__h").alias("target_count"),
-        set_digest(F.col("__h"), F.lit(table)).alias("target_fingerprint"),
+        set_digest("__h", table).alias("target_fingerprint"),
     )
 
 
@@ -107,7 +107,7 @@ def _fused(rows: DataFrame, table: str, pk: str,
         .select("__h", F.explode("__hits").alias("position"))
         .groupBy("position")
         .agg(F.count("__h").alias("target_count"),
-             set_digest(F.col("__h"), F.lit(table)).alias("target_fingerprint"))
+             set_digest("__h", table).alias("target_fingerprint"))
     )
     # every requested policy is in the result, also one without any target row
     asked = config_frame(
@@ -118,7 +118,7 @@ def _fused(rows: DataFrame, table: str, pk: str,
     return asked.join(found, "position", "left").select(
         "check_id", "action_id", F.lit(table).alias("table"),
         F.coalesce("target_count", F.lit(0)).alias("target_count"),
-        F.coalesce("target_fingerprint", empty_set_digest(F.lit(table))).alias("target_fingerprint"),
+        F.coalesce("target_fingerprint", empty_set_digest(table)).alias("target_fingerprint"),
     )
 
 
@@ -164,7 +164,7 @@ def target_sets(
     parts.append(
         config_frame(spark, idle, "check_id string, action_id string, table string").select(
             "*", F.lit(0).cast("bigint").alias("target_count"),
-            empty_set_digest(F.col("table")).alias("target_fingerprint"))
+            empty_set_digest(column="`table`").alias("target_fingerprint"))
     )
     return reduce(DataFrame.unionByName, parts)
 

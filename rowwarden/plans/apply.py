@@ -84,7 +84,7 @@ def result_totals(items: DataFrame, rowcounts: DataFrame | None = None) -> DataF
     ).groupBy("plan_id").agg(
         F.sum("target_count").alias("target_count"),
         F.sum("rowcount").alias("rowcount"),
-        set_digest(F.col("__h"), F.lit("targets")).alias("target_fingerprint"))
+        set_digest("__h", "targets").alias("target_fingerprint"))
 
 
 def recover(requests: DataFrame, log: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _apply_item(item, registry: Registry, frames: Mapping[str, DataFrame], store
     staged = store.stage_quarantine(copies, granted.admission_id, item.item_id, clock())
     written = staged.agg(
         F.count(F.lit(1)).alias("n"),
-        set_digest(F.col("pk_hash"), F.lit(item.table)).alias("fingerprint")).head()
+        set_digest("pk_hash", item.table).alias("fingerprint")).head()
     if (written.n, written.fingerprint) != (item.target_count, item.target_fingerprint):
         raise changed
     step["rowcount"] = written.n
@@ -362,7 +362,7 @@ def _record(store: Store, header: dict, granted, result: ApplyResult, outcome: s
         digest = totals.select("target_count", row_hash(
             F.concat_ws("|", "item_id", "target_fingerprint")).alias("__h")).agg(
             F.coalesce(F.sum("target_count"), F.lit(0)).alias("target_count"),
-            set_digest(F.col("__h"), F.lit("targets")).alias("fp")).head()
+            set_digest("__h", "targets").alias("fp")).head()
         rowcounts = [s["rowcount"] for s in result.steps if s["rowcount"] is not None]
         entry = row.select(
             "run_id", F.lit("whole_plan").alias("action_id"), F.lit("multiple").alias("table_name"),

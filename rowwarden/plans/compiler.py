@@ -10,7 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowwarden.functions.fingerprint import row_hash, set_digest, struct_digest, text_digest
+from rowwarden.functions.fingerprint import (
+    empty_set_digest,
+    row_hash,
+    set_digest,
+    struct_digest,
+    text_digest,
+)
 from rowwarden.operators.joins import HOT_ROWS, key_groups, skew_join
 from rowwarden.operators.proposals import blocked_reason, justify, run_failures
 from rowwarden.operators.suite import roll_up
@@ -194,9 +200,9 @@ def item_totals(items: DataFrame) -> DataFrame:
         F.count_if(executable).alias("n_executable"),
         F.array_sort(F.collect_set("reason")).alias("reasons"),  # a fixed vocabulary
         F.coalesce(F.sum("target_count"), F.lit(0)).alias("target_count"),
-        set_digest(F.col("__item"), F.lit("items")).alias("items_fingerprint"),
-        set_digest(F.col("__policy"), F.lit("policy")).alias("policy_fingerprint"),
-        set_digest(F.col("__target"), F.lit("targets")).alias("target_set_fingerprint"),
+        set_digest("__item", "items").alias("items_fingerprint"),
+        set_digest("__policy", "policy").alias("policy_fingerprint"),
+        set_digest("__target", "targets").alias("target_set_fingerprint"),
     )
 
 
@@ -205,7 +211,7 @@ def candidate_fingerprints(actions: DataFrame) -> DataFrame:
     hashed = actions.select("proposal_id", row_hash(F.to_json(
         F.struct("ordinal", "action_id", "evidence"), {"ignoreNullFields": "false"})).alias("__h"))
     return hashed.groupBy("proposal_id").agg(
-        set_digest(F.col("__h"), F.lit("candidate")).alias("candidate_fingerprint"))
+        set_digest("__h", "candidate").alias("candidate_fingerprint"))
 
 
 def roll_up_plans(
@@ -222,8 +228,6 @@ def roll_up_plans(
         .join(candidate_fingerprints(actions), "proposal_id", "left")
         .join(item_totals(items), "plan_id", "left")
     )
-    from rowwarden.functions.fingerprint import empty_set_digest
-
     incomplete = F.coalesce("incomplete", F.lit(True))
     found = F.coalesce("reasons", F.array().cast("array<string>"))
     reasons = F.array_sort(F.array_distinct(F.when(
@@ -235,7 +239,7 @@ def roll_up_plans(
         F.coalesce("n_executable", zero).alias("n_executable"),
         reasons.alias("blocked_reasons"), (F.size(reasons) > 0).alias("blocked"),
         F.coalesce("target_count", zero).alias("target_count"),
-        *[F.coalesce(name, empty_set_digest(F.lit(label))).alias(name) for name, label in (
+        *[F.coalesce(name, empty_set_digest(label)).alias(name) for name, label in (
             ("candidate_fingerprint", "candidate"), ("policy_fingerprint", "policy"),
             ("items_fingerprint", "items"), ("target_set_fingerprint", "targets"))],
         F.lit(environment_id).alias("environment_id"),

@@ -28,6 +28,7 @@ def local_session(cpus: int | str = "*", app: str = "rowwarden", **settings: str
     plain = {
         **SETTINGS,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": "8",
         **settings,

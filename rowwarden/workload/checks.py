@@ -11,7 +11,7 @@ from rowwarden.contracts import (
     SCHEMA_DRIFT,
     UNIQUENESS,
 )
-from rowwarden.functions.fingerprint import LANE_HEX, LANES
+from rowwarden.functions.fingerprint import LANES
 from rowwarden.functions.values import fits_dtype
 from rowwarden.operators import checks as ops
 from rowwarden.operators import remediation as fix
@@ -570,8 +570,8 @@ def e9_fill_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lanes_sql(hashed: str) -> str:
     """The digest text of a set of hex hashes, lane by lane."""
     lanes = " || '|' || ".join(
-        f"coalesce(sum(('0x' || substr({hashed}, {1 + n * LANE_HEX}, {LANE_HEX}))::BIGINT), 0)::VARCHAR"
-        for n in range(LANES))
+        f"coalesce(sum(('0x' || substr({hashed}, {first}, {digits}))::BIGINT), 0)::VARCHAR"
+        for first, digits in LANES)
     return f"count({hashed})::VARCHAR || '|' || {lanes}"
 
 
