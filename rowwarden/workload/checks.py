@@ -567,10 +567,15 @@ def e9_fill_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "dtype", fits_dtype(F.col("raw"), F.col("dtype")).alias("fits"))
 
 
+def digits_sql(text: str) -> str:
+    """A row hash: SHA-256 with its hex letters as digits."""
+    return f"translate(sha256({text}), 'abcdef', '012345')"
+
+
 def lanes_sql(hashed: str) -> str:
-    """The digest text of a set of hex hashes, lane by lane."""
+    """The digest text of a set of row hashes, lane by lane."""
     lanes = " || '|' || ".join(
-        f"coalesce(sum(('0x' || substr({hashed}, {first}, {digits}))::BIGINT), 0)::VARCHAR"
+        f"coalesce(sum(substr({hashed}, {first}, {digits})::BIGINT), 0)::VARCHAR"
         for first, digits in LANES)
     return f"count({hashed})::VARCHAR || '|' || {lanes}"
 
@@ -579,7 +584,7 @@ def summary_sql(check_id: str, action_id: str) -> str:
     table = REG.check(check_id).table
     return (f"SELECT '{check_id}' AS check_id, '{action_id}' AS action_id, count(*) AS target_count,"
             f" 'sha256:' || sha256('{table}|' || {lanes_sql('h')}) AS target_fingerprint"
-            f" FROM (SELECT sha256(k::VARCHAR) AS h FROM ({target_sql(check_id, action_id)}))")
+            f" FROM (SELECT {digits_sql('k::VARCHAR')} AS h FROM ({target_sql(check_id, action_id)}))")
 
 
 _POLICIES = [(s.check_id, p.action_id) for s in REG.checks.values() for p in s.policies]

@@ -13,7 +13,7 @@ from rowwarden.session import stored
 from rowwarden.sources import replay
 from rowwarden.workload import corpus, views
 from rowwarden.workload.base import query
-from rowwarden.workload.checks import lanes_sql
+from rowwarden.workload.checks import digits_sql, lanes_sql
 from rowwarden.workload.corpus import with_corpus
 
 REG = corpus.registry()
@@ -718,7 +718,7 @@ def h6_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h7_totals", f"""
 WITH stored AS (SELECT event_id // 4 AS plan_id, 'candidate-' || (event_id % 4) AS item_id, user_id AS n,
   sha256(event_type) AS fp FROM events WHERE event_type <> 'error'),
-h AS (SELECT plan_id, n, sha256(item_id || '|' || fp) AS x FROM stored)
+h AS (SELECT plan_id, n, {digits_sql("item_id || '|' || fp")} AS x FROM stored)
 SELECT plan_id, sum(n)::BIGINT AS target_count, sum(n)::BIGINT AS rowcount,
   'sha256:' || sha256('targets|' || {lanes_sql('x')}) AS target_fingerprint FROM h GROUP BY plan_id""")
 def h7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
