@@ -100,11 +100,12 @@ def _fused(rows: DataFrame, table: str, pk: str,
             rows = rows.join(F.broadcast(known), F.col(column) == F.col(f"__k{position}"), "left")
             test = F.col(f"__p{position}").isNull()
         conditions.append(test)
-    hits = F.array_compact(F.array(*[F.when(test, n) for n, test in enumerate(conditions)]))
+    hits = F.array(*[F.when(test, n) for n, test in enumerate(conditions)])
     found = (
         rows.filter(reduce(lambda one, other: one | other, conditions))
         .select(row_hash(F.col(pk)).alias("__h"), hits.alias("__hits"))
         .select("__h", F.explode("__hits").alias("position"))
+        .filter(F.col("position").isNotNull())
         .groupBy("position")
         .agg(F.count("__h").alias("target_count"),
              set_digest("__h", table).alias("target_fingerprint"))
