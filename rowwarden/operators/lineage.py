@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from rowwarden.contracts import bare_name
 from rowwarden.functions.fingerprint import struct_digest
+from rowwarden.operators.joins import skew_join
 from rowwarden.plans.compiler import short_id
 from rowwarden.registry import Registry
+from rowwarden.session import stored
 
 # Event kinds in the order of a run's life.
 EVENT_KINDS = (
@@ -154,10 +156,12 @@ def chain_problems(events: DataFrame) -> DataFrame:
         F.col("quality_run_id").alias("p_run"),
         *[F.col(name).alias(f"p_{name}") for name in (
             "plan_fingerprint", "evaluation_fingerprint", "review_fingerprint")])
-    # explode_outer keeps events that name no predecessor at all
-    linked = events.withColumn("wanted", wanted).filter(F.col("wanted").isNotNull()).select(
-        "*", F.explode_outer("predecessor_ids").alias("previous_id")
-    ).join(previous, "previous_id", "left")
+    # explode_outer keeps events that name no predecessor at all; one report may be the
+    # predecessor of very many candidates
+    linked = skew_join(
+        events.withColumn("wanted", wanted).filter(F.col("wanted").isNotNull()).select(
+            "*", F.explode_outer("predecessor_ids").alias("previous_id")),
+        previous, ["previous_id"], "left")
     agrees = F.lit(True)
     for name in ("plan_fingerprint", "evaluation_fingerprint", "review_fingerprint"):
         known = F.col(f"p_{name}").isNotNull() & F.col(name).isNotNull()
@@ -175,7 +179,8 @@ def chain_problems(events: DataFrame) -> DataFrame:
 def walk_runs(events: DataFrame) -> DataFrame:
     """(root_id, event_id, kind, depth): every event reached from its run's report.
 
-    A chain has at most seven stages, so the walk is seven bounded self-joins.
+    A chain has at most seven stages, so the walk is six self-joins. Each level is stored, so
+    that the next one starts from it instead of repeating all earlier joins.
     """
     edges = events.select("event_id", "kind", "quality_run_id",
                           F.explode("predecessor_ids").alias("previous_id"))
@@ -184,10 +189,10 @@ def walk_runs(events: DataFrame) -> DataFrame:
         F.lit(0).alias("depth"))
     reached = level
     for depth in range(1, CHAIN_LENGTH):
-        level = level.select(
-            "root_id", "quality_run_id", F.col("event_id").alias("previous_id")
-        ).join(edges, ["previous_id", "quality_run_id"]).select(
-            "root_id", "quality_run_id", "event_id", "kind", F.lit(depth).alias("depth"))
+        above = level.select("root_id", "quality_run_id", F.col("event_id").alias("previous_id"))
+        found = skew_join(edges, above, ["previous_id", "quality_run_id"], "inner")
+        level = stored(found.select(
+            "root_id", "quality_run_id", "event_id", "kind", F.lit(depth).alias("depth")), f"level{depth}")
         reached = reached.unionByName(level)
     return reached
 

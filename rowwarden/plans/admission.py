@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowwarden.functions.fingerprint import struct_digest
+from rowwarden.operators.joins import skew_join
 from rowwarden.operators.proposals import justify
 from rowwarden.operators.suite import report_fingerprints
 from rowwarden.plans.compiler import (
@@ -117,9 +118,9 @@ def param_problems(
         executable.select("plan_id", F.explode("evidence").alias("e"))
         .select("plan_id", F.col("e")["check_id"].alias("c")).distinct()
         .groupBy("plan_id").agg(F.count(F.lit(1)).alias("covered")))
-    joined = (
+    joined = skew_join(
         plans.select("plan_id", "run_id", "blocked").join(broken, "plan_id", "left")
-        .join(covered, "plan_id", "left").join(failed, "run_id", "left"))
+        .join(covered, "plan_id", "left"), failed, ["run_id"], "left")
     zero = F.lit(0)
     return joined.select("plan_id", (
         F.when(F.col("code") == 0, "duplicate executable action and quality evidence")
@@ -176,9 +177,10 @@ def admission_refusals(
         F.col("review_fingerprint").alias("r_review"), F.col("evaluation_id").alias("r_eval"),
         F.col("evaluation_fingerprint").alias("r_eval_fp"))
     conflicts = plan_conflicts(items).select("plan_id", "conflict")
+    # one run may hold very many plans, so its report is not joined by a plain shuffle
     joined = (
-        requests.join(plan, "plan_id", "left")
-        .join(report_integrity(reports, results), "run_id", "left")
+        skew_join(requests.join(plan, "plan_id", "left"), report_integrity(reports, results),
+                  ["run_id"], "left")
         .join(plan_integrity(plans, items), "plan_id", "left")
         .join(drifted, "plan_id", "left").join(params, "plan_id", "left")
         .join(judged, "plan_id", "left").join(evaluation_integrity(evaluations), "plan_id", "left")

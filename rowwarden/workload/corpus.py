@@ -11,6 +11,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowwarden.operators.joins import skew_join
+from rowwarden.operators.proposals import default_actions
 from rowwarden.registry import Registry
 from rowwarden.workload import views
 
@@ -148,9 +150,8 @@ def results(spark: SparkSession, sf_dir: str, checks: int = CHECKS) -> DataFrame
 
 def good_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every proposal: exactly the default actions of its run, so its plan can compile."""
-    from rowwarden.operators.proposals import default_actions
-
-    defaults = default_actions(results(spark, sf_dir), registry(), spark)
-    return proposals(spark, sf_dir).join(
-        defaults.select("run_id", "ordinal", "action_id", "evidence"), "run_id").select(
-        "proposal_id", "run_id", F.col("ordinal").cast("bigint").alias("ordinal"), "action_id", "evidence")
+    defaults = default_actions(results(spark, sf_dir), registry(), spark).groupBy("run_id").agg(
+        F.collect_list(F.struct("ordinal", "action_id", "evidence")).alias("d"))  # one per check
+    given = skew_join(proposals(spark, sf_dir), defaults, ["run_id"], "inner")
+    return given.select("proposal_id", "run_id", F.explode("d").alias("d")).select(
+        "proposal_id", "run_id", F.col("d.ordinal").cast("bigint").alias("ordinal"), "d.action_id", "d.evidence")

@@ -31,8 +31,8 @@ def prepared(spark, frames):
     actions = proposals.default_actions(results, REG, spark).select(
         F.lit("p").alias("proposal_id"), "run_id", "ordinal", "action_id", "evidence")
     ready = preparation.prepare_reviews(heads, actions, results, target_sets(REG, frames, spark), REG, spark, ENV)
-    shown = ready.events.filter("kind = 'approval_review'").select(F.col("event_id").alias("previous_id"))
-    decided = ready.reviews.crossJoin(shown).select(  # one review, one event
+    shown = ready.events.filter("kind = 'approval_review'").select("plan_id", F.col("event_id").alias("previous_id"))
+    decided = ready.reviews.join(shown, "plan_id").select(
         "plan_id", "run_id", "plan_fingerprint", "evaluation_id", "evaluation_fingerprint", "review_fingerprint",
         "previous_id", F.lit("d").alias("decision_id"), F.lit("Approve").alias("decision"),
         F.lit("ann").alias("actor"), F.lit("fine").alias("note"), F.lit(NOW).alias("decided_at"))
