@@ -22,7 +22,6 @@ from rowwarden.contracts import (
     SCHEMA_DRIFT,
     UNIQUENESS,
     VALIDITY,
-    CheckSpec,
 )
 from rowwarden.functions.fingerprint import text_digest
 from rowwarden.functions.predicates import row_predicate, structural_error
@@ -30,7 +29,6 @@ from rowwarden.operators.checks import (
     SAMPLE_DEFAULT,
     failing_rows,
     no_null,
-    orphan_groups,
     parent_keys,
 )
 from rowwarden.operators.joins import fits_broadcast, key_groups

@@ -21,7 +21,7 @@ from rowwarden.plans.compiler import (
     policy_drift,
     short_id,
 )
-from rowwarden.plans.review import TTL_HOURS, decision_fingerprint, plan_conflicts
+from rowwarden.plans.review import TTL_HOURS, decision_fingerprint, instant, plan_conflicts
 from rowwarden.registry import Registry
 
 ADMISSION_FIELDS = (
@@ -39,11 +39,9 @@ def _same(one: str, other: str) -> Column:
 
 
 def admission_fingerprint() -> Column:
-    stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     return struct_digest(
         *[F.col(name) for name in ADMISSION_FIELDS],
-        F.date_format("issued_at", stamp).alias("issued_at"),
-        F.date_format("expires_at", stamp).alias("expires_at"))
+        instant("issued_at").alias("issued_at"), instant("expires_at").alias("expires_at"))
 
 
 def report_integrity(reports: DataFrame, results: DataFrame) -> DataFrame:

@@ -180,10 +180,15 @@ def decision_refusal(approvers: Sequence[str]) -> Column:
     )
 
 
+def instant(name: str) -> Column:
+    """A time for a digest: microseconds since the epoch, the same in every session zone."""
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
 def decision_fingerprint() -> Column:
     return struct_digest(
         F.col("decision_id"), F.col("decision"), F.col("actor"), F.col("note"),
-        F.date_format("decided_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("decided_at"))
+        instant("decided_at").alias("decided_at"))
 
 
 def record_decisions(decisions: DataFrame, approvers: Sequence[str]) -> DataFrame:

@@ -120,10 +120,9 @@ def a11_generated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed-form orders for the order keys of the given table, with the planted rows."""
     ids = views.base(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     made = warehouse.orders(ids, shift=1_000_000_000)
-    stamp = F.timestamp_micros(F.unix_micros("order_ts"))
-    return made.withColumn("order_ts", F.date_format(
-        F.convert_timezone(F.current_timezone(), F.lit("UTC"), stamp.cast("timestamp_ntz")),
-        "yyyy-MM-dd HH:mm:ss"))
+    # written in UTC, whatever the zone of the session
+    utc = "TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_micros(order_ts) / 1000000)"
+    return made.withColumn("order_ts", F.expr(f"cast({utc} as string)"))
 
 
 # -- row checks -------------------------------------------------------------------------------
