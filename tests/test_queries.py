@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from rowwarden.workload.base import ORACLES, QUERIES
 
 SF_DIR = entry.SMOKE_DIR
 LONG = {"d4_messages", "d5_samples", "d11_reconcile", "e6_e7_noop", "e12_recheck", "f6_citation", "f7_groundedness", "f8_destructive",
@@ -28,7 +29,7 @@ def database():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, database, name):
     if name in LONG and not os.environ.get("ROWWARDEN_ALL"):
         pytest.skip("long chain")
@@ -37,7 +38,8 @@ def test_query_equals_sql(spark, database, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
