@@ -1,6 +1,7 @@
 """All queries of this package; importing it registers them."""
 
 from rowwarden.llm import (  # noqa: F401
+    decontaminate,
     quality,
     simhash,
 )
