@@ -5,5 +5,6 @@ from rowwarden.llm import (  # noqa: F401
     packing,
     quality,
     simhash,
+    urls,
 )
 from rowwarden.llm.base import ORACLES, QUERIES  # noqa: F401
