@@ -2,6 +2,7 @@
 
 from rowwarden.llm import (  # noqa: F401
     decontaminate,
+    language,
     packing,
     quality,
     simhash,
