@@ -6,6 +6,7 @@ from rowwarden.llm import (  # noqa: F401
     packing,
     quality,
     simhash,
+    toxicity,
     urls,
 )
 from rowwarden.llm.base import ORACLES, QUERIES  # noqa: F401
