@@ -3,6 +3,7 @@
 from rowwarden.llm import (  # noqa: F401
     decontaminate,
     language,
+    lattice,
     packing,
     quality,
     simhash,
