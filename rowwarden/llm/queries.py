@@ -1,7 +1,9 @@
 """All queries of this package; importing it registers them."""
 
 from rowwarden.llm import (  # noqa: F401
+    attribution,
     decontaminate,
+    html,
     language,
     lattice,
     packing,
