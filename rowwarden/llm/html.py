@@ -46,7 +46,10 @@ STOPS = frozenset((
     "le la les de des et un une du en à il que est pour qui dans ce par sur se pas plus au avec son ne "
     "el los las y del con no por su para como más pero sus lo este entre cuando muy sin sobre también me ya").split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A quoted attribute may hold ">"; one that never ends, or is very long, ends with the tag at the next ">".
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)"
+    r"((?:[^'\">]|\"[^\"]{0,9999}\"|'[^']{0,9999}')*+|[^<>]*)>", re.S)
 ATTRIBUTES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 INVISIBLE = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 LETTERS = re.compile(r"[a-z]+")
@@ -93,7 +96,7 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
             pieces.append(text)
 
     while True:
-        match = TAG.search(html, at)
+        match = TAG.search(html, at) if html.find(">", at) >= 0 or html.find("<!--", at) >= 0 else None
         if match is None:
             add(html[at:])
             break
