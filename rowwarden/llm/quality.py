@@ -71,6 +71,8 @@ def measured(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when((n < WINDOW + 1) | F.col(again).isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
+        # not deterministic for the optimizer, which would else copy all the above into filters on it
+        F.spark_partition_id().alias("part"),
     )).drop(words, lines, hashes, again)
 
 
