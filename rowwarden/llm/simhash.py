@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowwarden.llm.base import filled, query, slices, table
 from rowwarden.llm.graph import components
@@ -105,6 +106,22 @@ def links(distinct_fps: DataFrame) -> DataFrame:
         crowded.select(F.lit(0).alias("kind_u"), F.col("fp").alias("u"), F.lit(1).alias("kind_v"), F.col("value").alias("v")))
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp): a number of its
+    class, and the least doc_id in the class (null if no row of it has an id)."""
+    known = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    vertex = lambda kind, value: F.struct(F.col(kind).alias("kind"), F.col(value).alias("value"))
+    edges = links(known.select("fp")).select(vertex("kind_u", "u").alias("u"), vertex("kind_v", "v").alias("v"))
+    joined = stored(components(edges).filter("node.kind = 0").select(
+        F.col("node.value").alias("fp"), F.col("root.value").alias("root")), "components")  # a root is a fingerprint: kind 0 is least
+    grouped = known.join(joined, "fp")
+    least = grouped.groupBy("root").agg(F.min("first_id").alias("root_id"))
+    many = grouped.select("fp", "root").join(least, "root")
+    return known.join(many, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNotNull(), F.col("root_id")).otherwise(F.col("first_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most two bits.
 
@@ -113,16 +130,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     it and get their class's smallest id, null only if the class has no id. Other columns of
     ``docs``, whatever their names, are not read. An empty table gives an empty result."""
     prints = stored(fingerprints(docs), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    vertex = lambda kind, value: F.struct(F.col(kind).alias("kind"), F.col(value).alias("value"))
-    edges = links(classes.select("fp")).select(vertex("kind_u", "u").alias("u"), vertex("kind_v", "v").alias("v"))
-    joined = stored(
-        components(edges).filter("node.kind = 0").select(F.col("node.value").alias("fp"), "root"), "components")
-    grouped = classes.join(joined, "fp")
-    smallest = grouped.groupBy("root").agg(F.min("first_id").alias("root_id"))
-    labels = classes.join(grouped.select("fp", "root").join(smallest, "root").select("fp", "root_id"), "fp", "left").select(
-        "fp", F.when(F.col("root_id").isNotNull(), F.col("root_id")).otherwise(F.col("first_id")).alias("component_id"))
-    return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(classes(prints).drop("root"), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        prints = np.array([fingerprint(x.as_py()) for x in filled(batch, "text").cast(pa.binary())], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "fp"])
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row of every near-duplicate class of ``docs``, with all columns: the one with the least id.
+
+    Documents are dropped by id, so no text is shuffled while few are. Ids that are null or occur
+    more than once do not name a row; those rows are told apart by their fingerprints instead, and
+    one of a class stays if none with a smaller id does."""
+    prints = stored(fingerprints(docs), "fingerprints")
+    known = stored(classes(prints), "labels")
+    unclear = stored(prints.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("id")), "unclear")
+    gone = stored(prints.join(known, "fp").filter("doc_id != component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("id"))
+    clear = docs.join(unclear, same, "left_anti").join(gone, same, "left_anti")
+    odd = docs.join(unclear, same, "left_semi")
+    odd = odd.mapInArrow(_printed, T.StructType([*odd.schema.fields, T.StructField("fp", T.LongType())]))
+    odd = odd.join(known, "fp").filter("doc_id <=> component_id").dropDuplicates(["root"]).select(docs.columns)
+    return clear.unionByName(odd)
 
 
 @query("op7_simhash")
