@@ -2,9 +2,8 @@
 
 Two forms. ``struct_digest`` hashes one bounded record: the canonical compact JSON of a
 struct. ``set_digest`` hashes an unbounded set of rows without ordering or collecting them:
-every row is hashed with SHA-256, the hash is written in decimal digits and cut into five lanes,
-and each lane is summed.
-Sums are partial aggregates, so only one small row per task and set is shuffled, and any number
+every row is hashed with SHA-256, all 256 bits of the hash are cut into five lanes, and each lane
+is summed. Sums are partial aggregates, so only one small row per task and set is shuffled, and any number
 of sets can share one scan. Two sets get the same digest exactly when their row counts and all
 five sums agree.
 """
@@ -19,12 +18,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PREFIX = "sha256:"
-# Hex letters become digits: casting digits to a number is native and far cheaper than ``conv``.
-# The 64 digits still carry about 208 bits of the hash.
-HEX_LETTERS, AS_DIGITS = "abcdef", "012345"
-# (first digit, digits) of each lane: together the whole hash. A lane is below 10**15 and
-# decimal(18,0) sums into decimal(28,0), enough for 10**13 rows; beyond that Spark raises.
-LANES = ((1, 15), (16, 15), (31, 15), (46, 15), (61, 4))
+# (first hex digit, digits) of each lane: together the whole hash. A lane is below 2**52 and
+# decimal(18,0) sums into decimal(28,0), enough for 10**12 rows; beyond that Spark raises.
+LANES = ((1, 13), (14, 13), (27, 13), (40, 13), (53, 12))
 LANE_TYPE = "decimal(18,0)"
 
 
@@ -44,16 +40,16 @@ def struct_digest(*columns: Column) -> Column:
 
 
 def row_hash(row_key: Column) -> Column:
-    """Hash of one row's key as 64 decimal digits. Project it before aggregating, so that it is
-    computed once per row."""
-    hashed = F.sha2(row_key.cast("string").cast("binary"), 256)
-    return F.translate(hashed, HEX_LETTERS, AS_DIGITS)
+    """Hash of one row's key as 64 hex digits; a null key has a hash of its own. Project it before
+    aggregating, so that it is computed once per row."""
+    tagged = F.coalesce(F.concat(F.lit("k"), row_key.cast("string")), F.lit("n"))
+    return F.sha2(tagged.cast("binary"), 256)
 
 
 def _lane_sums(hashed: str) -> list[str]:
     """SQL for the lane sums of a hash column; null hashes are left out."""
     return [
-        f"coalesce(sum(cast(cast(substring({hashed}, {first}, {digits}) as bigint) as {LANE_TYPE})), 0)"
+        f"coalesce(sum(cast(conv(substring({hashed}, {first}, {digits}), 16, 10) as {LANE_TYPE})), 0)"
         for first, digits in LANES
     ]
 
@@ -63,12 +59,12 @@ def _fold(label: str, count: str, lanes: list[str]) -> Column:
     return F.expr(f"concat('{PREFIX}', sha2(cast(concat_ws('|', {parts}) as binary), 256))")
 
 
-def set_digest(hashed: str, label: str) -> Column:
+def set_digest(hashed: str, label: str | None = None, column: str | None = None) -> Column:
     """Aggregate expression: the digest of all non-null row hashes of a group.
 
-    ``hashed`` names the hash column and ``label`` is a plain word, usually the table.
+    ``hashed`` names the hash column; the label is a plain word, or SQL over grouping columns.
     """
-    return _fold(f"'{label}'", f"count({hashed})", _lane_sums(hashed))
+    return _fold(f"'{label}'" if column is None else column, f"count({hashed})", _lane_sums(hashed))
 
 
 def empty_set_digest(label: str | None = None, column: str | None = None) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from rowwarden.contracts import DTYPES, ColumnContract, ContractError
 
 _PLAIN = {"int64": (int,), "float64": (int, float), "utf8": (str,), "bool": (bool,)}
+# a decimal number without a type letter, nothing around it
+NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 _ISO = {"date": date, "datetime": datetime}
 
 
@@ -45,14 +47,14 @@ def fits_dtype(raw: Column, dtype: Column) -> Column:
             ok = raw.isNotNull()
         elif name == "date":
             # an ISO date and nothing after it: a datetime is refused for a date
-            ok = raw.rlike(r"^\d{4}-\d{2}-\d{2}$") & raw.try_cast("date").isNotNull()
+            ok = raw.rlike(r"\A\d{4}-\d{2}-\d{2}\z") & raw.try_cast("date").isNotNull()
         elif name == "datetime":
-            ok = raw.rlike(r"^\d{4}-\d{2}-\d{2}") & raw.try_cast("timestamp_ntz").isNotNull()
+            ok = raw.rlike(r"\A\d{4}-\d{2}-\d{2}") & raw.try_cast("timestamp_ntz").isNotNull()
         elif name == "bool":
             ok = raw.isin("true", "false")
         elif name == "int64":
-            ok = raw.rlike(r"^[+-]?\d+$") & raw.try_cast("bigint").isNotNull()
+            ok = raw.rlike(r"\A[+-]?\d+\z") & raw.try_cast("bigint").isNotNull()
         else:
-            ok = raw.try_cast("double").isNotNull()
+            ok = raw.rlike(NUMBER) & raw.try_cast("double").isNotNull()
         parsed = parsed.when(dtype == name, F.coalesce(ok, F.lit(False)))
     return F.coalesce(parsed, F.lit(False))

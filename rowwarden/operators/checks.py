@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rowwarden.contracts import REFERENTIAL_INTEGRITY, SCHEMA_DRIFT, UNIQUENESS, CheckSpec
 from rowwarden.functions.predicates import row_predicate, rule_columns
-from rowwarden.operators.joins import fits_broadcast, key_groups, skew_join
+from rowwarden.operators.joins import fits_broadcast, in_order, key_groups, skew_join
 from rowwarden.registry import Registry
 from rowwarden.session import config_frame
 
@@ -60,7 +60,7 @@ def orphan_groups(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame
 def orphan_rows(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     """Rows whose foreign key is null or has no parent, all columns kept."""
     if fits_broadcast(parents):
-        return rows.join(F.broadcast(parents), column, "left_anti")
+        return in_order(rows.join(F.broadcast(parents), column, "left_anti"), rows)
     groups = orphan_groups(rows, column, parents)
     return skew_join(
         rows, groups.select(column), [column], "left_semi", null_safe=True, sizes=groups

@@ -32,9 +32,15 @@ def key_groups(rows: DataFrame, keys: Sequence[str], *aggregates: Column) -> Dat
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggregates)
 
 
+def in_order(joined: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of ``rows`` in their order, then what the join added: a join by name puts its
+    keys first, and the order must not depend on which join was chosen."""
+    return joined.select(*rows.columns, *[name for name in joined.columns if name not in rows.columns])
+
+
 def _join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str, null_safe: bool) -> DataFrame:
     if not null_safe:
-        return rows.join(lookup, list(keys), how)
+        return in_order(rows.join(lookup, list(keys), how), rows)
     # null-safe equality needs an expression, so the right keys are renamed and dropped
     renamed = lookup.select(
         *[F.col(key).alias(f"__{key}") for key in keys],
@@ -69,6 +75,11 @@ def skew_join(
     if fits_broadcast(lookup):
         return _join(rows, lookup, keys, how, null_safe)
     counted = sizes if sizes is not None else key_groups(rows, keys)
+    if not null_safe and how in ("left", "left_anti"):
+        # a null key meets nothing: its rows pass by the join instead of gathering in one task
+        present = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
+        met = skew_join(rows.filter(present), lookup, keys, how, null_safe=True, sizes=counted, hot_rows=hot_rows)
+        return met.unionByName(rows.filter(~present), allowMissingColumns=True)
     hot = counted.filter(F.col("n") > hot_rows).select(*keys)
     hot_lookup = _join(lookup, F.broadcast(hot), keys, "left_semi", null_safe)
     hot_part = _join(
@@ -78,4 +89,4 @@ def skew_join(
     cold_part = _join(
         _join(rows, F.broadcast(hot), keys, "left_anti", null_safe), lookup, keys, how, null_safe
     )
-    return hot_part.unionByName(cold_part)
+    return in_order(hot_part.unionByName(cold_part), rows)

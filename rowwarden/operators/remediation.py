@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowwarden.contracts import ACTIONS
+from rowwarden.contracts import ACTIONS, CheckSpec
 from rowwarden.functions.fingerprint import empty_set_digest, row_hash, set_digest
-from rowwarden.functions.predicates import is_missing, row_predicate
+from rowwarden.functions.predicates import is_missing, row_predicate, structural_error
 from rowwarden.functions.values import fill_literal
 from rowwarden.operators.checks import orphan_rows
 from rowwarden.operators.joins import HOT_ROWS, fits_broadcast, key_groups, skew_join
@@ -27,18 +27,26 @@ ROW_ACTIONS = ("quarantine_nulls", "quarantine_invalids", "null_fill")
 
 
 def surplus_rows(rows: DataFrame, keys: list[str], pk: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """All but the smallest primary key of every key group; null key parts group together.
+    """All but the smallest primary key of every key group; null key parts group together."""
+    joined = _grouped_rows(rows, keys, pk, hot_rows)
+    return joined.filter(F.col(pk) != F.col("__keep")).drop("__keep")
 
-    Only groups with more than one row are joined back, each knowing its smallest key.
-    """
+
+def _grouped_rows(rows: DataFrame, keys: list[str], pk: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows of all groups with more than one row, each with its group's smallest primary key."""
     groups = (
         key_groups(rows, keys, F.min(pk).alias("__keep")).filter(F.col("n") > 1)
     )
-    joined = skew_join(
+    return skew_join(
         rows, groups.select(*keys, "__keep"), keys, "inner",
         null_safe=True, sizes=groups, hot_rows=hot_rows,
     )
-    return joined.filter(F.col(pk) != F.col("__keep")).drop("__keep")
+
+
+def unclear_keys(rows: DataFrame, keys: list[str], pk: str) -> DataFrame:
+    """Primary keys that do not name one row of a duplicate group: null or held more than once.
+    Which rows a dedupe would keep is then open, so its targets cannot be resolved."""
+    return key_groups(_grouped_rows(rows, keys, pk), [pk]).filter((F.col("n") > 1) | F.col(pk).isNull())
 
 
 def row_condition(registry: Registry, check_id: str, action_id: str) -> Column | None:
@@ -75,11 +83,17 @@ def target_rows(registry: Registry, check_id: str, action_id: str, frames: Frame
 # -- exact target sets -------------------------------------------------------------------
 
 
-def summarize(targets: DataFrame, table: str, pk: str) -> DataFrame:
-    """(target_count, target_fingerprint) of a target frame: one row, keys discarded."""
+def label_of(table: str, action_id: str) -> str:
+    """What a target fingerprint is bound to besides its keys."""
+    return f"{table}|{action_id}"
+
+
+def summarize(targets: DataFrame, table: str, action_id: str, pk: str) -> DataFrame:
+    """(target_count, target_fingerprint) of a target frame: one row, keys discarded. Rows without
+    a primary key count like any other."""
     return targets.select(row_hash(F.col(pk)).alias("__h")).agg(
         F.count("__h").alias("target_count"),
-        set_digest("__h", table).alias("target_fingerprint"),
+        set_digest("__h", label_of(table, action_id)).alias("target_fingerprint"),
     )
 
 
@@ -100,6 +114,7 @@ def _fused(rows: DataFrame, table: str, pk: str,
             rows = rows.join(F.broadcast(known), F.col(column) == F.col(f"__k{position}"), "left")
             test = F.col(f"__p{position}").isNull()
         conditions.append(test)
+    labels = ", ".join(f"'{label_of(table, action_id)}'" for _, action_id, _ in wanted)
     hits = F.array(*[F.when(test, n) for n, test in enumerate(conditions)])
     found = (
         rows.filter(reduce(lambda one, other: one | other, conditions))
@@ -108,7 +123,7 @@ def _fused(rows: DataFrame, table: str, pk: str,
         .filter(F.col("position").isNotNull())
         .groupBy("position")
         .agg(F.count("__h").alias("target_count"),
-             set_digest("__h", table).alias("target_fingerprint"))
+             set_digest("__h", column=f"element_at(array({labels}), position + 1)").alias("target_fingerprint"))
     )
     # every requested policy is in the result, also one without any target row
     asked = config_frame(
@@ -119,10 +134,22 @@ def _fused(rows: DataFrame, table: str, pk: str,
     return asked.join(found, "position", "left").select(
         "check_id", "action_id", F.lit(table).alias("table"),
         F.coalesce("target_count", F.lit(0)).alias("target_count"),
-        F.coalesce("target_fingerprint", empty_set_digest(table)).alias("target_fingerprint"),
+        F.coalesce("target_fingerprint", empty_set_digest(column=f"concat('{table}|', action_id)")).alias("target_fingerprint"),
     )
 
 
+def _unreadable(registry: Registry, spec: CheckSpec, params: Mapping, pk: str, frames: Frames) -> bool:
+    """Decided from schemas alone, policy by policy, so one dropped column blocks only what names it."""
+    seen = {table: frame.columns for table, frame in frames.items()}
+    if structural_error(registry, spec, seen) or pk not in seen.get(spec.table, ()):
+        return True
+    if "ref_table" in params and params["ref_column"] not in seen.get(params["ref_table"], ()):
+        return True
+    named = [params.get(name) for name in ("column", "fk_column", "pk_column", "business_key")]
+    flat = [x for value in named if value for x in ([value] if isinstance(value, str) else value)]
+    return any(name not in seen[spec.table] for name in flat)
+
+
 def target_sets(
     registry: Registry,
     frames: Frames,
@@ -133,7 +160,8 @@ def target_sets(
 
     Without ``requests``: every declared policy whose table is loaded. All row actions and
     orphans of small parents of one table share one scan; any number of plans may then refer to
-    the result, which has one row per policy. A policy whose targets cannot be read is absent.
+    the result, which has one row per policy. A policy whose targets cannot be resolved is absent:
+    its table or a column it names is missing, or a dedupe meets primary keys that are null or repeat.
     """
     if requests is None:
         requests = [(s.check_id, p.action_id) for s in registry.checks.values() for p in s.policies]
@@ -146,9 +174,9 @@ def target_sets(
         if action_id in ("no_op_alert", "schema_drift_ticket"):
             idle.append((check_id, action_id, spec.table))
             continue
-        if spec.table not in frames or params.get("ref_table", spec.table) not in frames:
-            continue
         pk = registry.contract(spec.table).single_key
+        if _unreadable(registry, spec, params, pk, frames):
+            continue
         condition = row_condition(registry, check_id, action_id)
         if condition is None and action_id == "quarantine_orphans":
             parents = parents_of(params, frames)
@@ -157,7 +185,13 @@ def target_sets(
             fused.setdefault(spec.table, []).append((check_id, action_id, condition))
             continue
         targets = target_rows(registry, check_id, action_id, frames).select(pk)
-        parts.append(summarize(targets, spec.table, pk).select(
+        summary = summarize(targets, spec.table, action_id, pk)
+        if action_id == "dedupe_keep_min_pk":
+            keys = params["business_key"]
+            unclear = unclear_keys(frames[spec.table], [keys] if isinstance(keys, str) else list(keys), pk)
+            # both sides are one row
+            summary = summary.join(F.broadcast(unclear.agg(F.count("n").alias("unclear")).filter("unclear = 0"))).drop("unclear")
+        parts.append(summary.select(
             F.lit(check_id).alias("check_id"), F.lit(action_id).alias("action_id"),
             F.lit(spec.table).alias("table"), "target_count", "target_fingerprint"))
     for table, wanted in fused.items():
@@ -165,7 +199,7 @@ def target_sets(
     parts.append(
         config_frame(spark, idle, "check_id string, action_id string, table string").select(
             "*", F.lit(0).cast("bigint").alias("target_count"),
-            empty_set_digest(column="`table`").alias("target_fingerprint"))
+            empty_set_digest(column="concat(`table`, '|', action_id)").alias("target_fingerprint"))
     )
     return reduce(DataFrame.unionByName, parts)
 
@@ -218,13 +252,15 @@ def quarantine_rows(
     )
 
 
-def filled_rows(registry: Registry, check_id: str, frames: Frames) -> DataFrame:
-    """The table with nulls of the checked column replaced, as a new frame."""
+def filled_rows(registry: Registry, check_id: str, frames: Frames, mark: str | None = None) -> DataFrame:
+    """The table with nulls of the checked column replaced, as a new frame. ``mark`` names a further
+    column that tells the filled rows from the others."""
     spec = registry.check(check_id)
     params = registry.policy_params(spec, "null_fill")
     column = registry.contract(spec.table).column(params["column"])
     value = fill_literal(column, params["fill_value"])
-    return frames[spec.table].withColumn(column.name, F.coalesce(F.col(column.name), value))
+    rows = frames[spec.table] if mark is None else frames[spec.table].withColumn(mark, is_missing(column.name))
+    return rows.withColumn(column.name, F.coalesce(F.col(column.name), value))
 
 
 def notices(results: DataFrame, policies: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from rowwarden.functions.fingerprint import row_hash, set_digest, struct_digest
 from rowwarden.operators.lineage import apply_events
 from rowwarden.operators.remediation import (
     filled_rows,
+    label_of,
     quarantine_rows,
     recheck,
     target_sets,
@@ -36,6 +37,8 @@ from rowwarden.registry import Registry
 from rowwarden.sources.sinks import Store
 from rowwarden.session import config_frame
 
+FILLED = "filled_by_apply"  # marks the rows a fill changed
+# Refusal and problem texts of this module.
 FAILED_REASON = "controlled apply failed before a result could be admitted"
 STEP_TYPE = "array<struct<action_id:string,table:string,estimated_rows:bigint,rowcount:bigint>>"
 
@@ -252,7 +255,7 @@ def apply_plan(
     items = _plan_items(art, plan_id)
     earlier = _recover(store, header, granted, items)
     if earlier is not None:
-        return earlier
+        return earlier  # its event is stored again if the earlier attempt ended before that
     _require_time(granted, clock)
     result = ApplyResult(plan_id, run_id, False, admission_id=granted.admission_id)
     try:
@@ -290,19 +293,21 @@ def _apply_item(item, registry: Registry, frames: Mapping[str, DataFrame], store
             "rowcount": 0}
     pk = registry.contract(item.table).single_key
     changed = ApplyRefused("Refusing apply: controlled target set changed after plan compilation")
-    if item.action_id == "null_fill" or not ACTIONS[item.action_id].mutates:
+    if not ACTIONS[item.action_id].mutates:
         if not _unchanged(registry, frames, [item], store.spark):
             raise changed
-        if item.action_id == "null_fill":
-            store.stage_filled(filled_rows(registry, item.check_id, frames), item.table,
-                               granted.admission_id)
-            step["rowcount"] = item.target_count
         return step
-    copies = quarantine_rows(registry, item.check_id, item.action_id, frames, run_id, pk_hash=True)
-    staged = store.stage_quarantine(copies, granted.admission_id, item.item_id, clock())
+    if item.action_id == "null_fill":
+        filled = filled_rows(registry, item.check_id, frames, mark=FILLED)
+        table = store.stage_filled(filled, item.table, granted.admission_id)
+        staged = table.filter(FILLED).select(row_hash(F.col(pk)).alias("pk_hash"))
+    else:
+        copies = quarantine_rows(registry, item.check_id, item.action_id, frames, run_id, pk_hash=True)
+        staged = store.stage_quarantine(copies, granted.admission_id, item.item_id, clock())
+    # what was written decides, not what another reading of the source would give
     written = staged.agg(
         F.count(F.lit(1)).alias("n"),
-        set_digest("pk_hash", item.table).alias("fingerprint")).head()
+        set_digest("pk_hash", label_of(item.table, item.action_id)).alias("fingerprint")).head()
     if (written.n, written.fingerprint) != (item.target_count, item.target_fingerprint):
         raise changed
     step["rowcount"] = written.n
@@ -318,30 +323,34 @@ def _recover(store: Store, header: dict, granted, items: list) -> ApplyResult |
           granted.fingerprint, shape)],
         "admission_id string, plan_id string, quality_run_id string, plan_fingerprint string,"
         " admission_fingerprint string, steps array<struct<action_id:string,table:string>>")
-    row = recover(request, store.apply_log()).head()
+    log = store.apply_log()
+    row = recover(request, log).head()
     if row is None:
         return None
     if row.problem:
         raise ApplyRefused(
             f"Refusing apply recovery: committed result does not bind the supplied payloads ({row.problem})")
-    return ApplyResult(
+    result = ApplyResult(
         header["plan_id"], row.run_id, False, granted.admission_id, row.apply_result_id,
         row.result_fingerprint, row.event_id, [s.asDict() for s in row.steps], True)
+    applied_at = log.filter(F.col("admission_id") == granted.admission_id).head().applied_at
+    _, event = _evidence(store, header, granted, result, "apply_succeeded", [], applied_at)
+    # ids follow from content: appending an event that is stored changes nothing
+    store.append_events(event.filter(F.col("event_id") == row.event_id), applied_at)
+    return result
 
 
-def _record(store: Store, header: dict, granted, result: ApplyResult, outcome: str,
-            reasons: list[str], now: datetime | None, items: list | None = None) -> bool:
-    """Write the result: the log entry first when something was applied, then its event."""
-    spark = store.spark
+def _evidence(store: Store, header: dict, granted, result: ApplyResult, outcome: str,
+              reasons: list[str], now: datetime) -> tuple[DataFrame, DataFrame]:
+    """The result as one row, with its fingerprint and id, and the audit event that tells of it."""
     steps = [(s["action_id"], s["table"], s["estimated_rows"], s["rowcount"]) for s in result.steps]
     previous = granted.decision_event_id if granted else header["evaluation_id"]
     row = config_frame(
-            spark,
+            store.spark,
             [(header["run_id"], result.run_id, result.plan_id, header["plan_fingerprint"],
           header["policy_fingerprint"], header["evaluation_id"], header["evaluation_fingerprint"],
           granted.decision_id if granted else None, granted.fingerprint if granted else None,
-          granted.admission_id if granted else None, previous, result.dry_run, steps, reasons,
-          now or datetime.now(timezone.utc))],
+          granted.admission_id if granted else None, previous, result.dry_run, steps, reasons, now)],
         "quality_run_id string, run_id string, plan_id string, plan_fingerprint string,"
         " policy_fingerprint string, evaluation_id string, evaluation_fingerprint string,"
         " decision_id string, admission_fingerprint string, admission_id string,"
@@ -350,7 +359,15 @@ def _record(store: Store, header: dict, granted, result: ApplyResult, outcome: s
     row = row.withColumn("result_fingerprint", result_fingerprint())
     row = row.withColumn("apply_result_id", F.substring(
         F.sha2(F.concat_ws("|", "result_fingerprint", "run_id", F.lit(outcome)), 256), 1, 32))
-    event = apply_events(row.withColumn("run_id", F.col("quality_run_id")), outcome)
+    return row, apply_events(row.withColumn("run_id", F.col("quality_run_id")), outcome)
+
+
+def _record(store: Store, header: dict, granted, result: ApplyResult, outcome: str,
+            reasons: list[str], now: datetime | None, items: list | None = None) -> bool:
+    """Write the result: the log entry first when something was applied, then its event. An
+    attempt that ends between the two leaves the event to the next one's recovery."""
+    spark, now = store.spark, now or datetime.now(timezone.utc)
+    row, event = _evidence(store, header, granted, result, outcome, reasons, now)
     facts = row.select("result_fingerprint", "apply_result_id").head()
     result.fingerprint, result.apply_result_id = facts.result_fingerprint, facts.apply_result_id
     result.event_id = event.select("event_id").head().event_id
@@ -374,5 +391,5 @@ def _record(store: Store, header: dict, granted, result: ApplyResult, outcome: s
             "result_fingerprint", "admission_fingerprint", "steps")
         if not store.append_log(entry):
             return False
-    store.append_events(event, now or datetime.now(timezone.utc))
+    store.append_events(event, now)
     return True

@@ -21,6 +21,7 @@ from rowwarden.operators.joins import HOT_ROWS, key_groups, skew_join
 from rowwarden.operators.proposals import blocked_reason, justify, run_failures
 from rowwarden.operators.suite import roll_up
 from rowwarden.registry import Registry
+from rowwarden.session import config_frame
 
 # Bounded reasons of blocked items beyond those of a refused request.
 INCOMPLETE = "quality suite is incomplete"
@@ -160,8 +161,8 @@ def omitted_items(
     cited = (
         actions.select("proposal_id", F.explode("evidence").alias("e"))
         .select("proposal_id", F.col("e")["check_id"].alias("check_id")).distinct()
-        # only declared checks can be due, which bounds the set collected per proposal
-        .join(F.broadcast(results.filter(F.col("status") == "fail").select("check_id").distinct()),
+        # only declared checks can be due, which bounds the set collected per proposal and the broadcast
+        .join(F.broadcast(config_frame(results.sparkSession, [(name,) for name in registry.checks], "check_id string")),
               "check_id", "left_semi")
         .groupBy("proposal_id").agg(F.collect_set("check_id").alias("__cited"))
     )

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowwarden.operators.lineage import EVENT_FIELDS
+from rowwarden.session import config_frame
 from rowwarden.sources.tables import ABSENT
 
 RUN_BUCKETS = 256
@@ -23,7 +24,6 @@ LOG_FIELDS = (
     " admission_fingerprint string,"
     " steps array<struct<action_id:string,table:string,estimated_rows:bigint,rowcount:bigint>>"
 )
-from rowwarden.session import config_frame
 EVENT_SCHEMA = ", ".join(
     ["event_id string", *[f"{n} {t}" for n, t in EVENT_FIELDS.items()], "fingerprint string",
      "occurred_at timestamp", "run_bucket int"])
@@ -36,8 +36,9 @@ CHECK_RUN_FIELDS = (
 
 @dataclass(frozen=True)
 class Store:
-    """Paths of the engine's tables. One writer per root: plain Parquet cannot exclude a second
-    concurrent apply; a table format with optimistic commits can replace ``append_log``."""
+    """Paths of the engine's tables. Between a folder's check and its creation plain Parquet leaves a
+    short gap for a second concurrent apply; a table format with optimistic commits can replace
+    ``append_log``."""
 
     spark: SparkSession
     root: str
@@ -83,7 +84,7 @@ class Store:
         fresh = keyed.join(stored.select("event_id"), "event_id", "left_anti").withColumn(
             "occurred_at", F.lit(occurred_at).cast("timestamp"))
         (fresh.select("event_id", *EVENT_FIELDS, "fingerprint", "occurred_at", "run_bucket")
-         .write.mode("append").partitionBy("run_bucket").parquet(self.path("audit_events")))
+         .repartition("run_bucket").write.mode("append").partitionBy("run_bucket").parquet(self.path("audit_events")))
 
     def events(self) -> DataFrame:
         return self.read("audit_events", EVENT_SCHEMA)
@@ -114,20 +115,41 @@ class Store:
         committed = self.apply_log().select("admission_id").distinct()
         return self.read("quarantine", QUARANTINE_SCHEMA).join(committed, "admission_id", "left_semi")
 
-    def stage_filled(self, filled: DataFrame, table: str, admission_id: str) -> None:
-        (filled.withColumn("admission_id", F.lit(admission_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("admission_id")
-         .parquet(self.path(f"filled/{table}")))
+    def stage_filled(self, filled: DataFrame, table: str, admission_id: str) -> DataFrame:
+        """Write a filled table into its admission's own partition and return what was written."""
+        rows = filled.withColumn("admission_id", F.lit(admission_id))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("admission_id").parquet(self.path(f"filled/{table}")))
+        return self.read(f"filled/{table}", rows.schema).filter(F.col("admission_id") == admission_id)
+
+    def filled(self, table: str) -> DataFrame | None:
+        """Committed fills only, None before the first; the rows say which admission filled them."""
+        try:
+            rows = self.spark.read.parquet(self.path(f"filled/{table}"))
+        except AnalysisException as exc:
+            if not (exc.getCondition() or "").startswith(ABSENT):
+                raise
+            return None
+        return rows.join(self.apply_log().select("admission_id").distinct(), "admission_id", "left_semi")
 
     def apply_log(self) -> DataFrame:
-        return self.read("apply_log", LOG_FIELDS)
+        return self.read("apply_log", LOG_FIELDS + ", commit_bucket int, commit string").drop("commit_bucket", "commit")
 
     def append_log(self, entry: DataFrame) -> bool:
-        """Commit: append the log entry unless its admission already has one. The entry carries
-        the result evidence, so result and evidence appear in one file or not at all."""
+        """Commit: add the one-row log entry unless its admission already has one. The entry carries
+        the result evidence, so result and evidence appear in one file or not at all. Its folder is
+        named by the admission and must not exist, so of two applies at once one fails."""
         taken = self.apply_log().filter(F.coalesce(F.trim("admission_id"), F.lit("")) != "")
         fresh = entry.join(taken.select("admission_id"), "admission_id", "left_anti")
         if fresh.isEmpty():
             return False
-        fresh.select(*taken.columns).coalesce(1).write.mode("append").parquet(self.path("apply_log"))
+        named = F.when(F.trim("admission_id") != "", F.col("admission_id")).otherwise(F.col("apply_result_id"))
+        key = fresh.select(F.sha2(F.coalesce(named, F.expr("uuid()")), 256).alias("key")).head().key
+        place = f"apply_log/commit_bucket={int(key[:2], 16)}/commit={key}"
+        try:
+            fresh.select(*taken.columns).coalesce(1).write.mode("errorifexists").parquet(self.path(place))
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            return False
         return True

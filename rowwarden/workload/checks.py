@@ -567,14 +567,14 @@ def e9_fill_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digits_sql(text: str) -> str:
-    """A row hash: SHA-256 with its hex letters as digits."""
-    return f"translate(sha256({text}), 'abcdef', '012345')"
+    """A row hash: SHA-256 of the tagged key."""
+    return f"sha256(coalesce('k' || ({text}), 'n'))"
 
 
 def lanes_sql(hashed: str) -> str:
     """The digest text of a set of row hashes, lane by lane."""
     lanes = " || '|' || ".join(
-        f"coalesce(sum(substr({hashed}, {first}, {digits})::BIGINT), 0)::VARCHAR"
+        f"coalesce(sum(('0x' || substr({hashed}, {first}, {digits}))::BIGINT), 0)::VARCHAR"
         for first, digits in LANES)
     return f"count({hashed})::VARCHAR || '|' || {lanes}"
 
@@ -582,7 +582,7 @@ def lanes_sql(hashed: str) -> str:
 def summary_sql(check_id: str, action_id: str) -> str:
     table = REG.check(check_id).table
     return (f"SELECT '{check_id}' AS check_id, '{action_id}' AS action_id, count(*) AS target_count,"
-            f" 'sha256:' || sha256('{table}|' || {lanes_sql('h')}) AS target_fingerprint"
+            f" 'sha256:' || sha256('{table}|{action_id}|' || {lanes_sql('h')}) AS target_fingerprint"
             f" FROM (SELECT {digits_sql('k::VARCHAR')} AS h FROM ({target_sql(check_id, action_id)}))")
 
 

@@ -179,3 +179,25 @@ def test_two_tables_conflict(spark, warehouse):
     assert rows["dim_customer.schema_drift"].target_count == 0
     conflict = review.plan_conflicts(items).head()
     assert (conflict.ordinal, conflict.conflict) == (1, "conflicting mutating actions on the same table")
+
+
+def test_event_lost_after_the_commit_is_written_on_recovery(spark, prepared, frames, tmp_path, monkeypatch):
+    store, write = Store(spark, str(tmp_path)), Store.append_events
+    monkeypatch.setattr(Store, "append_events", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        run(spark, prepared, frames, tmp_path)
+    monkeypatch.setattr(Store, "append_events", write)
+    assert store.apply_log().count() == 1 and store.events().isEmpty()
+    for attempt in ("apply-2", "apply-3"):
+        again = run(spark, prepared, frames, tmp_path, run_id=attempt, at=100.0)
+        assert again.recovered and [e.event_id for e in store.events().collect()] == [again.event_id]
+
+
+def test_a_second_commit_of_one_admission_fails(spark, prepared, frames, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    run(spark, prepared, frames, tmp_path)
+    entry = stored(store.apply_log(), "entry")
+    monkeypatch.setattr(Store, "apply_log", lambda self: entry.filter("false"))  # a reader that came too early
+    assert store.append_log(entry) is False
+    monkeypatch.undo()
+    assert store.apply_log().count() == 1

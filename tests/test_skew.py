@@ -82,3 +82,28 @@ def test_plans_broadcast_only_what_fits(spark, rows, no_broadcast):
     parents = spark.range(2, 800).select(F.col("id").alias("k"))
     plan = checks.orphan_groups(frame, "k", parents)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_null_keys_pass_by_the_join(spark, no_broadcast):
+    """A third of nulls: kept by left and left_anti, matched by nothing, and column order stays."""
+    from rowwarden.operators.joins import skew_join
+
+    rows = spark.range(90).selectExpr("id AS a", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 5 END AS k", "id * 2 AS b")
+    lookup = spark.createDataFrame([(0, "x"), (1, "y"), (None, "z")], "k long, v string")
+    left = skew_join(rows, lookup, ["k"], "left", hot_rows=5)
+    assert left.columns == ["a", "k", "b", "v"] and left.count() == 90
+    assert left.filter("k IS NULL AND v IS NULL").count() == 30 and left.filter("v IS NOT NULL").count() == rows.filter("k < 2").count()
+    anti = skew_join(rows, lookup, ["k"], "left_anti", hot_rows=5)
+    assert anti.columns == rows.columns and anti.count() == 90 - rows.filter("k < 2").count()
+
+
+def test_orphans_keep_the_column_order(spark, no_broadcast):
+    from rowwarden.operators.checks import orphan_rows
+
+    rows = spark.createDataFrame([(2, 7, 9), (3, 8, None)], "id long, a long, fk long")
+    parents = spark.createDataFrame([(1,)], "fk long")
+    shuffled = orphan_rows(rows, "fk", parents)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10mb")
+    broadcast = orphan_rows(rows, "fk", parents)
+    assert shuffled.columns == broadcast.columns == rows.columns
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, broadcast.collect())) == [(2, 7, 9), (3, 8, None)]
