@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowwarden.llm.base import query, table
+from rowwarden.llm.base import fresh, query, table
 from rowwarden.operators.joins import skew_join
 from rowwarden.session import stored
 
@@ -33,18 +33,6 @@ def _removed(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
 
-def fresh(docs: DataFrame, *names: str) -> list[str]:
-    """Working column names that ``docs`` does not use (names compare without case)."""
-    used = {name.lower() for name in docs.columns}
-    out = []
-    for name in names:
-        while name.lower() in used:
-            name = f"_{name}"
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def measured(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``name`` of the measures and ``n_lines``; null is an empty text.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowwarden.llm.base import filled, query, slices, table
+from rowwarden.llm.base import filled, fresh, query, slices, table
 from rowwarden.llm.graph import components
 from rowwarden.session import stored
 
@@ -133,10 +133,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes(prints).drop("root"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        prints = np.array([fingerprint(x.as_py()) for x in filled(batch, "text").cast(pa.binary())], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "fp"])
+def _printed(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            prints = np.array([fingerprint(x.as_py()) for x in filled(batch, "text").cast(pa.binary())], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, name])
+    return run
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
@@ -147,14 +149,16 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     one of a class stays if none with a smaller id does."""
     prints = stored(fingerprints(docs), "fingerprints")
     known = stored(classes(prints), "labels")
-    unclear = stored(prints.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("id")), "unclear")
-    gone = stored(prints.join(known, "fp").filter("doc_id != component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("id"))
-    clear = docs.join(unclear, same, "left_anti").join(gone, same, "left_anti")
-    odd = docs.join(unclear, same, "left_semi")
-    odd = odd.mapInArrow(_printed, T.StructType([*odd.schema.fields, T.StructField("fp", T.LongType())]))
-    odd = odd.join(known, "fp").filter("doc_id <=> component_id").dropDuplicates(["root"]).select(docs.columns)
-    return clear.unionByName(odd)
+    id_, fp, root, least = fresh(docs, "id", "fp", "root", "component_id")
+    unclear = stored(prints.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias(id_)), "unclear")
+    gone = stored(prints.join(known, "fp").filter("doc_id != component_id").select(F.col("doc_id").alias(id_)).distinct(), "gone")
+    without = lambda rows, ids, how: rows.join(ids, rows["doc_id"].cast("long").eqNullSafe(ids[id_]), how)
+    clear = without(without(docs, unclear, "left_anti"), gone, "left_anti")
+    odd = without(docs, unclear, "left_semi").mapInArrow(
+        _printed(fp), T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    renamed = known.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(least))
+    odd = odd.join(renamed, fp).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(least))).dropDuplicates([root])
+    return clear.unionByName(odd.select(docs.columns))
 
 
 @query("op7_simhash")
