@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # Text handled at once inside a task. Bounds a worker's memory whatever the batch size is.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 6_000_000
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -41,6 +41,30 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(parts))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Working column names that ``docs`` does not use (names compare without case)."""
+    used = {name.lower() for name in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` of the rows: those whose ``key`` hashes least.
+
+    The rows are counted first, so that tasks send on only about three times ``n`` rows together
+    instead of ``n`` rows each."""
+    total, space = rows.count(), 1 << 40
+    ranked = rows.withColumn("sample_rank", F.pmod(F.xxhash64(key), F.lit(space)))
+    if total > 4 * n:
+        ranked = ranked.filter(F.col("sample_rank") < space * 3 * n // total)
+    return ranked.orderBy("sample_rank", *rows.columns).limit(n).drop("sample_rank")
+
+
 def filled(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A string column without nulls: a null text is an empty text."""
     return pc.fill_null(batch.column(name), "")

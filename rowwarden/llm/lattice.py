@@ -33,7 +33,7 @@ HEAD = 100_000  # words whose counts every task holds
 ROUNDS = 3  # of expectation-maximisation
 SMOOTHING = 0.1  # added to every piece's expected count
 BYTE, END = 0, 1  # edges besides the vocabulary's: one unknown byte, the end of a text
-CHUNK = 40_000  # words whose lattices are worked on at once, fewer if they are long
+CHUNK = 20_000  # words whose lattices are worked on at once, fewer if they are long
 MARK = "▁"
 MULTIPLIER, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -174,6 +174,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(words: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` words: all those above a count, found from a histogram of log counts."""
+    level = F.floor(8 * F.log2("c"))
+    sizes = words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # a few hundred rows
+    least, taken = None, 0
+    for row in sizes:
+        taken += row["count"]
+        if taken > n:
+            break
+        least = row["level"]
+    return words.filter(level >= least if least is not None else F.lit(False))
+
+
 def _expected(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, log_p = broadcast.value
@@ -256,7 +269,7 @@ def score(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     words = stored(word_counts(learned.select(F.col("text").cast("string").alias("text"))), "words")
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     train_tokens, distinct = totals["n"] + n_texts, totals["v"] + (n_texts > 0)
-    frequent = words.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
+    frequent = most_frequent(words, HEAD).toPandas()
     head = context.broadcast(dict(zip(frequent["word"].tolist(), frequent["c"].tolist(), strict=True)))
     model = context.broadcast(fitted(words, n_texts, name))
 
