@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowwarden.llm.base import encoded, filled, fold, query, slices, split_words, table
+from rowwarden.llm.base import bounded_sample, encoded, filled, fold, query, slices, split_words, table
 from rowwarden.llm.language import normal
 
 FOLDS = 5
@@ -217,9 +217,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Grammar:
     known = labels.filter((fold("doc_id", FOLDS) != 0) & F.col("toxic").isin(0, 1)).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sizes = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
-    key = F.xxhash64("doc_id").alias("key")
-    chosen = [known.filter(F.col("toxic") == c).select("doc_id", "toxic", key).orderBy("key", "doc_id").limit(TRAIN_DOCS) for c in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic")
+    chosen = [bounded_sample(known.filter(F.col("toxic") == c), "doc_id", TRAIN_DOCS) for c in (0, 1)]
+    ids = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most two classes of TRAIN_DOCS ids
     rows = texts.filter(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(
