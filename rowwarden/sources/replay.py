@@ -42,22 +42,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").alias("text"))
 
 
-def _object_keys(text: Column) -> Column:
-    return F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-
-
 def replay(lines: DataFrame) -> DataFrame:
     """(source, n_lines, proposal, problem): the last record of a source that has a proposal.
 
     A record is a proposal or an envelope around one. A source with a single record may hold
     the bare proposal; one unreadable line refuses its source.
     """
-    record = F.try_parse_json("text").isNotNull()
-    inner = F.get_json_object("text", "$.proposal")
-    carries = inner.isNotNull() & ~inner.isin("", "{}", "[]", "0", "false")
-    marked = lines.select(
-        "source", "position", "text", record.alias("readable"),
-        F.when(record & carries, inner).alias("inner"))
+    staged = lines.select("source", "position", "text", F.try_parse_json("text").alias("record"))
+    staged = staged.withColumn("held", F.try_variant_get("record", "$.proposal", "variant"))
+    # only a record that holds something under the name is read again for its text
+    inner = F.when(F.col("held").isNotNull(), F.get_json_object("text", "$.proposal"))
+    marked = staged.withColumn("inner", inner).select(
+        "source", "position", "text", F.col("record").isNotNull().alias("readable"),
+        F.when(~F.col("inner").isin("", "{}", "[]", "0", "false"), F.col("inner")).alias("inner"))
     per_source = marked.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.bool_and("readable").alias("readable"),
@@ -74,39 +71,41 @@ def replay(lines: DataFrame) -> DataFrame:
         problem.alias("problem"))
 
 
-def _strange_keys(text: Column, allowed: tuple[str, ...]) -> Column:
-    return F.size(F.array_except(_object_keys(text), F.array(*[F.lit(k) for k in allowed]))) > 0
+def _strange_keys(value: Column, allowed: tuple[str, ...]) -> Column:
+    """Does a variant object have other fields than these? What is no object has none."""
+    fields = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.coalesce(F.size(F.array_except(fields, F.array(*[F.lit(k) for k in allowed]))) > 0, F.lit(False))
 
 
 def parse_proposals(rows: DataFrame, text: str = "proposal") -> DataFrame:
     """Adds ``parsed`` (the proposal, null when refused), ``valid`` and ``violation``.
 
     Refused are unreadable JSON, unknown fields at any level, missing texts, a confidence outside
-    [0, 1], an action without id, rationale or evidence, and evidence with an empty id.
+    [0, 1], an action without id, rationale or evidence, and evidence with an empty id. A text is
+    parsed twice: into the typed proposal, and into a variant that knows all its fields.
     """
     raw = F.col(text)
-    parsed = F.from_json(raw, PROPOSAL_TYPE)
-    raw_actions = F.from_json(F.get_json_object(raw, "$.candidate_actions"), "array<string>")
-    staged = rows.withColumn("__p", parsed).withColumn("__a", raw_actions)
-    odd_action = F.exists("__a", lambda a: _strange_keys(a, ACTION_FIELDS) | F.exists(
-        F.from_json(F.get_json_object(a, "$.evidence"), "array<string>"),
-        lambda e: _strange_keys(e, EVIDENCE_FIELDS)))
+    staged = rows.withColumn("__p", F.from_json(raw, PROPOSAL_TYPE)).withColumn("__v", F.try_parse_json(raw))
+    odd_action = F.exists(
+        F.try_variant_get("__v", "$.candidate_actions", "array<variant>"),
+        lambda a: _strange_keys(a, ACTION_FIELDS) | F.coalesce(F.exists(
+            F.try_variant_get(a, "$.evidence", "array<variant>"), lambda e: _strange_keys(e, EVIDENCE_FIELDS)), F.lit(False)))
     blank = lambda value: F.coalesce(value, F.lit("")) == ""
     bad_action = F.exists(F.col("__p")["candidate_actions"], lambda a: (
         blank(a["action_id"]) | blank(a["rationale"])
         | (F.coalesce(F.size(a["evidence"]), F.lit(0)) == 0)
         | F.exists(a["evidence"], lambda e: blank(e["check_id"]) | blank(e["contract_id"]))))
     p = F.col("__p")
-    readable = F.try_parse_json(raw).isNotNull()
+    readable = F.col("__v").isNotNull()
     violation = (
         F.when(~F.coalesce(readable, F.lit(False)) | p.isNull(), "not a JSON object")
-        .when(_strange_keys(raw, PROPOSAL_FIELDS) | F.coalesce(odd_action, F.lit(False)), "unknown field")
+        .when(_strange_keys(F.col("__v"), PROPOSAL_FIELDS) | F.coalesce(odd_action, F.lit(False)), "unknown field")
         .when(p["summary"].isNull() | p["root_cause_hypothesis"].isNull(), "missing text")
         .when(~F.coalesce(p["confidence"].between(0.0, 1.0), F.lit(False)), "confidence outside [0, 1]")
         .when(F.coalesce(bad_action, F.lit(False)), "incomplete candidate action"))
     return staged.withColumn("violation", violation).withColumn(
         "valid", F.col("violation").isNull()).withColumn(
-        "parsed", F.when(F.col("violation").isNull(), p)).drop("__p", "__a")
+        "parsed", F.when(F.col("violation").isNull(), p)).drop("__p", "__v")
 
 
 def proposal_actions(parsed: DataFrame, *keys: str) -> DataFrame:
