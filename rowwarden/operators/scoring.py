@@ -5,6 +5,8 @@ Every proposal gets the same named scores; it passes when all of them do.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,6 +185,33 @@ def _rationale(passed: Column) -> Column:
     return F.when(~F.col("valid") & ~own, INVALID).when(illegal, ILLEGAL).otherwise(text)
 
 
+def score_details(justified: DataFrame) -> DataFrame:
+    """(proposal_id, name, detail, id): which ids a score objects to, each once.
+
+    Ids are what a proposal names, so their number has no bound; they are rows, not arrays. A
+    proposal without actions has no row here; what it omits is in ``compiler.omitted_items``.
+    """
+    entry, hit = F.col("e"), F.try_element_at(F.col("failed"), F.col("e")["check_id"])
+    cited = justified.select("proposal_id", "failed", "refusal", F.explode("evidence").alias("e")).select(
+        "proposal_id", entry["check_id"].alias("check_id"), hit.isNull().alias("unknown"),
+        (hit.isNotNull() & ~hit["contract_id"].eqNullSafe(entry["contract_id"])).alias("mismatched"))
+    named = lambda rows, name, detail, column: rows.select(
+        "proposal_id", F.lit(name).alias("name"), F.lit(detail).alias("detail"), F.col(column).alias("id"))
+    asked = justified.select("proposal_id", "action_id", "refusal").distinct()
+    covers = F.col("refusal").isNull() & F.exists("evidence", lambda e: e["check_id"] == F.col("due"))
+    owed = justified.select("proposal_id", "refusal", "evidence", F.explode(F.map_keys("failed")).alias("due"))
+    omitted = owed.groupBy("proposal_id", "due").agg(F.bool_or(covers).alias("covered")).filter("NOT covered")
+    parts = (
+        named(cited.filter("unknown"), "citation_quality", "unknown", "check_id"),
+        named(cited.filter("mismatched"), "citation_quality", "mismatched_contracts", "check_id"),
+        named(asked.filter(F.upper("action_id").rlike(DESTRUCTIVE)), "destructive_risk", "action_ids", "action_id"),
+        named(asked.filter(~F.col("action_id").isin(*ACTIONS)), "allowlist_compliance", "action_ids", "action_id"),
+        named(asked.filter("refusal IS NOT NULL"), "check_policy", "action_ids", "action_id"),
+        named(omitted, "check_policy", "omitted", "due"),
+    )
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def gate(scores: DataFrame) -> DataFrame:
     """Per proposal: passed, and every blocked reason in score order (at most one per score)."""
     blocked = F.when(~F.col("passed"), F.struct(

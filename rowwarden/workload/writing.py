@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from rowwarden import quality
 from rowwarden.functions.fingerprint import row_hash, set_digest
-from rowwarden.operators import lineage, suite
+from rowwarden.operators import lineage, proposals, scoring, suite
 from rowwarden.operators import remediation as fix
+from rowwarden.plans import compiler, review
 from rowwarden.session import checkpoint_dir, config_frame
 from rowwarden.sources.sinks import LOG_FIELDS, Store
-from rowwarden.workload import corpus, views
+from rowwarden.workload import corpus, governance, views
 from rowwarden.workload.base import ORACLES, query
 from rowwarden.workload.checks import REG, failing_sql, relation, summary_sql, target_sql
+from rowwarden.workload.corpus import with_corpus
 from rowwarden.workload.views import with_views
 
 AT = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -156,3 +158,40 @@ def h2_null_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one row
     return store.filled("orders").join(F.broadcast(written)).select(
         "o_orderkey", "o_totalprice", "filled", "target_count", "target_fingerprint", F.lit(hidden).alias("hidden_before"))
+
+
+@query("f10_details", with_corpus("""
+SELECT proposal_id, 'citation_quality' AS name, 'unknown' AS detail, check_id AS id FROM g_judged WHERE NOT in_failed
+UNION SELECT proposal_id, 'citation_quality', 'mismatched_contracts', check_id FROM g_judged WHERE in_failed AND mismatched
+UNION SELECT proposal_id, unnest(['destructive_risk', 'allowlist_compliance']), 'action_ids', action_id FROM g_judged
+  WHERE action_id = 'drop_table'
+UNION SELECT proposal_id, 'check_policy', 'action_ids', action_id FROM g_judged WHERE refusal IS NOT NULL
+UNION SELECT j.proposal_id, 'check_policy', 'omitted', r.check_id FROM (SELECT DISTINCT proposal_id, run_id FROM g_judged) j
+  JOIN g_results r ON r.run_id = j.run_id AND r.status = 'fail'
+  WHERE NOT EXISTS (SELECT 1 FROM g_judged c WHERE c.proposal_id = j.proposal_id AND c.check_id = r.check_id AND c.refusal IS NULL)
+""", *governance.BASE, "g_results", more=governance.JUSTIFIED))
+def f10_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scores of a proposal object to."""
+    judged = proposals.justify(corpus.actions(spark, sf_dir), corpus.results(spark, sf_dir), governance.REG, spark)
+    return scoring.score_details(judged).select("proposal_id", "name", "detail", "id")
+
+
+@query("g7_shadow", with_corpus("""
+SELECT p.proposal_id, count(g.check_id) + count(o.proposal_id) AS n_entries, count(o.proposal_id) AS n_blocked,
+  CASE WHEN count(o.proposal_id) > 0 THEN 'Next: do not request a Human Decision.'
+       WHEN count(g.check_id) > 0 THEN 'Next: the Shadow Review was recorded.' ELSE 'Next: no remediation is required.' END AS next
+FROM g_proposals p JOIN g_runs r ON r.run_id = p.run_id AND NOT r.incomplete
+LEFT JOIN g_good g ON g.proposal_id = p.proposal_id
+LEFT JOIN (SELECT NULL::BIGINT AS proposal_id WHERE FALSE) o ON o.proposal_id = p.proposal_id GROUP BY p.proposal_id""",
+    *governance.BASE, more=governance.GOOD))
+def g7_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each shadow review and its last advice; ids and digests are the engine's own."""
+    plans, items = governance._plans(spark, sf_dir, corpus.good_actions(spark, sf_dir))
+    judged = compiler.evaluations(plans, compiler.evaluate_plans(plans, items, governance.REG))
+    reviews = review.approval_reviews(plans, judged, review.review_items(items, governance.REG, spark))
+    texts = review.shadow_reviews(reviews, plans, items, governance.REG)
+    count = lambda pattern: F.regexp_count("body", F.lit(pattern)).cast("bigint")
+    complete = plans.filter("NOT incomplete").select("plan_id", "proposal_id")
+    return texts.join(complete, "plan_id").select(
+        "proposal_id", count("(?m)^Table: warehouse").alias("n_entries"), count("(?m)^Risk: unavailable").alias("n_blocked"),
+        F.regexp_extract("body", r"(?m)^(Next: [^.]*\.)", 1).alias("next"))
