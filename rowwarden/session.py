@@ -66,6 +66,16 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     and know the table's size, and the loss of an executor does not start them again.
     """
     spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/rowwarden/{uuid.uuid4().hex}/{name}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/rowwarden/{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete this application's stored tables, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

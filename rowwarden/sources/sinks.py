@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowwarden.operators.lineage import EVENT_FIELDS
@@ -30,10 +30,17 @@ EVENT_SCHEMA = ", ".join(
 QUARANTINE_SCHEMA = (
     "run_id string, table_name string, pk_json string, reason string, payload string,"
     " quarantined_at timestamp, pk_hash string, admission_id string, item_id string")
+CHECK_RUN_SCHEMA = (
+    "run_id string, report_id string, check_id string, contract_id string, status string,"
+    " n_failed bigint, n_total bigint, recorded_at timestamp, run_bucket int")
 CHECK_RUN_FIELDS = (
     "report_id", "check_id", "contract_id", "status", "n_failed", "n_total", "recorded_at")
 
 
+def _bucket(run: str) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(RUN_BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class Store:
     """Paths of the engine's tables. Between a folder's check and its creation plain Parquet leaves a
@@ -58,26 +65,25 @@ class Store:
     # -- check runs ---------------------------------------------------------------------
 
     def record_check_runs(self, results: DataFrame, report_id: str, recorded_at) -> None:
-        """One row per check without samples, one partition per run; a repeated run replaces its
-        own partition."""
+        """One row per check without samples. Runs share a fixed number of buckets; recording a run
+        again adds its rows, and readers take a run's last recording."""
         rows = results.withColumn("report_id", F.lit(report_id)).withColumn(
-            "recorded_at", F.lit(recorded_at).cast("timestamp"))
-        (rows.select("run_id", *CHECK_RUN_FIELDS).coalesce(1).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
-         .parquet(self.path("check_runs")))
+            "recorded_at", F.lit(recorded_at).cast("timestamp")).withColumn("run_bucket", _bucket("run_id"))
+        (rows.select("run_id", *CHECK_RUN_FIELDS, "run_bucket").repartition("run_bucket").write.mode("append")
+         .partitionBy("run_bucket").parquet(self.path("check_runs")))
 
     def check_runs(self) -> DataFrame:
-        return self.read(
-            "check_runs", "run_id string, report_id string, check_id string, contract_id string,"
-            " status string, n_failed bigint, n_total bigint, recorded_at timestamp")
+        rows = self.read("check_runs", CHECK_RUN_SCHEMA)
+        last = rows.groupBy("run_bucket", "run_id").agg(F.max("recorded_at").alias("recorded_at"))
+        kept = rows.join(last, ["run_bucket", "run_id", "recorded_at"], "left_semi").drop("run_bucket")
+        return kept.distinct()  # an attempt that was repeated wrote the same rows
 
     # -- audit events -------------------------------------------------------------------
 
     def append_events(self, events: DataFrame, occurred_at) -> None:
         """Add events that are not stored yet. Only the run buckets of the new events are read
         to find out: the semi join on the partition column prunes the others."""
-        keyed = events.dropDuplicates(["event_id"]).withColumn(
-            "run_bucket", F.pmod(F.xxhash64("quality_run_id"), F.lit(RUN_BUCKETS)).cast("int"))
+        keyed = events.dropDuplicates(["event_id"]).withColumn("run_bucket", _bucket("quality_run_id"))
         touched = keyed.select("run_bucket").distinct()
         stored = self.events().select("run_bucket", "event_id").join(
             F.broadcast(touched), "run_bucket", "left_semi")

@@ -1,5 +1,7 @@
 import json
-from datetime import datetime, timezone
+import subprocess
+import sys
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -79,3 +81,25 @@ def test_row_checks_on_a_stream(spark, tmp_path):
     assert sorted(r.order_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [9101, 9102, 9103]
     with pytest.raises(ValueError):
         failing_stream(registry, "fact_orders.order_nk.uniqueness", stream)
+
+
+def test_a_later_recording_replaces_a_run(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", "c1", "k", "pass", 0, 5), ("a", "c2", "k", "fail", 1, 5)],
+                                 "run_id string, check_id string, contract_id string, status string, n_failed long, n_total long")
+    store.record_check_runs(rows, "rep", AT)
+    store.record_check_runs(rows.filter("check_id = 'c1'").withColumn("n_failed", F.lit(3).cast("long")), "rep", AT + timedelta(hours=1))
+    assert [(r.check_id, r.n_failed) for r in store.check_runs().collect()] == [("c1", 3)]
+
+
+def test_stored_tables_can_be_dropped(tmp_path):
+    """In a session of its own process: the folder of one application goes, others stay."""
+    code = (
+        "import os, sys; sys.path.insert(0, os.getcwd())\n"
+        "from rowwarden.session import drop_stored, local_session, stored\n"
+        f"spark = local_session(1, **{{'spark.checkpoint.dir': {str(tmp_path)!r}}})\n"
+        "assert stored(spark.range(3), 'x').count() == 3\n"
+        f"os.makedirs({str(tmp_path)!r} + '/rowwarden/other'); drop_stored(spark)\n"
+        f"assert os.listdir({str(tmp_path)!r} + '/rowwarden') == ['other']; print('fine')")
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "fine" in ran.stdout, ran.stderr[-2000:]
