@@ -59,6 +59,7 @@ def bare_name(table: str) -> str:
     return table.rsplit(".", 1)[-1]
 
 
+# The fields of the declarations below are the vocabulary of registry documents.
 @dataclass(frozen=True)
 class ColumnContract:
     """``nullable`` and ``unique`` document the column; only checks enforce anything."""

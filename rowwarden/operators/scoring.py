@@ -29,7 +29,7 @@ THRESHOLDS = {
 # Identifiers with destructive meaning, and the slug rule.
 DESTRUCTIVE = "DROP|TRUNCATE|ALTER|DELETE"
 SLUG = r"(?U)\A\S+\z"  # no blank of any alphabet, no line break at the end
-# Rationale when a score passes and when it does not.
+# Rationale when a score passes and when it does not; all but the first pair are fixed values.
 RATIONALE = {
     "schema_validity": (
         "Candidate Proposal satisfies the output contract.",

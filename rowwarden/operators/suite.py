@@ -33,6 +33,7 @@ from rowwarden.operators.checks import (
 )
 from rowwarden.operators.joins import fits_broadcast, key_groups
 from rowwarden.registry import Registry
+from rowwarden.session import config_frame
 
 Frames = Mapping[str, DataFrame]
 
@@ -45,7 +46,6 @@ CHECK_FIELDS = (
     "check_id", "table", "column", "dimension", "status", "n_failed", "n_total", "message",
     "contract_id", "predicate",
 )
-from rowwarden.session import config_frame
 COUNTS = "check_id string, n_failed bigint, n_total bigint"
 
 
@@ -59,6 +59,7 @@ def _drift_names(registry: Registry, table: str, frames: Frames) -> tuple[list[s
     return sorted(found - expected), sorted(expected - found), len(expected | found)
 
 
+# The texts of drift results.
 def _drift_text(registry: Registry, table: str, frames: Frames) -> str:
     extra, missing, _ = _drift_names(registry, table, frames)
     if table not in frames:
@@ -154,6 +155,7 @@ def _counted(registry: Registry, frames: Frames, skip: Mapping[str, str]) -> lis
     return parts
 
 
+# The texts of data checks, whatever table they are about.
 def message_column() -> Column:
     """The result text of data checks, from counts and the check's own fields."""
     failed = F.col("n_failed").cast("string")
@@ -247,6 +249,7 @@ def _as_text(rows: DataFrame, name: str) -> Column:
 # -- reports: one row per run ------------------------------------------------------------
 
 
+# The texts of a run's outcome.
 def outcome_text(passed: Column, failed: Column, errors: Column) -> Column:
     counts = F.concat(
         passed.cast("string"), F.lit(" passed, "), failed.cast("string"), F.lit(" failed, "),

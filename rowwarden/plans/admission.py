@@ -189,6 +189,7 @@ def admission_refusals(
     expires = F.col("decided_at") + F.make_dt_interval(hours=F.lit(int(ttl_hours)), secs=F.lit(
         round((ttl_hours - int(ttl_hours)) * 3600, 6)))
     no = lambda flag: ~F.coalesce(F.col(flag), F.lit(False))
+    # fixed values: the texts, in the order the rules are looked at
     rules = (
         (F.col("run_id").isNull(), "remediation plan was not found"),
         (no("report_intact"), "quality report fingerprint does not match received payload"),
