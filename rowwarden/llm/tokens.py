@@ -19,7 +19,7 @@ from rowwarden.llm.base import encoded, ragged, split_words, worker_state
 
 SPECIAL = "<|"  # how special tokens begin
 SEPARATOR = "<|startoftext|>"
-KEPT_WORDS = 400_000  # remembered per worker; later words are encoded again when they return
+KEPT_WORDS = 200_000  # remembered per worker; later words are encoded again when they return
 CHUNK = 512
 
 
