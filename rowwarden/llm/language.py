@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowwarden.llm.base import encoded, filled, fold, query, slices, split_words, table
+from rowwarden.llm.base import bounded_sample, encoded, filled, fold, query, slices, split_words, table
 
 FOLDS = 5  # rows of fold 0 are held out
 TRAIN_DOCS = 3000  # labelled rows the model is fitted to, the least by hash of their id
@@ -33,6 +33,7 @@ RUN_WORDS = (3, 32)  # words between switches in a training sequence
 LEXICON = 400  # words of each language's lexicon
 BUCKETS = 1 << 16  # hashed n-gram and word features
 RATE, DECAY = 0.25, 1e-6
+CHUNK = 16_000  # words whose features are worked on at once
 UNKNOWN = "und"
 MIN_SCORE = 0.5  # documents below it are rejected by the filter
 
@@ -97,9 +98,12 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Score of every label for every word; each word has a feature, its own."""
-        ids, owners = features(words, self.lexicons)
-        starts = np.searchsorted(owners, np.arange(len(words)))
-        return np.add.reduceat(self.weights[ids], starts) if len(words) else np.zeros((0, len(self.labels)))
+        parts = [np.zeros((0, len(self.labels)), np.float32)]
+        for first in range(0, len(words), CHUNK):
+            some = words[first:first + CHUNK]
+            ids, owners = features(some, self.lexicons)
+            parts.append(np.add.reduceat(self.weights[ids], np.searchsorted(owners, np.arange(len(some)))))
+        return np.concatenate(parts)
 
 
 def posteriors(potentials: np.ndarray, codes: np.ndarray, bounds: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -245,7 +249,7 @@ def fitted(docs: DataFrame) -> Model:
     """The model of ``docs`` (doc_id, text, lang), from rows outside fold 0."""
     labelled = docs.filter(
         (fold("doc_id", FOLDS) != 0) & F.col("lang").isNotNull() & F.length("text").between(1, TRAIN_CHARS))
-    rows = labelled.select("text", "lang", F.xxhash64("doc_id").alias("key")).orderBy("key", "text").limit(TRAIN_DOCS).collect()
+    rows = bounded_sample(labelled.select("doc_id", "text", "lang"), "doc_id", TRAIN_DOCS).collect()
     return train([(row["text"], row["lang"]) for row in rows])
 
 
