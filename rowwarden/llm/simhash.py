@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from rowwarden.llm.base import filled, fresh, query, slices, table
 from rowwarden.llm.graph import components
+from rowwarden.operators.joins import skew_join
 from rowwarden.session import stored
 
 SHINGLE = 3
@@ -107,9 +108,9 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp): a number of its
-    class, and the least doc_id in the class (null if no row of it has an id)."""
-    known = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    """(fp, n, root, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp): its rows, a number
+    of its class, and the least doc_id in the class (null if no row of it has an id)."""
+    known = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     vertex = lambda kind, value: F.struct(F.col(kind).alias("kind"), F.col(value).alias("value"))
     edges = links(known.select("fp")).select(vertex("kind_u", "u").alias("u"), vertex("kind_v", "v").alias("v"))
     joined = stored(components(edges).filter("node.kind = 0").select(
@@ -118,10 +119,19 @@ def classes(prints: DataFrame) -> DataFrame:
     least = grouped.groupBy("root").agg(F.min("first_id").alias("root_id"))
     many = grouped.select("fp", "root").join(least, "root")
     return known.join(many, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"),
+        "fp", "n", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNotNull(), F.col("root_id")).otherwise(F.col("first_id")).alias("component_id"))
 
 
+def _labelled(prints: DataFrame, known: DataFrame) -> DataFrame:
+    """``prints`` with root and component_id. A fingerprint with more rows than a quarter of a shuffle
+    partition is matched by broadcast; there are at most four times as many as partitions."""
+    partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot_rows = max(1000, prints.count() // (4 * partitions))
+    return skew_join(
+        prints, known.drop("n"), ["fp"], "left", null_safe=True, sizes=known.select("fp", "n"), hot_rows=hot_rows)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most two bits.
 
@@ -130,7 +140,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     it and get their class's smallest id, null only if the class has no id. Other columns of
     ``docs``, whatever their names, are not read. An empty table gives an empty result."""
     prints = stored(fingerprints(docs), "fingerprints")
-    return prints.join(classes(prints).drop("root"), "fp", "left").select("doc_id", "fp", "component_id")
+    return _labelled(prints, stored(classes(prints), "labels")).select("doc_id", "fp", "component_id")
 
 
 def _printed(name: str):
@@ -151,7 +161,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     known = stored(classes(prints), "labels")
     id_, fp, root, least = fresh(docs, "id", "fp", "root", "component_id")
     unclear = stored(prints.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias(id_)), "unclear")
-    gone = stored(prints.join(known, "fp").filter("doc_id != component_id").select(F.col("doc_id").alias(id_)).distinct(), "gone")
+    gone = stored(_labelled(prints, known).filter("doc_id != component_id").select(F.col("doc_id").alias(id_)).distinct(), "gone")
     without = lambda rows, ids, how: rows.join(ids, rows["doc_id"].cast("long").eqNullSafe(ids[id_]), how)
     clear = without(without(docs, unclear, "left_anti"), gone, "left_anti")
     odd = without(docs, unclear, "left_semi").mapInArrow(
