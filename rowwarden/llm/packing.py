@@ -216,7 +216,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> Dat
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = tally.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("part", "length").orderBy("doc_id", "piece")
-    ranked = cut.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
+    # bases grow with the input; merging them uses the shuffle that the ranks need anyway
+    ranked = cut.join(bases.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         _placed(placed), f"{PIECES}, sequence_id long, offset long")
 
