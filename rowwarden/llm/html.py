@@ -2,8 +2,9 @@
 
 The first pass judges every block by itself: where it stands (menus, forms, comments and the like
 against the article), its link density, its length and its share of stop words. Short blocks and
-those with few stop words stay undecided. In the second pass they take the label of the nearest
-decided block before or after them. Each page is worked on alone, inside one task.
+those with few stop words stay undecided. In the second pass they are text inside an article; on other
+pages they take the label of the nearest block before or after them that its text decided, and are
+text where no block is text for sure. Each page is worked on alone, inside one task.
 """
 
 from __future__ import annotations
@@ -127,6 +128,10 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def has_tag(html: str) -> bool:
+    return html.find(">") >= 0 and TAG.search(html) is not None
+
+
 def decided(block: tuple[str, int, int]) -> int:
     """First pass: GOOD, BAD or UNSURE."""
     text, linked, place = block
@@ -140,12 +145,20 @@ def decided(block: tuple[str, int, int]) -> int:
 def main_text(html: str) -> str:
     """The page's text blocks, one line each.
 
-    On a page with an article, blocks outside it are boilerplate, and undecided blocks inside it
-    look for decided neighbours inside it; without any they are text. A tie between the neighbours
-    goes to the block before."""
+    On a page with an article, blocks outside it are boilerplate, and undecided blocks inside it are
+    text. On other pages an undecided block takes the label of the nearest block that its own text
+    decided; blocks in menus and other places of boilerplate go, and say nothing about their
+    neighbours. A tie goes to the block before. Where no block is text for sure, as in a language
+    without stop words here or on a page of short lines, all undecided blocks are text. Only a
+    text of fewer than ``SURE_WORDS`` words without any tag is no page and stays empty."""
     page = blocks(html)
     has_article = any(place == GOOD for _, _, place in page)
-    labels = [BAD if has_article and block[2] != GOOD else decided(block) for block in page]
+    page = [block for block in page if (block[2] == GOOD if has_article else block[2] != BAD)]
+    labels = [decided(block) for block in page]
+    if has_article or GOOD not in labels:
+        kept = [block[0] for block, label in zip(page, labels, strict=True) if label != BAD]
+        words = sum(len(text.split()) for text in kept)
+        return "\n".join(kept) if has_article or words >= SURE_WORDS or has_tag(html) else ""
     kept = []
     before, distance = None, 0  # nearest decided block before, and how far
     after: list[tuple[int, int]] = []  # the same after each block, from the end
@@ -157,9 +170,7 @@ def main_text(html: str) -> str:
     for block, label, (later, far) in zip(page, labels, after, strict=True):
         final = label
         if label == UNSURE:
-            near = [(n, order, other) for n, order, other in ((distance, 0, before), (far, 1, later))
-                    if other is not None and not (has_article and other == BAD)]
-            final = min(near)[2] if near else (GOOD if has_article else BAD)
+            final = min((n, order, other) for n, order, other in ((distance, 0, before), (far, 1, later)) if other is not None)[2]
         if final == GOOD:
             kept.append(block[0])
         before, distance = (label, 1) if label != UNSURE else (before, distance + 1)

@@ -117,6 +117,23 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+FINNISH = "Koira juoksi metsän läpi nopeasti kohti järveä jossa kalat uivat hiljaa syvällä"
+ENGLISH = "it is the end of the day and a long one for all of us"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div>{FINNISH}</div><div>{FINNISH}</div>", f"{FINNISH}\n{FINNISH}"),
+    (f"<nav>Etusivu</nav><ul><li><a href=/>Linkki</a></ul><h1>Otsikko</h1><p>{FINNISH}</p><footer>Loppu</footer>", f"Otsikko\n{FINNISH}"),
+    ("<table><tr><td>one<td>two<tr><td>three</table><p>- Hi!<p>- Hello.", "one\ntwo\nthree\n- Hi!\n- Hello."),
+    (f"<nav>Home</nav><h1>Title</h1><p>{ENGLISH}</p>", f"Title\n{ENGLISH}"),
+    (f"<p>{ENGLISH}</p><p>End</p><footer>Imprint</footer>", f"{ENGLISH}\nEnd"),
+    (f"<p>{ENGLISH}</p><p>near</p><p>far</p><p><a href=/>More</a></p>", f"{ENGLISH}\nnear"),
+    ("<nav>Home</nav><footer>Imprint</footer>", ""), (FINNISH, FINNISH),
+])
+def test_pages_without_article(page, text):
+    assert html.main_text(page) == text
+
+
 def test_extraction_of_awkward_pages(spark):
     rows = [(1, "u", None), (1, None, ""), (None, "u", "<article><p>é😀</p>"), (2, "u", "<article>" + "<p>x</p>" * 50_000), (3, "u", "<a \"" * 20_000)]
     pages = spark.createDataFrame([(*row, "x", 1) for row in rows], "page_id long, url string, html string, text string, n_chars int")
