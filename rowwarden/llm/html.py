@@ -33,12 +33,16 @@ PLACES = frozenset(
 BLOCKS = PLACES | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody caption figcaption pre hr address summary legend".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 TEXT = frozenset("article main".split())
-# Words in class, id or role that mark a place as boilerplate.
+# Names in class, id or role, or last parts of them, that mark a place as boilerplate.
 MARKS = frozenset((
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar footer cookie cookies consent notice notices notification alert popup modal overlay comment comments reply replies "
     "disqus share sharing social related recommended newsletter subscribe signup login form search widget pagination pager "
     "copyright disclaimer complementary contentinfo").split())
+# What may stand before a mark to say that something has it or lacks it, and after it without a meaning of its own.
+STATES = frozenset("has have no not with without hide show".split())
+FRAMES = frozenset("area box list".split())
+UNMARKED = frozenset("html body main".split())  # the whole page or its text, whatever its class says
 HEADER_MARKS = frozenset("header masthead topbar".split())  # boilerplate outside an article only
 # Frequent words of English, German, French and Spanish.
 STOPS = frozenset((
@@ -51,21 +55,41 @@ STOPS = frozenset((
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)"
     r"((?:[^'\">]|\"[^\"]{0,9999}\"|'[^']{0,9999}')*+|[^<>]*)>", re.S)
-ATTRIBUTES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+MARKED = frozenset("class id role".split())
 INVISIBLE = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-LETTERS = re.compile(r"[a-z]+")
+PARTING = re.compile(r"[\W\d_]+")
 
 
-def place_of(tag: str, attributes: str, inside: int) -> int:
-    """What an element says about the blocks in it: GOOD, BAD or, like its parent, ``inside``."""
+def marks_of(attributes: str) -> set[str]:
+    """Last part of every name in class, id and role: "footer" of "site-footer", "comment" of "comment-7".
+
+    Numbers and ``FRAMES`` at the end do not count; a name like "no-sidebar" marks nothing."""
+    marks = set()
+    for name, value in ATTRIBUTE.findall(attributes):
+        if name.lower() in MARKED:
+            for token in value.strip("\"'").lower().split():
+                parts = [part for part in PARTING.split(token) if part]
+                while len(parts) > 1 and parts[-1] in FRAMES:
+                    parts.pop()
+                if parts and not (len(parts) > 1 and parts[0] in STATES):
+                    marks.add(parts[-1])
+    return marks
+
+
+def place_of(tag: str, attributes: str, inside: int, in_article: bool = False) -> int:
+    """What an element says about the blocks in it: GOOD, BAD or, like its parent, ``inside``.
+
+    Marks say nothing of html, body, main and article. Only an article in another one, or in a place
+    of boilerplate, is a comment or a teaser if it is marked."""
     if tag in BOILERPLATE:
         return BAD
     marks = set()
     if attributes:
         if INVISIBLE.search(attributes):
             return BAD
-        for value in ATTRIBUTES.findall(attributes):
-            marks.update(LETTERS.findall(value.lower()))
+        if tag not in UNMARKED and (tag != "article" or in_article or inside == BAD):
+            marks = marks_of(attributes)
     if marks & MARKS or inside != GOOD and (tag == "header" or marks & HEADER_MARKS):
         return BAD
     return GOOD if tag in TEXT else inside
@@ -76,7 +100,7 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     pieces: list[str] = []
     linked, breaks, link = 0, 0, False
-    places: list[tuple[str, int]] = [("", UNSURE)]
+    places: list[tuple[str, int, bool]] = [("", UNSURE, False)]  # element, what it says, whether in an article
     at = 0
 
     def flush():
@@ -120,8 +144,9 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
             link = False
             if tag in PLACES:
                 if not closing:
-                    places.append((tag, place_of(tag, match[3], places[-1][1])))
-                elif any(tag == name for name, _ in places):
+                    _, inside, in_article = places[-1]
+                    places.append((tag, place_of(tag, match[3], inside, in_article), in_article or tag == "article"))
+                elif any(tag == name for name, _, _ in places):
                     while places.pop()[0] != tag:
                         pass
     flush()

@@ -134,6 +134,23 @@ def test_pages_without_article(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("opening", [
+    "<article class='post has-sidebar'>", "<main class=no-sidebar>", "<article class=sidebar>", "<article id=search-result-7>",
+    "<body class='nav menu'><article>", "<main class=search><article class=post>", "<div class='content social-news'>",
+    "<div id=search-result-7>", "<div data-id=menu data-role=nav>", "<div title='a class=nav b'>", "<div class=with-comments>",
+])
+def test_marks_that_are_none(opening):
+    assert html.main_text(f"{opening}<p>{ENGLISH}</p>") == ENGLISH
+
+
+@pytest.mark.parametrize("opening", [
+    "<div class=ad>", "<div class='x site-footer'>", "<section ID='comment-7'>", "<ol class=comment-list>", "<div role=navigation>",
+    "<div data-x='1'class=\"nav\">", "<article class=comment>", "<div class=left_sidebar>", "<section class=comments><article class=comment>",
+])
+def test_marks_inside_an_article(opening):
+    assert html.main_text(f"<article><p>{ENGLISH}</p>{opening}<p>{FINNISH}</p>") == ENGLISH
+
+
 def test_extraction_of_awkward_pages(spark):
     rows = [(1, "u", None), (1, None, ""), (None, "u", "<article><p>é😀</p>"), (2, "u", "<article>" + "<p>x</p>" * 50_000), (3, "u", "<a \"" * 20_000)]
     pages = spark.createDataFrame([(*row, "x", 1) for row in rows], "page_id long, url string, html string, text string, n_chars int")
