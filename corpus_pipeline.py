@@ -20,7 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not recognised go. The model is learned from this stage's input."""
+    """Documents whose language is not recognised go. The model is learned from this stage's input;
+    where no row of it has a language, only documents without letters go."""
     return language.recognised_documents(docs)
 
 

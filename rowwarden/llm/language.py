@@ -8,8 +8,8 @@ language persists and how text switches. Labelling is the exact forward-backward
 the whole text, for many texts at once. A text's language is the one with the greatest mean
 posterior over its words, and that mean is its score.
 
-The model is fitted on the driver to a bounded sample of labelled rows; the texts are labelled by
-Spark tasks, each row alone.
+The model is fitted on the driver to a bounded sample of labelled rows, drawn so that no language is
+missing from it; the texts are labelled by Spark tasks, each row alone.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowwarden.llm.base import bounded_sample, encoded, filled, fold, query, slices, split_words, table
+from rowwarden.llm.base import encoded, filled, fold, query, slices, split_words, table
 
 FOLDS = 5  # rows of fold 0 are held out
-TRAIN_DOCS = 3000  # labelled rows the model is fitted to, the least by hash of their id
+TRAIN_DOCS = 3000  # labelled rows the model is fitted to, about, drawn by hash of their id
+RARE_DOCS = 6000  # of rare languages more are drawn: about this many rows over all languages,
+LEAST_DOCS = (20, 200)  # but of each language at least and at most so many, or all it has
 TRAIN_CHARS = 20_000  # longest text among them
 SEQUENCES, SEQUENCE_WORDS, BATCH, EPOCHS = 5000, 64, 250, 4
 RUN_WORDS = (3, 32)  # words between switches in a training sequence
@@ -245,12 +247,32 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     return languages, scores
 
 
-def fitted(docs: DataFrame) -> Model:
-    """The model of ``docs`` (doc_id, text, lang), from rows outside fold 0."""
+def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
+    """(text, lang) of the rows of ``docs`` that the model is fitted to, from rows outside fold 0.
+
+    A row is drawn if the hash of its id is below its language's threshold, which lets through about
+    the same share of all languages, ``TRAIN_DOCS`` rows together, and of each about ``LEAST_DOCS`` rows
+    at least, so a language that only one row in a million has is learned. Ids are counted, not
+    rows: a repeated row counts once."""
     labelled = docs.filter(
-        (fold("doc_id", FOLDS) != 0) & F.col("lang").isNotNull() & F.length("text").between(1, TRAIN_CHARS))
-    rows = bounded_sample(labelled.select("doc_id", "text", "lang"), "doc_id", TRAIN_DOCS).collect()
-    return train([(row["text"], row["lang"]) for row in rows])
+        (fold("doc_id", FOLDS) != 0) & F.col("lang").isNotNull() & F.length("text").between(1, TRAIN_CHARS)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # as many rows as languages
+    sizes = {row["lang"]: max(row["n"], 1) for row in labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
+    if not sizes:
+        return []
+    total, space = sum(sizes.values()), 1 << 40
+    least = max(LEAST_DOCS[0], min(LEAST_DOCS[1], RARE_DOCS // len(sizes)))
+    limits = docs.sparkSession.createDataFrame(
+        [(lang, int(space * min(1.0, max(TRAIN_DOCS / total, least / n)))) for lang, n in sizes.items()], "lang string, below long")
+    drawn = labelled.join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < F.col("below"))
+    rows = drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    return [(row["text"], row["lang"]) for row in sorted(rows, key=lambda row: (row["doc_id"], row["lang"]))]
+
+
+def fitted(docs: DataFrame) -> Model:
+    """The model of ``docs`` (doc_id, text, lang). Its size grows with the number of languages."""
+    return train(training_rows(docs))
 
 
 def _label(broadcast):
@@ -282,13 +304,19 @@ def _recognised(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
         for batch in slices(batches, "text"):
-            _, scores = predict(filled(batch, "text"), model)
-            yield batch.filter(pa.array(scores >= MIN_SCORE))
+            texts = filled(batch, "text")
+            if model.labels:
+                yield batch.filter(pa.array(predict(texts, model)[1] >= MIN_SCORE))
+            else:
+                yield batch.filter(pa.array([any(map(str.isalpha, text)) for text in texts.to_pylist()], pa.bool_()))
     return run
 
 
 def recognised_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a score of at least ``MIN_SCORE``."""
+    """The rows of ``docs`` whose language is recognised with a score of at least ``MIN_SCORE``.
+
+    Without any labelled row to learn from no language can be recognised; then every row whose text
+    has a letter stays."""
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs))
     return docs.mapInArrow(_recognised(model), docs.schema)
 

@@ -57,6 +57,24 @@ def test_languages_of_held_out_rows(documents, awkward, nothing):
     assert rows_of(language.identify(unlabelled).select("lang_pred", "score")) == [("und", 0.0)]
 
 
+def test_rare_languages_are_learned(documents, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_DOCS", 150)
+    rng = random.Random(4)
+    rows = [(n, spoken(rng, SYLLABLES[lang], 30), lang) for n in range(3000) for lang in ["cc" if n % 300 == 7 else rng.choice(["aa", "bb"])]]
+    rows += [(9, "ba lu", "dd"), *[(rows[7][0], rows[7][1], "cc")] * 500]  # a label of one row; a repeated row
+    docs = documents(*rows)
+    found = {row["doc_id"]: row["lang_pred"] for row in language.identify(docs).collect()}
+    assert [found[n] for n in range(3000) if rows[n][2] == "cc"] == ["cc"] * 10
+    drawn = language.training_rows(docs)
+    assert sum(lang == "cc" for _, lang in drawn) in range(5, 11)  # but those of fold 0
+    assert "dd" in {lang for _, lang in drawn} and 150 < sum(lang == "aa" for _, lang in drawn) < 250 and len(drawn) < 500
+
+
+def test_documents_without_any_language_stay(documents):
+    docs = documents((1, "ba bo", None), (2, "12 34", None), (3, None, None), (4, " é ", None))
+    assert rows_of(language.recognised_documents(docs).select("doc_id")) == [(1,), (4,)]
+
+
 def test_grammar_states():
     t, automaton = toxicity, toxicity.Automaton()
     read = lambda *symbols: t.KINDS[automaton.read(list(symbols))]
