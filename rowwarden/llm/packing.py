@@ -9,7 +9,10 @@ Search: take the greatest length left, enumerate the undominated fillings of the
 (no chosen piece can be swapped for a greater one that fits, no two for one of their summed length), least waste
 first, and branch. The incumbent is best-fit decreasing. A branch is cut when its waste exceeds
 what a packing with one sequence less may waste; the search ends at the lower bound
-ceil(tokens / LIMIT) or after ``MAX_NODES`` fillings, with the best packing so far.
+ceil(tokens / LIMIT) or at its budget of nodes, with the best packing so far, and logs which it was.
+It is exact only within its budgets: ``MAX_NODES`` or more nodes, ``MAX_STEPS`` steps of a node's
+enumeration, which vary the second-greatest length of a sequence first, and ``MAX_FILLINGS`` branches
+of a node. A filling is used as often as the pieces allow, never fewer times.
 
 A piece then takes its place by its rank among the pieces of its length. Ranks are counted per
 slice of the input and length and added up, so a length that a third of all pieces share is no
@@ -18,9 +21,10 @@ single group. Every filling occupies a run of ranks of each of its lengths.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +40,13 @@ LIMIT = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 SLICES = 4096  # groups of input partitions in which ranks are counted
-MAX_NODES = 6_000  # fillings tried by the search
+MAX_NODES = 6_000  # nodes of the search, or
+NODES_A_LENGTH = 4  # so many per distinct length, if that is more: one dive may take a node per length
 MAX_STEPS = 300  # steps of one enumeration of fillings
 MAX_FILLINGS = 8  # branches of one node
+SPREAD = 16  # second-greatest lengths that an enumeration takes in turn
+
+LOG = logging.getLogger(__name__)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Filling = tuple[tuple[int, int], ...]  # (length, pieces of it), greatest first
@@ -96,28 +104,54 @@ def best_fit_decreasing(counts: dict[int, int], limit: int) -> Packing:
 def fillings(counts: np.ndarray, room: int) -> list[tuple[int, dict[int, int]]]:
     """Undominated fillings of ``room`` as (waste, pieces), least waste first.
 
-    ``counts[x]`` is the number of pieces of length x. Depth-first over non-increasing lengths; the
-    first leaf is the greedy filling, and enumeration stops at enough fillings without waste."""
+    ``counts[x]`` is the number of pieces of length x. Every length may be the greatest of a filling;
+    ``SPREAD`` of them are taken in turn, at first evenly spaced ones, and below each the search is
+    depth-first over non-increasing lengths. Enumeration stops at enough fillings without waste;
+    the greedy filling stands in if none is found before."""
     lengths = np.flatnonzero(counts[:room + 1]).tolist()
+    if not lengths:
+        return [(room, {})]
     found: list[tuple[int, dict[int, int]]] = []
-    steps, exact, greedy = 0, 0, None
-    stack: list[tuple[int, int, dict[int, int]]] = [(len(lengths), room, {})]  # lengths below the index may follow
-    while stack and steps < MAX_STEPS and exact < MAX_FILLINGS:
-        at, left, chosen = stack.pop()
-        steps += 1
-        at = min(at, bisect_right(lengths, left))
-        while at and counts[lengths[at - 1]] <= chosen.get(lengths[at - 1], 0):
-            at -= 1
-        if not at:
-            greedy = greedy or (left, chosen)
-            if not _dominated(counts, chosen, left):
-                found.append((left, chosen))
-                exact += not left
-            continue
-        length = lengths[at - 1]
-        stack.append((at - 1, left, chosen))  # later: without this length
-        stack.append((at, left - length, {**chosen, length: chosen.get(length, 0) + 1}))
-    return sorted(found or [greedy], key=lambda x: (x[0], sum(x[1].values())))[:MAX_FILLINGS]
+    steps, exact = 0, 0
+    order = list(range(len(lengths), 0, -1))
+    spaced = order[::-(-len(order) // SPREAD)]
+    waiting = deque(spaced + sorted(set(order) - set(spaced), reverse=True))
+    # a stack for each greatest length: the lengths below the index may follow
+    turns: deque[list[tuple[int, int, dict[int, int]]]] = deque()
+    while (turns or waiting) and steps < MAX_STEPS and exact < MAX_FILLINGS:
+        if waiting and len(turns) < SPREAD:
+            at = waiting.popleft()
+            stack = [(at, room - lengths[at - 1], {lengths[at - 1]: 1})]
+        else:
+            stack = turns.popleft()
+        leaf = False
+        while stack and not leaf and steps < MAX_STEPS:
+            at, left, chosen = stack.pop()
+            steps += 1
+            at = min(at, bisect_right(lengths, left))
+            while at and counts[lengths[at - 1]] <= chosen.get(lengths[at - 1], 0):
+                at -= 1
+            if not at:
+                leaf = True
+                if not _dominated(counts, chosen, left):
+                    found.append((left, chosen))
+                    exact += not left
+                continue
+            length = lengths[at - 1]
+            stack.append((at - 1, left, chosen))  # later: without this length
+            stack.append((at, left - length, {**chosen, length: chosen.get(length, 0) + 1}))
+        if stack:
+            turns.append(stack)
+    return sorted(found or [_greedy(counts, lengths, room)], key=lambda x: (x[0], sum(x[1].values())))[:MAX_FILLINGS]
+
+
+def _greedy(counts: np.ndarray, lengths: list[int], room: int) -> tuple[int, dict[int, int]]:
+    """The filling that takes as many of each length as fit, greatest first."""
+    chosen = {}
+    for length in reversed(lengths):
+        if k := min(int(counts[length]), room // length):
+            chosen[length], room = k, room - k * length
+    return room, chosen
 
 
 def _dominated(counts: np.ndarray, chosen: dict[int, int], left: int) -> bool:
@@ -131,8 +165,10 @@ def _dominated(counts: np.ndarray, chosen: dict[int, int], left: int) -> bool:
     return any(free[a + b] for n, a in enumerate(held) for b in held[n:] if a != b or chosen[a] > 1)
 
 
-def complete(counts: dict[int, int], limit: int = LIMIT, max_nodes: int = MAX_NODES) -> Packing:
+def complete(counts: dict[int, int], limit: int = LIMIT, max_nodes: int | None = None) -> Packing:
     """The packing of a histogram {length: pieces} found by bin completion."""
+    if max_nodes is None:
+        max_nodes = max(MAX_NODES, NODES_A_LENGTH * len(counts))
     best = best_fit_decreasing(counts, limit)
     fewest = sum(n for _, n in best)
     tokens = sum(length * n for length, n in counts.items())
@@ -170,6 +206,7 @@ def complete(counts: dict[int, int], limit: int = LIMIT, max_nodes: int = MAX_NO
             pieces_of = Counter(chosen)
             pieces_of[top] += 1
             stack.append((left, tuple(sorted(pieces_of.items(), reverse=True)), waste_here, used, waste, done))
+    LOG.info("%d sequences after %d nodes; the lower bound is %d%s", fewest, nodes, bound, "" if fewest > bound else ", reached")
     return best
 
 

@@ -61,6 +61,23 @@ def test_completion_is_optimal_on_small_cases():
     assert packing.complete({}, 20) == []
 
 
+def test_completion_varies_the_greater_lengths(caplog):
+    for seed in range(3):
+        rng = random.Random(seed)
+        lengths = []
+        for _ in range(60):  # full sequences of two or three pieces
+            cuts = sorted(rng.sample(range(1, 4096), rng.choice([2, 3]) - 1))
+            lengths += [b - a for a, b in zip([0, *cuts], [*cuts, 4096], strict=True)]
+        counts = dict(Counter(lengths))
+        assert sum(n for _, n in packing.best_fit_decreasing(counts, 4096)) > 60
+        with caplog.at_level("INFO", packing.__name__):
+            assert sum(n for _, n in packing.complete(counts)) == 60
+        assert "lower bound is 60, reached" in caplog.messages[-1]
+    many = np.zeros(4097, np.int64)
+    many[3] = 5000
+    assert packing.fillings(many, 4096) == [(1, {3: 1365})]  # more pieces than steps
+
+
 def test_completion_beats_best_fit():
     counts = {44: 2, 24: 4, 22: 4, 21: 2, 17: 2, 8: 3, 6: 6}  # best fit opens more than the bound
     bound = -(-sum(x * n for x, n in counts.items()) // 61)
