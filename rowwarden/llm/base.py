@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,17 @@ def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return ranked.orderBy("sample_rank", *rows.columns).limit(n).drop("sample_rank")
 
 
+def shipped(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast that carries this package's classes with it. A plain one names their modules, which
+    executors without this repository cannot import."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast: Broadcast) -> Any:
+    """The object of ``shipped``, inside a task."""
+    return pickle.loads(broadcast.value)
+
+
 def filled(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A string column without nulls: a null text is an empty text."""
     return pc.fill_null(batch.column(name), "")

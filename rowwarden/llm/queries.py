@@ -2,12 +2,15 @@
 
 from rowwarden.llm import (  # noqa: F401
     attribution,
+    centroids,
     decontaminate,
     html,
     language,
     lattice,
     packing,
+    pieces,
     quality,
+    resampling,
     simhash,
     toxicity,
     urls,
