@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowwarden.llm.base import encoded, filled, fold, query, slices, split_words, table
+from rowwarden.llm.base import encoded, filled, fold, query, received, shipped, slices, split_words, table
 
 FOLDS = 5  # rows of fold 0 are held out
 TRAIN_DOCS = 3000  # labelled rows the model is fitted to, about, drawn by hash of their id
@@ -277,7 +277,7 @@ def fitted(docs: DataFrame) -> Model:
 
 def _label(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = broadcast.value
+        model = received(broadcast)
         for batch in slices(batches, "text"):
             languages, scores = predict(filled(batch, "text"), model)
             yield pa.RecordBatch.from_arrays(
@@ -293,7 +293,7 @@ def identify(docs: DataFrame) -> DataFrame:
     from, gives ``und`` with score 0. A null lang is not learned from; a null doc_id is neither held
     out nor learned from. Repeated rows are labelled alike; other columns are not read; an empty
     table gives no rows."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs))
+    model = shipped(docs.sparkSession, fitted(docs))
     rows = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"),
         F.coalesce(fold("doc_id", FOLDS) == 0, F.lit(False)).alias("held_out"))
@@ -302,7 +302,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def _recognised(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = broadcast.value
+        model = received(broadcast)
         for batch in slices(batches, "text"):
             texts = filled(batch, "text")
             if model.labels:
@@ -317,7 +317,7 @@ def recognised_documents(docs: DataFrame) -> DataFrame:
 
     Without any labelled row to learn from no language can be recognised; then every row whose text
     has a letter stays."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs))
+    model = shipped(docs.sparkSession, fitted(docs))
     return docs.mapInArrow(_recognised(model), docs.schema)
 
 

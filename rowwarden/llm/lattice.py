@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowwarden.llm.base import encoded, filled, fold, query, slices, split_words, table
+from rowwarden.llm.base import encoded, filled, fold, query, received, shipped, slices, split_words, table
 from rowwarden.llm.tokens import vocabulary
 from rowwarden.session import stored
 
@@ -189,7 +189,7 @@ def most_frequent(words: DataFrame, n: int) -> DataFrame:
 
 def _expected(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, log_p = broadcast.value
+        pieces, log_p = received(broadcast)
         total = np.zeros(len(log_p))
         for batch in batches:
             total += forward(pieces, log_p, batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float))[1]
@@ -200,12 +200,11 @@ def _expected(broadcast):
 
 def fitted(words: DataFrame, n_texts: int, name: str = VOCABULARY) -> tuple[Pieces, np.ndarray]:
     """The vocabulary and its log probabilities for the training words (word, c)."""
-    context = words.sparkSession.sparkContext
     pieces, start = Pieces.load(name)
     log_p = np.log(start)
     log_p[BYTE] -= np.log(256)
     for _ in range(ROUNDS):
-        model = context.broadcast((pieces, log_p))
+        model = shipped(words.sparkSession, (pieces, log_p))
         rows = words.mapInArrow(_expected(model), "edge long, n double").groupBy("edge").agg(F.sum("n").alias("n")).collect()
         expected = np.zeros(len(log_p))
         for row in rows:  # at most one per piece
@@ -220,7 +219,7 @@ ROWS = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, lo
 
 def _scored(model, head, end_count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (pieces, log_p), known = model.value, head.value
+        (pieces, log_p), known = received(model), head.value
         for batch in slices(batches, "text"):
             flat, bounds = split_words(filled(batch, "text"))
             words, codes = encoded(flat)
@@ -271,7 +270,7 @@ def score(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     train_tokens, distinct = totals["n"] + n_texts, totals["v"] + (n_texts > 0)
     frequent = most_frequent(words, HEAD).toPandas()
     head = context.broadcast(dict(zip(frequent["word"].tolist(), frequent["c"].tolist(), strict=True)))
-    model = context.broadcast(fitted(words, n_texts, name))
+    model = shipped(docs.sparkSession, fitted(words, n_texts, name))
 
     scored = stored(rows.mapInArrow(_scored(model, head, n_texts), ROWS), "scored")
     rare = scored.filter("word is not null").select("uid", "word", "tf").join(words, "word")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowwarden.llm.base import bounded_sample, encoded, filled, fold, query, slices, split_words, table
+from rowwarden.llm.base import bounded_sample, encoded, filled, fold, query, received, shipped, slices, split_words, table
 from rowwarden.llm.language import normal
 
 FOLDS = 5
@@ -229,7 +229,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Grammar:
 
 def _score(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = broadcast.value
+        grammar = received(broadcast)
         for batch in slices(batches, "text"):
             scores = grammar.scores(filled(batch, "text"))
             yield pa.RecordBatch.from_arrays(
@@ -246,7 +246,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     one. Without labels of both classes nothing is known to insult and the given weights are
     used. A null doc_id is neither held out nor learned from. Repeated rows are scored alike; other
     columns are not read; an empty table gives no rows."""
-    grammar = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    grammar = shipped(docs.sparkSession, fitted(docs, labels))
     rows = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"),
         F.coalesce(fold("doc_id", FOLDS) == 0, F.lit(False)).alias("held_out"))
