@@ -28,7 +28,7 @@ COMPONENTS = 64
 SCALE = 256
 SEED = 2
 LEADING_SHARE = 0.9  # of the variance in the leading coordinates
-GREATEST = 1 << 28  # absolute component up to which a squared distance fits a long: 64 * (2 * 2**28)**2 = 2**64 / 4
+GREATEST = 1 << 27  # absolute component below which squared distances fit a long: 64 * (2 * 2**27)**2 = 2**62
 MARGIN = 1e-9  # of the squared norms, against rounding of the bounds
 CHUNK = 2048  # vectors whose distances are computed at once
 
@@ -192,7 +192,7 @@ def cluster(embeddings: DataFrame, *, k: int = CENTROIDS, rounds: int = ROUNDS,
     Vectors that are null, have another number of components, or a null or non-finite one, are left
     out. With fewer than ``k`` vectors each is a centroid; with none there are no rows. Repeated rows
     count as often as they occur; rows without an id are clustered like others, as centroids after
-    those with one. Other columns are not read. Scaled components of 2**28 or more raise, since
+    those with one. Other columns are not read. Scaled components of 2**27 or more raise, since
     squared distances would not fit a long.
 
     Integers and rotated coordinates are written once and read in every round. A task sends one row per
