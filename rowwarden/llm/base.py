@@ -83,8 +83,8 @@ def filled(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(batch.column(name), "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each piece holds about ``SLICE_BYTES`` of text, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each piece holds about ``most`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -92,7 +92,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBa
         ends, start = np.cumsum(size), 0
         while start < len(size):
             base = ends[start] - size[start]
-            stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -31,7 +32,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 LOST = "\ufffd"  # stands for a byte that is no UTF-8
 UNKNOWN_TEXT = " ⁇ "
-KEPT_SEGMENTS = 150_000  # remembered per worker; others are encoded again when they return
+SLICE = 1_500_000  # bytes of text encoded at once
+KEPT_SEGMENTS = 200_000  # remembered per worker; others are encoded again when they return
 KEPT_LETTERS = 64  # of a remembered segment at most
 KEPT_PAIRS = 300_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -64,15 +66,17 @@ class PieceEncoder:
         self.score = {name: proto.pieces[n].score for name, n in normal.items()}
         self.id_of = normal
         # only a piece that its own merges reach can be a token of a text
-        reached = [name for name in normal if len(name) == 1 or self.merged(name) == [name]]
-        self.longest = max(map(len, reached), default=1)
+        self.split: dict[str, tuple[str, str]] = {}  # its last merge
+        reached = [name for name in normal if len(name) == 1 or self.merged(name, self.split) == [name]]
+        self.spines: dict[str, tuple | None] = {}
         self.automaton = ahocorasick.Automaton()
         for name in reached:
-            self.automaton.add_word(name, name)
+            if len(name) > 1:
+                self.automaton.add_word(name, (name, len(name), {}))  # with what is known of tokens before it
         self.automaton.make_automaton()
         self.segment = self._segments(reached)
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.room = KEPT_PAIRS
         self._surfaces()
 
     @classmethod
@@ -91,8 +95,9 @@ class PieceEncoder:
             return re.compile(f"(?s){SPACE}+|.")
         return re.compile(f"(?s){SPACE}*[{body}]+|{SPACE}+|.")
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by merging: the best score first, of equal ones the leftmost."""
+    def merged(self, text: str, splits: dict | None = None) -> list[str]:
+        """The pieces of a short text by merging: the best score first, of equal ones the leftmost.
+        ``splits`` gets the merge that made the whole text, if one did."""
         parts: list[str | None] = list(text)
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
@@ -112,6 +117,8 @@ class PieceEncoder:
             if parts[left] != a or parts[right] != b or after[left] != right:
                 continue
             parts[left], parts[right] = a + b, None
+            if splits is not None and len(a) + len(b) == len(text):
+                splits[text] = (a, b)
             after[left] = after[right]
             if after[right] < len(parts):
                 before[after[right]] = left
@@ -120,32 +127,72 @@ class PieceEncoder:
             offer(left)
         return [part for part in parts if part is not None]
 
-    def compatible(self, left: str, right: str) -> bool:
-        """May ``right`` follow ``left`` in an encoding?"""
-        key = (left, right)
-        found = self.pairs.get(key)
+    def _spine(self, token: str, side: int) -> list[tuple[str, float]] | None:
+        """What stands at a token's left (0) or right (1) end while it is merged, each with the score of the
+        merge that takes it up; None where scores do not fall from merge to merge."""
+        steps, score = [(token, float("-inf"))], float("-inf")
+        while token in self.split:
+            if self.score[token] <= score:
+                return None
+            score = self.score[token]
+            token = self.split[token][side]
+            steps.append((token, score))
+        return steps[::-1]
+
+    def _ends(self, token: str) -> tuple:
+        found = self.spines.get(token)
         if found is None:
-            found = left + right not in self.score and self.merged(left + right) == [left, right]
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = found
+            found = self.spines[token] = (self._spine(token, 0), self._spine(token, 1))
         return found
 
+    def _untouched(self, left: str, right: str) -> bool | None:
+        """Does no merge cross from ``left`` into ``right``? None where equal scores leave it open."""
+        ends, starts = self._ends(left)[1], self._ends(right)[0]
+        if ends is None or starts is None:
+            return None
+        i = j = 0
+        while True:
+            (a, taken_a), (b, taken_b) = ends[i], starts[j]
+            crossing = self.score.get(a + b)
+            if crossing is not None:
+                if crossing > taken_a and crossing > taken_b:
+                    return False
+                if crossing in (taken_a, taken_b):
+                    return None
+            if i == len(ends) - 1 and j == len(starts) - 1:
+                return True
+            if taken_a == taken_b:
+                return None
+            if taken_a > taken_b:
+                i += 1
+            else:
+                j += 1
+
+    def compatible(self, left: str, right: str) -> bool:
+        """May ``right`` follow ``left`` in an encoding? The merges at their common edge are followed; where
+        equal scores make the order matter, both are merged anew."""
+        found = self._untouched(left, right)
+        return self.merged(left + right) == [left, right] if found is None else found
+
     def last_tokens(self, text: str) -> list[str]:
         """The prefix table: the last token of every non-empty prefix of a segment.
 
-        A character that no other candidate explains is a token of its own, in the vocabulary or not."""
+        A character that no longer candidate takes in is a token of its own, in the vocabulary or not."""
         last = list(text)
         decided = -1
-        pairs, compatible = self.pairs, self.compatible
-        for end, token in self.automaton.iter(text):  # at one place the longest comes first
+        for end, (token, size, before) in self.automaton.iter(text):  # at one place the longest comes first
             if end == decided:
                 continue
-            start = end - len(token)
+            start = end - size
             if start >= 0:
-                key = (last[start], token)
-                found = pairs.get(key)
-                if not (compatible(*key) if found is None else found):
+                previous = last[start]
+                found = before.get(previous)
+                if found is None:
+                    found = self.compatible(previous, token)
+                    if self.room > 0:
+                        self.room -= 1
+                        before[previous] = found
+                if not found:
                     continue
             last[end] = token
             decided = end
@@ -153,18 +200,17 @@ class PieceEncoder:
 
     def encode_segment(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a segment, recovered from its end."""
-        last, tokens, place = self.last_tokens(text), [], len(text) - 1
+        last, ids, place, known = self.last_tokens(text), [], len(text) - 1, self.id_of
         while place >= 0:
-            tokens.append(last[place])
-            place -= len(last[place])
-        ids, known = [], self.id_of
-        for token in reversed(tokens):
+            token = last[place]
             n = known.get(token)
             if n is None:
-                ids += [self.byte_ids[b] for b in token.encode()]
+                ids.extend([self.byte_ids[b] for b in reversed(token.encode())])
             else:
                 ids.append(n)
-        return np.array(ids, "<u4").tobytes()
+            place -= len(token)
+        ids.reverse()
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the offsets of each text's ids."""
@@ -277,24 +323,30 @@ class PieceEncoder:
         return pa.array(rows, pa.string())
 
 
+def _rows(encoder: PieceEncoder, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    ids, offsets = encoder.encode(filled(batch, "text").to_pylist())
+    return ids, offsets, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(path)
-        for batch in slices(batches, "text"):
-            ids, offsets = encoder.encode(filled(batch, "text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
+        for batch in slices(batches, "text", SLICE):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _rows(encoder, batch)[2]], ["doc_id", "ids"])
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids) for every row of ``docs`` (doc_id, text): the library's ids and the end id.
 
     A null text is empty; an empty text is the end id alone. Repeated rows are encoded alike, null ids
     stay null, other columns are not read; an empty table gives no rows. Texts of any length are
     encoded whole."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encoded(model), "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(_encoded(model), "doc_id long, ids array<int>")
 
 
 def _decoded(path: str):
@@ -316,9 +368,23 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decoded(model), "doc_id long, ids array<int>, text string")
 
 
+def _coded(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = PieceEncoder.of(path)
+        for batch in slices(batches, "text", SLICE):
+            ids, offsets, lists = _rows(encoder, batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, encoder.decode(ids, offsets)], ["doc_id", "ids", "text"])
+    return run
+
+
+def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """(doc_id, ids, text): ``decode(encode(docs))`` with one worker per task instead of two."""
+    return _texts(docs).mapInArrow(_coded(model), "doc_id long, ids array<int>, text string")
+
+
 @query("op12_sentencepiece")
 def op12(spark, sf_dir):
-    found = decode(encode(table(spark, sf_dir, "documents")))
+    found = round_trip(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),

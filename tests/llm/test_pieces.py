@@ -54,6 +54,16 @@ def test_prefix_table(encoder):
         assert last[n - 1] == encoder.merged(text[:n])[-1]
 
 
+def test_compatible_pairs_merge_into_themselves(encoder):
+    rng = random.Random(2)
+    names = [name for name in encoder.id_of if len(name) == 1 or name in encoder.split]
+    some = [(rng.choice(names), rng.choice(names)) for _ in range(20_000)]
+    some += [(a, b) for a in names if set(a) == {"▁"} for b in rng.sample(names, 300)]
+    some += [pair for name in rng.sample(names, 3000) for n in range(1, len(name)) if (pair := (name[:n], name[n:]))[0] in names and pair[1] in names]
+    for pair in some:
+        assert encoder.compatible(*pair) == (encoder.merged("".join(pair)) == list(pair)), pair
+
+
 def test_time_grows_with_length(encoder, library):
     rng = random.Random(1)
     for text in ("".join(rng.choices("abcdefgh", k=400_000)), " " * 400_000, "a" * 400_000):
@@ -69,6 +79,7 @@ def test_frames(spark, awkward, nothing, library):
     want = sorted((r["doc_id"] or -1, library.encode(r["text"] or "") + [2]) for r in awkward.collect())
     assert sorted((r["doc_id"] or -1, r["ids"]) for r in found) == want
     assert all(r["text"] == library.decode(r["ids"]) for r in found)
+    assert sorted(pieces.round_trip(awkward).collect(), key=repr) == sorted(found, key=repr)
     assert pieces.decode(pieces.encode(nothing)).count() == 0
     odd = spark.createDataFrame([(1, None), (2, []), (3, [2])], "doc_id long, ids array<int>")
     assert [r["text"] for r in pieces.decode(odd).collect()] == ["", "", ""]
