@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from rowwarden.contracts import REFERENTIAL_INTEGRITY, SCHEMA_DRIFT, UNIQUENESS, CheckSpec
 from rowwarden.functions.predicates import row_predicate, rule_columns
-from rowwarden.operators.joins import fits_broadcast, in_order, key_groups, skew_join
+from rowwarden.operators.digests import grouped_rows, is_exact
+from rowwarden.operators.joins import HOT_ROWS, fits_broadcast, in_order, key_groups, skew_join
 from rowwarden.registry import Registry
 from rowwarden.session import config_frame
 
@@ -33,13 +34,14 @@ def duplicate_groups(rows: DataFrame, keys: list[str], *, null_groups: bool) ->
     """Keys held by more than one row, with ``n``. A key with a null part groups with its like
     only when ``null_groups`` is set: the suite leaves such rows alone, samples do not."""
     source = rows if null_groups else rows.filter(no_null(keys))
+    if not is_exact(rows, keys):
+        source = grouped_rows(source.select(*keys), keys, {}, HOT_ROWS)
     return key_groups(source, keys).filter(F.col("n") > 1)
 
 
-def duplicate_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+def duplicate_rows(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every row of a duplicate group, the one with the smallest primary key included."""
-    groups = duplicate_groups(rows, keys, null_groups=False)
-    return skew_join(rows, groups.select(*keys), keys, "left_semi", sizes=groups)
+    return grouped_rows(rows.filter(no_null(keys)), keys, {}, hot_rows)
 
 
 def parent_keys(registry: Registry, spec: CheckSpec, frames: Frames) -> DataFrame:

@@ -17,7 +17,9 @@ from rowwarden.functions.fingerprint import empty_set_digest, row_hash, set_dige
 from rowwarden.functions.predicates import is_missing, row_predicate, structural_error
 from rowwarden.functions.values import fill_literal
 from rowwarden.operators.checks import orphan_rows
-from rowwarden.operators.joins import HOT_ROWS, fits_broadcast, key_groups, skew_join
+from rowwarden.operators.digests import grouped_rows
+from rowwarden.operators.joins import HOT_ROWS
+from rowwarden.operators.verdicts import RowVerdicts, key_text
 from rowwarden.registry import Registry
 from rowwarden.session import config_frame
 
@@ -28,27 +30,10 @@ ROW_ACTIONS = ("quarantine_nulls", "quarantine_invalids", "null_fill")
 
 def surplus_rows(rows: DataFrame, keys: list[str], pk: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All but the smallest primary key of every key group; null key parts group together."""
-    joined = _grouped_rows(rows, keys, pk, hot_rows)
+    joined = grouped_rows(rows, keys, {"__keep": F.min(pk)}, hot_rows)
     return joined.filter(F.col(pk) != F.col("__keep")).drop("__keep")
 
 
-def _grouped_rows(rows: DataFrame, keys: list[str], pk: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The rows of all groups with more than one row, each with its group's smallest primary key."""
-    groups = (
-        key_groups(rows, keys, F.min(pk).alias("__keep")).filter(F.col("n") > 1)
-    )
-    return skew_join(
-        rows, groups.select(*keys, "__keep"), keys, "inner",
-        null_safe=True, sizes=groups, hot_rows=hot_rows,
-    )
-
-
-def unclear_keys(rows: DataFrame, keys: list[str], pk: str) -> DataFrame:
-    """Primary keys that do not name one row of a duplicate group: null or held more than once.
-    Which rows a dedupe would keep is then open, so its targets cannot be resolved."""
-    return key_groups(_grouped_rows(rows, keys, pk), [pk]).filter((F.col("n") > 1) | F.col(pk).isNull())
-
-
 def row_condition(registry: Registry, check_id: str, action_id: str) -> Column | None:
     """The target condition of a row action, None for actions that need a join or no rows."""
     if action_id not in ROW_ACTIONS:
@@ -88,56 +73,6 @@ def label_of(table: str, action_id: str) -> str:
     return f"{table}|{action_id}"
 
 
-def summarize(targets: DataFrame, table: str, action_id: str, pk: str) -> DataFrame:
-    """(target_count, target_fingerprint) of a target frame: one row, keys discarded. Rows without
-    a primary key count like any other."""
-    return targets.select(row_hash(F.col(pk)).alias("__h")).agg(
-        F.count("__h").alias("target_count"),
-        set_digest("__h", label_of(table, action_id)).alias("target_fingerprint"),
-    )
-
-
-def _fused(rows: DataFrame, table: str, pk: str,
-           wanted: list[tuple[str, str, Column | tuple[str, DataFrame]]]) -> DataFrame:
-    """Summaries of many row targets of one table in one scan.
-
-    A condition is a Column, or (foreign-key column, parents) for parents that fit a broadcast.
-    A row is hashed once and handed to every target it belongs to.
-    """
-    conditions = []
-    for position, (_, _, test) in enumerate(wanted):
-        if isinstance(test, tuple):
-            column, parents = test
-            known = parents.distinct().select(
-                F.col(column).alias(f"__k{position}"), F.lit(True).alias(f"__p{position}")
-            )
-            rows = rows.join(F.broadcast(known), F.col(column) == F.col(f"__k{position}"), "left")
-            test = F.col(f"__p{position}").isNull()
-        conditions.append(test)
-    labels = ", ".join(f"'{label_of(table, action_id)}'" for _, action_id, _ in wanted)
-    hits = F.array(*[F.when(test, n) for n, test in enumerate(conditions)])
-    found = (
-        rows.filter(reduce(lambda one, other: one | other, conditions))
-        .select(row_hash(F.col(pk)).alias("__h"), hits.alias("__hits"))
-        .select("__h", F.explode("__hits").alias("position"))
-        .filter(F.col("position").isNotNull())
-        .groupBy("position")
-        .agg(F.count("__h").alias("target_count"),
-             set_digest("__h", column=f"element_at(array({labels}), position + 1)").alias("target_fingerprint"))
-    )
-    # every requested policy is in the result, also one without any target row
-    asked = config_frame(
-            rows.sparkSession,
-            [(n, check_id, action_id) for n, (check_id, action_id, _) in enumerate(wanted)],
-        "position int, check_id string, action_id string",
-    )
-    return asked.join(found, "position", "left").select(
-        "check_id", "action_id", F.lit(table).alias("table"),
-        F.coalesce("target_count", F.lit(0)).alias("target_count"),
-        F.coalesce("target_fingerprint", empty_set_digest(column=f"concat('{table}|', action_id)")).alias("target_fingerprint"),
-    )
-
-
 def _unreadable(registry: Registry, spec: CheckSpec, params: Mapping, pk: str, frames: Frames) -> bool:
     """Decided from schemas alone, policy by policy, so one dropped column blocks only what names it."""
     seen = {table: frame.columns for table, frame in frames.items()}
@@ -155,55 +90,48 @@ def target_sets(
     frames: Frames,
     spark: SparkSession,
     requests: Iterable[tuple[str, str]] | None = None,
+    verdicts: RowVerdicts | None = None,
 ) -> DataFrame:
     """(check_id, action_id, table, target_count, target_fingerprint) per requested policy.
 
-    Without ``requests``: every declared policy whose table is loaded. All row actions and
-    orphans of small parents of one table share one scan; any number of plans may then refer to
+    Without ``requests``: every declared policy whose table is loaded. Each table is scanned once, or
+    not at all when ``verdicts`` of the policies are given; any number of plans may then refer to
     the result, which has one row per policy. A policy whose targets cannot be resolved is absent:
     its table or a column it names is missing, or a dedupe meets primary keys that are null or repeat.
     """
     if requests is None:
         requests = [(s.check_id, p.action_id) for s in registry.checks.values() for p in s.policies]
-    fused: dict[str, list[tuple[str, str, Column | tuple[str, DataFrame]]]] = {}
-    parts: list[DataFrame] = []
     idle: list[tuple[str, str, str]] = []
+    asked: list[tuple[str, str]] = []
     for check_id, action_id in dict.fromkeys(requests):
         spec = registry.check(check_id)
         params = registry.policy_params(spec, action_id)
         if action_id in ("no_op_alert", "schema_drift_ticket"):
             idle.append((check_id, action_id, spec.table))
-            continue
-        pk = registry.contract(spec.table).single_key
-        if _unreadable(registry, spec, params, pk, frames):
-            continue
-        condition = row_condition(registry, check_id, action_id)
-        if condition is None and action_id == "quarantine_orphans":
-            parents = parents_of(params, frames)
-            condition = (params["fk_column"], parents) if fits_broadcast(parents) else None
-        if condition is not None:
-            fused.setdefault(spec.table, []).append((check_id, action_id, condition))
-            continue
-        targets = target_rows(registry, check_id, action_id, frames).select(pk)
-        summary = summarize(targets, spec.table, action_id, pk)
-        if action_id == "dedupe_keep_min_pk":
-            keys = params["business_key"]
-            unclear = unclear_keys(frames[spec.table], [keys] if isinstance(keys, str) else list(keys), pk)
-            # both sides are one row
-            summary = summary.join(F.broadcast(unclear.agg(F.count("n").alias("unclear")).filter("unclear = 0"))).drop("unclear")
-        parts.append(summary.select(
-            F.lit(check_id).alias("check_id"), F.lit(action_id).alias("action_id"),
-            F.lit(spec.table).alias("table"), "target_count", "target_fingerprint"))
-    for table, wanted in fused.items():
-        parts.append(_fused(frames[table], table, registry.contract(table).single_key, wanted))
-    parts.append(
-        config_frame(spark, idle, "check_id string, action_id string, table string").select(
-            "*", F.lit(0).cast("bigint").alias("target_count"),
-            empty_set_digest(column="concat(`table`, '|', action_id)").alias("target_fingerprint"))
-    )
+        elif not _unreadable(registry, spec, params, registry.contract(spec.table).single_key, frames):
+            asked.append((check_id, action_id))
+    parts = [config_frame(spark, idle, "check_id string, action_id string, table string").select(
+        "*", F.lit(0).cast("bigint").alias("target_count"),
+        empty_set_digest(column="concat(`table`, '|', action_id)").alias("target_fingerprint"))]
+    if asked:
+        parts.append(_digested(verdicts or RowVerdicts(registry, frames, spark, policies=asked), asked))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _digested(verdicts: RowVerdicts, policies: list[tuple[str, str]]) -> DataFrame:
+    """Summaries of the target rows. Each row is hashed once per verdict and handed to all its policies."""
+    clear = [(c, a, verdicts.registry.check(c).table) for c, a in policies if not verdicts.is_unclear(c, a)]
+    # every clear policy is in the result, also one without any target row
+    named = config_frame(verdicts.spark, clear, "check_id string, action_id string, table string")
+    found = verdicts.targets(policies).select("check_id", "action_id", "table", row_hash(key_text()).alias("__h")).groupBy(
+        "check_id", "action_id", "table").agg(
+        F.count("__h").alias("target_count"),
+        set_digest("__h", column="concat(`table`, '|', action_id)").alias("target_fingerprint"))
+    return named.join(found, ["check_id", "action_id", "table"], "left").select(
+        "check_id", "action_id", "table", F.coalesce("target_count", F.lit(0)).alias("target_count"),
+        F.coalesce("target_fingerprint", empty_set_digest(column="concat(`table`, '|', action_id)")).alias("target_fingerprint"))
+
+
 def recheck(planned: DataFrame, current: DataFrame) -> DataFrame:
     """Planned target sets against recomputed ones, with ``unchanged``. Both sides have one row
     per policy; a target that can no longer be computed counts as changed."""

@@ -1,12 +1,12 @@
 """The quality suite: all checks of a registry as one DataFrame.
 
-All row rules of a table share one aggregation and therefore one scan of the columns they
-read. Foreign keys with a small parent join that same scan by broadcast; uniqueness and
-foreign keys with a large parent add one pre-aggregated pass over their key columns only.
+Each table is scanned once for the columns its rules name (see ``verdicts``); counts and samples
+are read from the narrow result.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -24,14 +24,9 @@ from rowwarden.contracts import (
     VALIDITY,
 )
 from rowwarden.functions.fingerprint import text_digest
-from rowwarden.functions.predicates import row_predicate, structural_error
-from rowwarden.operators.checks import (
-    SAMPLE_DEFAULT,
-    failing_rows,
-    no_null,
-    parent_keys,
-)
-from rowwarden.operators.joins import fits_broadcast, key_groups
+from rowwarden.functions.predicates import structural_error
+from rowwarden.operators.checks import SAMPLE_DEFAULT, failing_rows
+from rowwarden.operators.verdicts import RowVerdicts, as_text, readable_checks
 from rowwarden.registry import Registry
 from rowwarden.session import config_frame
 
@@ -82,79 +77,6 @@ def _schema_facts(registry: Registry, frames: Frames, errors: Mapping[str, str])
     return facts
 
 
-def fused_table_counts(
-    rows: DataFrame, conditions: Mapping[str, Column], parents: Mapping[str, tuple[str, DataFrame]]
-) -> DataFrame:
-    """Counts of any number of row rules over one table in a single pass.
-
-    ``parents`` maps a check id to (foreign-key column, small parent keys); those parents are
-    broadcast and a row counts when it finds none.
-    """
-    tests = dict(conditions)
-    for position, (check_id, (column, keys)) in enumerate(parents.items()):
-        flag = f"__parent{position}"
-        known = keys.distinct().select(F.col(column).alias(f"{flag}_key"), F.lit(True).alias(flag))
-        rows = rows.join(F.broadcast(known), F.col(column) == F.col(f"{flag}_key"), "left")
-        tests[check_id] = F.col(flag).isNull()
-    ids = list(tests)
-    totals = rows.agg(
-        F.count(F.lit(1)).alias("n_total"),
-        *[F.count_if(tests[check_id]).alias(f"f{n}") for n, check_id in enumerate(ids)],
-    )
-    pairs = [F.struct(F.lit(check_id).alias("check_id"), F.col(f"f{n}").alias("n_failed"))
-             for n, check_id in enumerate(ids)]
-    return totals.select(F.explode(F.array(*pairs)).alias("c"), "n_total").select(
-        "c.check_id", "c.n_failed", "n_total"
-    )
-
-
-def unique_counts(rows: DataFrame, keys: Sequence[str], check_ids: Sequence[str]) -> DataFrame:
-    """Rows in duplicate groups without a null key part, from the key groups alone."""
-    shared = (F.col("n") > 1) & no_null(list(keys))
-    return key_groups(rows, keys).agg(
-        F.coalesce(F.sum(F.when(shared, F.col("n"))), F.lit(0)).alias("n_failed"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_total"),
-    ).select(F.explode(F.array(*[F.lit(c) for c in check_ids])).alias("check_id"),
-             "n_failed", "n_total")
-
-
-def orphan_counts(rows: DataFrame, column: str, parents: DataFrame, check_id: str) -> DataFrame:
-    """Orphans of a foreign key whose parent is too large to broadcast."""
-    groups = key_groups(rows, [column])
-    known = parents.distinct().withColumn("__known", F.lit(True))
-    return groups.join(known, column, "left").agg(
-        F.coalesce(F.sum(F.when(F.col("__known").isNull(), F.col("n"))), F.lit(0)).alias("n_failed"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_total"),
-    ).select(F.lit(check_id).alias("check_id"), "n_failed", "n_total")
-
-
-def _counted(registry: Registry, frames: Frames, skip: Mapping[str, str]) -> list[DataFrame]:
-    conditions: dict[str, dict[str, Column]] = {}
-    parents: dict[str, dict[str, tuple[str, DataFrame]]] = {}
-    keyed: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    parts: list[DataFrame] = []
-    for spec in registry.checks.values():
-        if spec.check_id in skip or spec.dimension == SCHEMA_DRIFT:
-            continue
-        if spec.dimension == UNIQUENESS:
-            keyed.setdefault((spec.table, spec.business_key), []).append(spec.check_id)
-        elif spec.dimension == REFERENTIAL_INTEGRITY:
-            keys = parent_keys(registry, spec, frames)
-            if fits_broadcast(keys):
-                parents.setdefault(spec.table, {})[spec.check_id] = (spec.column, keys)
-            else:
-                parts.append(orphan_counts(frames[spec.table], spec.column, keys, spec.check_id))
-        else:
-            conditions.setdefault(spec.table, {})[spec.check_id] = row_predicate(registry, spec)
-    for table in dict.fromkeys([*conditions, *parents]):
-        parts.append(
-            fused_table_counts(frames[table], conditions.get(table, {}), parents.get(table, {}))
-        )
-    for (table, keys), check_ids in keyed.items():
-        parts.append(unique_counts(frames[table], keys, check_ids))
-    return parts
-
-
 # The texts of data checks, whatever table they are about.
 def message_column() -> Column:
     """The result text of data checks, from counts and the check's own fields."""
@@ -175,11 +97,14 @@ def message_column() -> Column:
     )
 
 
-def run_suite(registry: Registry, frames: Frames, spark: SparkSession) -> DataFrame:
+def run_suite(
+    registry: Registry, frames: Frames, spark: SparkSession, verdicts: RowVerdicts | None = None
+) -> DataFrame:
     """Exactly one row per declared check, ``ordinal`` giving registry order.
 
     Columns: ordinal, check_id, table, column, dimension, status, n_failed, n_total, message,
-    contract_id, predicate. No row values.
+    contract_id, predicate. No row values. ``verdicts`` of all readable checks may be given, and
+    then serve samples and target sets as well.
     """
     schemas = observed(frames)
     errors = {}
@@ -191,13 +116,11 @@ def run_suite(registry: Registry, frames: Frames, spark: SparkSession) -> DataFr
             spark,
             _schema_facts(registry, frames, errors), f"{COUNTS}, forced string, fixed string"
     )
-    counted = [
-        part.select("check_id", F.col("n_failed").cast("bigint"), F.col("n_total").cast("bigint"),
-                    F.lit(None).cast("string").alias("forced"),
-                    F.lit(None).cast("string").alias("fixed"))
-        for part in _counted(registry, frames, errors)
-    ]
-    counts = reduce(DataFrame.unionByName, counted, facts)
+    verdicts = verdicts or RowVerdicts(registry, frames, spark, readable_checks(registry, frames))
+    counted = verdicts.counts().select(
+        "check_id", F.col("n_failed").cast("bigint"), F.col("n_total").cast("bigint"),
+        F.lit(None).cast("string").alias("forced"), F.lit(None).cast("string").alias("fixed"))
+    counts = facts.unionByName(counted)
     # both sides hold one row per declared check
     return counts.join(F.broadcast(registry.checks_frame(spark)), "check_id").select(
         "ordinal", "check_id", "table", "column", "dimension",
@@ -211,39 +134,47 @@ def run_suite(registry: Registry, frames: Frames, spark: SparkSession) -> DataFr
 
 def failure_samples(
     registry: Registry, frames: Frames, check_ids: Sequence[str] | None = None,
-    limit: int = SAMPLE_DEFAULT,
+    limit: int = SAMPLE_DEFAULT, verdicts: RowVerdicts | None = None,
 ) -> DataFrame:
     """Up to ``limit`` failing rows per check as (check_id, row_key, sample JSON).
 
-    Kept apart from results on purpose: samples are row values. One bounded top-k per check.
+    Kept apart from results on purpose: samples are row values. The first rows are those with the least
+    primary keys. Of a table whose key column is gone, rows are ordered by their JSON text and have an
+    empty ``row_key``.
     """
     spark = next(iter(frames.values())).sparkSession
-    schemas = observed(frames)
-    parts = []
+    chosen = [c for c in readable_checks(registry, frames) if check_ids is None or c in check_ids]
+    keyed, keyless = [], []
+    for check_id in chosen:
+        spec = registry.check(check_id)
+        known = registry.contract(spec.table).single_key in frames[spec.table].columns
+        (keyed if known else keyless).append(check_id)
+    parts = [_drift_samples(registry, frames, check_ids, limit, spark)]
+    if keyed:
+        parts.append((verdicts or RowVerdicts(registry, frames, spark, keyed)).samples(keyed, limit))
+    for check_id in keyless:
+        rows = failing_rows(registry, check_id, frames)
+        body = F.to_json(F.struct(*[as_text(rows, name) for name in rows.columns]), {"ignoreNullFields": "false"})
+        parts.append(rows.select(
+            F.lit(check_id).alias("check_id"), F.lit("").alias("row_key"), body.alias("sample")).orderBy("sample").limit(limit))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _drift_samples(
+    registry: Registry, frames: Frames, check_ids: Sequence[str] | None, limit: int, spark: SparkSession
+) -> DataFrame:
+    """Column names that differ from the contract: schemas decide, no table is read."""
+    rows = []
     for spec in registry.checks.values():
-        if check_ids is not None and spec.check_id not in check_ids:
-            continue
-        if structural_error(registry, spec, schemas):
+        if spec.dimension != SCHEMA_DRIFT or (check_ids is not None and spec.check_id not in check_ids):
             continue
-        rows = failing_rows(registry, spec.check_id, frames)
-        order = (["kind", "column"] if spec.dimension == SCHEMA_DRIFT
-                 else [registry.contract(spec.table).single_key])
-        body = F.to_json(F.struct(*[_as_text(rows, name) for name in rows.columns]),
-                         {"ignoreNullFields": "false"})
-        first = rows.orderBy(*order).limit(limit).select(
-            F.lit(spec.check_id).alias("check_id"),
-            F.concat_ws("|", *[F.col(name).cast("string") for name in order]).alias("row_key"),
-            body.alias("sample"))
-        parts.append(first)
-    empty = config_frame(spark, [], "check_id string, row_key string, sample string")
-    return reduce(DataFrame.unionByName, parts, empty)
-
-
-def _as_text(rows: DataFrame, name: str) -> Column:
-    temporal = rows.schema[name].dataType.typeName() in {
-        "date", "timestamp", "timestamp_ntz", "interval", "daytimeinterval"
-    }
-    return F.col(name).cast("string").alias(name) if temporal else F.col(name)
+        extra, missing, _ = _drift_names(registry, spec.table, frames)
+        found = [("extra", name) for name in extra] + [("missing", name) for name in missing]
+        if spec.table not in frames:
+            found = [("missing_table", spec.table)]
+        rows += [(spec.check_id, f"{kind}|{name}", json.dumps({"kind": kind, "column": name}, separators=(",", ":")))
+                 for kind, name in found[:limit]]
+    return config_frame(spark, rows, "check_id string, row_key string, sample string")
 
 
 # -- reports: one row per run ------------------------------------------------------------

@@ -59,15 +59,16 @@ def config_frame(spark: SparkSession, rows: Sequence[Sequence[Any]], ddl: str) -
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table into the shared checkpoint folder and read it back.
+def stored(frame: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write an intermediate table into the shared checkpoint folder and read it back. ``parts`` names
+    partition columns, so that later reads touch only the partitions they ask for.
 
     For results that several later steps use: they are computed once, later plans stay small
     and know the table's size, and the loss of an executor does not start them again.
     """
     spark = frame.sparkSession
     path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
-    frame.write.parquet(path)
+    (frame.write.partitionBy(*parts) if parts else frame.write).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

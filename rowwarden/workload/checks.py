@@ -17,6 +17,7 @@ from rowwarden.operators import checks as ops
 from rowwarden.operators import remediation as fix
 from rowwarden.operators import suite
 from rowwarden.operators.conformance import FieldRule, conformance_of
+from rowwarden.operators.verdicts import RowVerdicts, readable_checks
 from rowwarden.registry import Registry
 from rowwarden.sources import tables as sources
 from rowwarden.sources import warehouse
@@ -409,6 +410,31 @@ def _message_sql() -> str:
     return f"SELECT check_id, CASE check_id {' '.join(cases)} END AS message FROM counts"
 
 
+def _masks_sql() -> str:
+    """Sets of failed row rules and references, row by row."""
+    parts = []
+    for table in dict.fromkeys(s.table for s in REG.checks.values() if s.dimension != SCHEMA_DRIFT):
+        tests = {}
+        for spec in REG.checks.values():
+            if spec.table == table and spec.dimension == REFERENTIAL_INTEGRITY:
+                column, parent, ref = REG.contract(table).foreign_key(spec.column)
+                tests[spec.check_id] = f"NOT EXISTS (SELECT 1 FROM {relation(parent)} p WHERE p.{ref} = t.{column})"
+            elif spec.table == table and spec.dimension not in (SCHEMA_DRIFT, UNIQUENESS):
+                tests[spec.check_id] = failing_sql(spec.check_id)
+        flags = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in sorted(tests.items()))
+        parts.append(f"SELECT '{table}' AS \"table\", coalesce(array_to_string([{flags}], ','), '') AS failed, count(*) AS n_rows"
+                     f" FROM {relation(table)} t GROUP BY ALL")
+    return with_views(" UNION ALL ".join(parts), "orders_d", "pages_d")
+
+
+@query("d1_masks", _masks_sql())
+def d1_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by the exact set of rules they fail, from the one narrow table that all checks share."""
+    frames = views.frames(spark, sf_dir)
+    found = RowVerdicts(REG, frames, spark, readable_checks(REG, frames)).masks()
+    return found.select("table", F.array_join("failed", ",").alias("failed"), "n_rows")
+
+
 @query("d4_messages", with_views(_message_sql(), "orders_d", "pages_d", more=COUNTS))
 def d4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir).select("check_id", "message")
@@ -432,17 +458,42 @@ def _sample_sql() -> str:
                     f" WHERE p.{ref} = t.{column}))")
         else:
             rows = f"(SELECT {pk} FROM {source} WHERE {failing_sql(spec.check_id)})"
-        parts.append(f"SELECT '{spec.check_id}' AS check_id, row_key::VARCHAR AS row_key FROM"
-                     f" (SELECT {pk} AS row_key FROM {rows} ORDER BY {pk} LIMIT 20)")
-    parts.append("SELECT 'lineitem.schema_drift', 'extra|l_tax'")
-    parts.append("SELECT 'lineitem.schema_drift', 'missing|l_comment'")
+        shown = [name for name in SAMPLED[spec.table]]
+        body = ", ".join(f"'{n}': {n}{'::VARCHAR' if n in TIMES else ''}" for n in shown)
+        parts.append(f"SELECT '{spec.check_id}' AS check_id, {pk}::VARCHAR AS row_key, to_json({{{body}}})::VARCHAR AS sample FROM"
+                     f" (SELECT * FROM {source} WHERE {pk} IN (SELECT {pk} FROM {rows} ORDER BY {pk} LIMIT 20))")
+    for kind, name in (("extra", "l_tax"), ("missing", "l_comment")):
+        parts.append(f"SELECT 'lineitem.schema_drift', '{kind}|{name}', to_json({{'kind': '{kind}', 'column': '{name}'}})::VARCHAR")
     return with_views(" UNION ALL ".join(parts), "orders_d", "pages_d")
 
 
+TIMES = ("o_orderdate", "valid_from", "valid_to", "open_from", "open_to", "ts")
+# the columns of each frame, in their order
+SAMPLED = {
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "orders": tuple(views.ORDERS_COLUMNS), "pages": tuple(views.PAGES_COLUMNS),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+}
+
+
 @query("d5_samples", _sample_sql())
 def d5_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of the sampled rows; the sample text itself differs between engines."""
-    return suite.failure_samples(REG, views.frames(spark, sf_dir)).select("check_id", "row_key")
+    """The sampled rows of every check with their text."""
+    return suite.failure_samples(REG, views.frames(spark, sf_dir))
+
+
+@query("d5_lost_key", with_views(
+    "SELECT check_id, to_json({'o_orderdate': o_orderdate::VARCHAR, 'status_nk': status_nk})::VARCHAR AS sample FROM ("
+    " SELECT 'orders.status_nk.validity' AS check_id, o_orderdate, status_nk, row_number() OVER (ORDER BY"
+    " to_json({'o_orderdate': o_orderdate::VARCHAR, 'status_nk': status_nk})::VARCHAR) AS n FROM orders_d"
+    " WHERE status_nk NOT IN ('O', 'F')) WHERE n <= 20", "orders_d"))
+def d5_lost_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of a table whose key column was dropped: the first rows by their text."""
+    check = "orders.status_nk.validity"
+    rows = _frames(spark, sf_dir, check)["orders"].select("o_orderdate", "status_nk")
+    return suite.failure_samples(REG, {"orders": rows}, [check]).select("check_id", "sample")
 
 
 # Failures the planted defects cause in the middle-sized data set.
