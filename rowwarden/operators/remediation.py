@@ -73,6 +73,13 @@ def label_of(table: str, action_id: str) -> str:
     return f"{table}|{action_id}"
 
 
+def readable(registry: Registry, frames: Frames, check_id: str, action_id: str) -> bool:
+    """Do the columns exist that a declared policy's targets are found by?"""
+    spec = registry.check(check_id)
+    params = registry.policy_params(spec, action_id)
+    return not _unreadable(registry, spec, params, registry.contract(spec.table).single_key, frames)
+
+
 def _unreadable(registry: Registry, spec: CheckSpec, params: Mapping, pk: str, frames: Frames) -> bool:
     """Decided from schemas alone, policy by policy, so one dropped column blocks only what names it."""
     seen = {table: frame.columns for table, frame in frames.items()}
@@ -104,11 +111,9 @@ def target_sets(
     idle: list[tuple[str, str, str]] = []
     asked: list[tuple[str, str]] = []
     for check_id, action_id in dict.fromkeys(requests):
-        spec = registry.check(check_id)
-        params = registry.policy_params(spec, action_id)
         if action_id in ("no_op_alert", "schema_drift_ticket"):
-            idle.append((check_id, action_id, spec.table))
-        elif not _unreadable(registry, spec, params, registry.contract(spec.table).single_key, frames):
+            idle.append((check_id, action_id, registry.check(check_id).table))
+        elif readable(registry, frames, check_id, action_id):
             asked.append((check_id, action_id))
     parts = [config_frame(spark, idle, "check_id string, action_id string, table string").select(
         "*", F.lit(0).cast("bigint").alias("target_count"),
@@ -152,32 +157,49 @@ def recheck(planned: DataFrame, current: DataFrame) -> DataFrame:
 # -- outputs -----------------------------------------------------------------------------
 
 
+def _copy(rows: DataFrame, registry: Registry, table: str, run_id: str | Column) -> DataFrame:
+    """The quarantine form of rows (check_id, action_id, row)."""
+    contract = registry.contract(table)
+    keep = {"ignoreNullFields": "false"}
+    return rows.select(
+        "check_id", "action_id", (run_id if isinstance(run_id, Column) else F.lit(run_id)).alias("run_id"),
+        F.lit(contract.contract_id).alias("table_name"),
+        F.to_json(F.struct(F.col(f"row.{contract.single_key}").alias(contract.single_key)), keep).alias("pk_json"),
+        F.col("action_id").alias("reason"), F.to_json("row", keep).alias("payload"),
+        row_hash(F.col(f"row.{contract.single_key}")).alias("pk_hash"))
+
+
+def quarantine_copies(
+    registry: Registry, frames: Frames, table: str, policies: Iterable[tuple[str, str]], run_id: str | Column
+) -> DataFrame:
+    """Copies of the target rows of several policies of one table: (check_id, action_id, run_id, table_name,
+    pk_json, reason, payload, pk_hash). All row conditions share one scan, whose rows are handed to
+    every policy they fall under; ``pk_hash`` is what target fingerprints are made of."""
+    source = frames[table]
+    hits, parts = [], []
+    for check_id, action_id in policies:
+        condition = row_condition(registry, check_id, action_id)
+        if condition is not None:
+            hits.append(F.when(condition, F.struct(F.lit(check_id).alias("check_id"), F.lit(action_id).alias("action_id"))))
+        else:
+            found = target_rows(registry, check_id, action_id, frames)
+            parts.append(found.select(
+                F.lit(check_id).alias("check_id"), F.lit(action_id).alias("action_id"), F.struct(*source.columns).alias("row")))
+    if hits:
+        exploded = source.select(F.explode(F.array_compact(F.array(*hits))).alias("policy"), F.struct(*source.columns).alias("row"))
+        parts.append(exploded.select("policy.check_id", "policy.action_id", "row"))
+    return _copy(reduce(DataFrame.unionByName, parts), registry, table, run_id)
+
+
 def quarantine_rows(
-    registry: Registry,
-    check_id: str,
-    action_id: str,
-    frames: Frames,
-    run_id: str | Column,
-    pk_hash: bool = False,
+    registry: Registry, check_id: str, action_id: str, frames: Frames, run_id: str | Column, pk_hash: bool = False,
 ) -> DataFrame | None:
-    """Copies of the target rows: (run_id, table_name, pk_json, reason, payload).
-
-    ``pk_hash`` adds the hash the target fingerprint is made of, so that the copy itself can be
-    checked against the plan.
-    """
-    targets = target_rows(registry, check_id, action_id, frames)
-    if targets is None or action_id == "null_fill":
+    """Copies of one policy's target rows: (run_id, table_name, pk_json, reason, payload), and with ``pk_hash``
+    the hash of the key. None for actions that copy nothing."""
+    if action_id == "null_fill" or not ACTIONS[action_id].mutates:
         return None
-    contract = registry.contract(registry.check(check_id).table)
-    keep = {"ignoreNullFields": "false"}
-    return targets.select(
-        (run_id if isinstance(run_id, Column) else F.lit(run_id)).alias("run_id"),
-        F.lit(contract.contract_id).alias("table_name"),
-        F.to_json(F.struct(contract.single_key), keep).alias("pk_json"),
-        F.lit(action_id).alias("reason"),
-        F.to_json(F.struct(*targets.columns), keep).alias("payload"),
-        *([row_hash(F.col(contract.single_key)).alias("pk_hash")] if pk_hash else []),
-    )
+    copies = quarantine_copies(registry, frames, registry.check(check_id).table, [(check_id, action_id)], run_id)
+    return copies.drop("check_id", "action_id", *([] if pk_hash else ["pk_hash"]))
 
 
 def filled_rows(registry: Registry, check_id: str, frames: Frames, mark: str | None = None) -> DataFrame:

@@ -1,27 +1,32 @@
-"""Apply an admitted plan: copy its exact target rows, then commit once.
+"""Apply admitted plans: copy their exact target rows, then commit once.
 
-Order of an apply: verify the stored artifacts, write each item's copies into a partition of
-its own, compare what was written with the admitted target set, and append one log entry. The
-log entry is the commit; until it exists none of the copies is visible, and a repeated attempt
-replaces them. Source tables are only read.
+Order of an apply: verify the stored artifacts, write the copies of all items of all plans with one
+job per table, compare what was written with the admitted target sets, and make the log entries of
+those that agree visible by one manifest. Until then none of the copies is visible, and no two
+attempts write the same files. Source tables are only read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowwarden.contracts import ACTIONS
-from rowwarden.functions.fingerprint import row_hash, set_digest, struct_digest
+from rowwarden.contracts import ACTIONS
+from rowwarden.functions.fingerprint import empty_set_digest, row_hash, set_digest, struct_digest
+from rowwarden.operators.joins import fits_broadcast, skew_join
 from rowwarden.operators.lineage import apply_events
 from rowwarden.operators.remediation import (
     filled_rows,
-    label_of,
-    quarantine_rows,
+    quarantine_copies,
+    readable,
     recheck,
     target_sets,
 )
@@ -34,8 +39,8 @@ from rowwarden.plans.admission import (
 )
 from rowwarden.plans.compiler import policy_drift
 from rowwarden.registry import Registry
+from rowwarden.session import config_frame, stored
 from rowwarden.sources.sinks import Store
-from rowwarden.session import config_frame
 
 FILLED = "filled_by_apply"  # marks the rows a fill changed
 # Refusal and problem texts of this module.
@@ -120,7 +125,7 @@ def recover(requests: DataFrame, log: DataFrame) -> DataFrame:
         "event_id", F.col("l_steps").alias("steps"), F.col("l_result").alias("result_fingerprint"))
 
 
-# -- one plan -----------------------------------------------------------------------------
+# -- applying -----------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -147,76 +152,294 @@ class ApplyResult:
     recovered: bool = False
 
 
-def _verify(art: Artifacts, plan_id: str, registry: Registry, what: str) -> dict:
-    """The plan's header row, or a refusal. Every frame is cut down to this one plan."""
-    spark = art.plans.sparkSession
-    plan = art.plans.filter(F.col("plan_id") == plan_id)
-    items = art.items.filter(F.col("plan_id") == plan_id)
-    runs = plan.select("run_id")
-    results = art.results.join(runs, "run_id", "left_semi")
-    reports = art.reports.join(runs, "run_id", "left_semi")
-    judged = art.evaluations.filter(F.col("plan_id") == plan_id)
+CHANGED = "controlled target set changed after plan compilation"
+EXPIRED = "apply admission has expired"
+OUTCOME = (
+    "plan_id string, admission_id string, outcome string, problem string, run_id string, apply_result_id string,"
+    f" result_fingerprint string, event_id string, steps {STEP_TYPE}")
+
+
+def _first(rules: list[tuple[Column, Column | str]]) -> Column:
+    """The text of the first rule that is broken; an unknown one is not."""
+    found = F.lit(None).cast("string")
+    for broken, text in reversed(rules):
+        found = F.when(F.coalesce(broken, F.lit(False)), text).otherwise(found)
+    return found
+
+
+def _headers(art: Artifacts, wanted: DataFrame, registry: Registry) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plan_id, header fields, plan_problem) of the wanted plans, with their plan rows and evaluations. All
+    artifacts are cut down to these plans first."""
+    spark = wanted.sparkSession
+    plans = art.plans.join(wanted, "plan_id", "left_semi")
+    items = art.items.join(wanted, "plan_id", "left_semi")
+    judged = art.evaluations.join(wanted, "plan_id", "left_semi")
+    runs = plans.select("run_id").distinct()
+    results, reports = (frame.join(runs, "run_id", "left_semi") for frame in (art.results, art.reports))
     drift = policy_drift(items, registry).groupBy("plan_id").agg(F.bool_or("drifted").alias("drifted"))
-    problems = param_problems(plan, items, results, registry, spark)
-    row = (
-        plan.join(judged.select("plan_id", "evaluation_id", "evaluation_fingerprint",
-                                F.col("passed").alias("eval_passed"),
-                                F.col("plan_fingerprint").alias("eval_plan_fp")), "plan_id", "left")
-        .join(report_integrity(reports, results), "run_id", "left")
-        .join(plan_integrity(plan, items), "plan_id", "left")
-        .join(evaluation_integrity(judged), "plan_id", "left")
-        .join(drift, "plan_id", "left").join(problems, "plan_id", "left").head()
-    )
-    if row is None:
-        raise ApplyRefused(f"Refusing {what}: remediation plan was not found")
-    checks = (
-        (row["blocked"], "remediation plan is blocked"),
-        (not row["eval_passed"], "remediation-plan evaluation did not pass"),
-        (not row["report_intact"], "quality report fingerprint does not match received payload"),
-        (not row["plan_intact"], "remediation plan fingerprint does not match received payload"),
-        (not row["evaluation_intact"], "evaluation fingerprint does not match received payload"),
-        (row["eval_plan_fp"] != row["plan_fingerprint"],
-         "evaluation does not belong to this remediation plan"),
-        (row["drifted"], "policy snapshot drifted after evaluation"),
-        (row["problem"], row["problem"]),
-    )
-    for broken, text in checks:
-        if broken:
-            raise ApplyRefused(f"Refusing {what}: {text}")
-    return row.asDict()
-
-
-def _plan_items(art: Artifacts, plan_id: str) -> list:
-    """Executable items in order; a plan has at most one per declared request."""
+    problems = param_problems(plans, items, results, registry, spark).withColumnRenamed("problem", "param_problem")
+    evaluated = judged.select("plan_id", "evaluation_id", "evaluation_fingerprint", F.col("passed").alias("eval_passed"),
+                              F.col("plan_fingerprint").alias("eval_plan_fp"))
+    head = plans.select("plan_id", F.col("run_id").alias("quality_run_id"), "run_id", "plan_fingerprint", "policy_fingerprint",
+                        "environment_id", "blocked")
+    joined = (
+        wanted.join(skew_join(head, report_integrity(reports, results), ["run_id"], "left").drop("run_id"), "plan_id", "left")
+        .join(evaluated, "plan_id", "left").join(plan_integrity(plans, items), "plan_id", "left")
+        .join(evaluation_integrity(judged), "plan_id", "left").join(drift, "plan_id", "left").join(problems, "plan_id", "left"))
+    no = lambda flag: ~F.coalesce(F.col(flag), F.lit(False))
+    # fixed values: the texts, in the order the rules are looked at
+    problem = _first([
+        (F.col("quality_run_id").isNull(), "remediation plan was not found"),
+        (F.col("blocked"), "remediation plan is blocked"),
+        (no("eval_passed"), "remediation-plan evaluation did not pass"),
+        (no("report_intact"), "quality report fingerprint does not match received payload"),
+        (no("plan_intact"), "remediation plan fingerprint does not match received payload"),
+        (no("evaluation_intact"), "evaluation fingerprint does not match received payload"),
+        (~F.col("eval_plan_fp").eqNullSafe(F.col("plan_fingerprint")), "evaluation does not belong to this remediation plan"),
+        (F.col("drifted"), "policy snapshot drifted after evaluation"),
+        (F.col("param_problem").isNotNull(), F.col("param_problem"))])
+    return joined.select(
+        "plan_id", "quality_run_id", "plan_fingerprint", "policy_fingerprint", "environment_id", "evaluation_id",
+        "evaluation_fingerprint", problem.alias("plan_problem")), plans, judged
+
+
+def _executable(art: Artifacts, wanted: DataFrame) -> DataFrame:
+    """Executable items of the wanted plans, with the columns of ``wanted``."""
     first = F.try_element_at("evidence", F.lit(1))["check_id"]
-    return (
-        art.items.filter((F.col("plan_id") == plan_id) & (F.col("kind") == "executable"))
-        .select("item_id", "ordinal", "action_id", "table", first.alias("check_id"),
-                "target_count", "target_fingerprint").orderBy("ordinal").collect())
+    return art.items.filter(F.col("kind") == "executable").select(
+        "plan_id", "item_id", "ordinal", "action_id", "table", first.alias("check_id"), "target_count",
+        "target_fingerprint").join(wanted, "plan_id")
+
+
+def _steps(rowcount: Column) -> Column:
+    """The steps of a plan in item order; a plan has at most one item per declared request."""
+    entry = F.struct("ordinal", "action_id", "table", F.col("target_count").alias("estimated_rows"), rowcount.cast("bigint").alias("rowcount"))
+    return F.transform(F.array_sort(F.collect_list(entry)), lambda s: F.struct(
+        s["action_id"].alias("action_id"), s["table"].alias("table"), s["estimated_rows"].alias("estimated_rows"),
+        s["rowcount"].alias("rowcount")))
+
+
+def _evidence(rows: DataFrame, run_id: str, dry: bool, outcome: str, reasons: list[str], now: datetime) -> tuple[DataFrame, DataFrame]:
+    """Results as rows, with their fingerprints, ids and event ids, and the audit events that tell of them. ``rows`` has
+    the header fields, steps, and for an apply decision_id, decision_event_id and admission_fingerprint."""
+    none = F.lit(None).cast("string")
+    given = set(rows.columns)
+    full = rows.select(
+        "*", *[none.alias(n) for n in ("decision_id", "admission_fingerprint", "admission_id", "decision_event_id") if n not in given],
+        F.lit(run_id).alias("run_id"), F.lit(dry).alias("dry_run"), F.lit(now).cast("timestamp").alias("applied_at"),
+        F.lit(reasons).cast("array<string>").alias("reasons"))
+    full = full.withColumn("previous_id", F.coalesce("decision_event_id", "evaluation_id"))
+    full = full.withColumn("result_fingerprint", result_fingerprint())
+    full = full.withColumn("apply_result_id", F.substring(
+        F.sha2(F.concat_ws("|", "result_fingerprint", "run_id", F.lit(outcome)), 256), 1, 32))
+    events = apply_events(full.withColumn("run_id", F.col("quality_run_id")), outcome)
+    return full.join(events.select("plan_id", "apply_result_id", "event_id"), ["plan_id", "apply_result_id"]), events
+
+
+def _staged(art_items: DataFrame, registry: Registry, frames: Mapping[str, DataFrame], store: Store, run_id: str,
+            attempt: str, clock: Callable[[], datetime]) -> DataFrame:
+    """Write the copies of all items, one job per table and one per fill, and sum up what was written:
+    (admission_id, item_id, written, written_fingerprint)."""
+    policies = [tuple(row) for row in art_items.select("check_id", "action_id").distinct().collect()]  # declared policies
+    by_table: dict[str, list[tuple[str, str]]] = {}
+    for check_id, action_id in policies:
+        if ACTIONS[action_id].mutates and readable(registry, frames, check_id, action_id):
+            by_table.setdefault(registry.check(check_id).table, []).append((check_id, action_id))
+    owners = art_items.select("check_id", "action_id", "admission_id", "item_id")
+    label = F.concat_ws("|", "label_table", "action_id")
+    parts = []
+    copied = False
+    for table, mine in by_table.items():
+        copies = [p for p in mine if p[1] != "null_fill"]
+        if copies:
+            found = owned_copies(quarantine_copies(registry, frames, table, copies, run_id), owners)
+            store.stage_copies(found, attempt, clock())
+            copied = True
+        for check_id, action_id in (p for p in mine if p[1] == "null_fill"):
+            filled = filled_rows(registry, check_id, frames, mark=FILLED).select(
+                "*", F.lit(check_id).alias("fill_check"), F.lit(action_id).alias("fill_action"))
+            owner = owners.select(F.col("check_id").alias("fill_check"), F.col("action_id").alias("fill_action"), "admission_id", "item_id")
+            staged = store.stage_filled(filled.join(F.broadcast(owner) if fits_broadcast(owner) else owner, ["fill_check", "fill_action"]).drop(
+                "fill_check", "fill_action"), table, attempt)
+            parts.append(staged.filter(FILLED).select(
+                "admission_id", "item_id", F.lit(table).alias("label_table"), F.lit(action_id).alias("action_id"),
+                row_hash(F.col(registry.contract(table).single_key)).alias("pk_hash")))
+    if copied:
+        named = art_items.select("admission_id", "item_id", F.col("table").alias("label_table"), "action_id")
+        written = store.staged_copies(attempt).select("admission_id", "item_id", "pk_hash")
+        parts.append(written.join(named, ["admission_id", "item_id"]).select("admission_id", "item_id", "label_table", "action_id", "pk_hash"))
+    empty = config_frame(store.spark, [], "admission_id string, item_id string, label_table string, action_id string, pk_hash string")
+    return reduce(DataFrame.unionByName, parts, empty).withColumn("label", label).groupBy("admission_id", "item_id", "label").agg(
+        F.count(F.lit(1)).alias("written"), set_digest("pk_hash", column="label").alias("written_fingerprint")).drop("label")
+
+
+def owned_copies(copies: DataFrame, owners: DataFrame) -> DataFrame:
+    """Every copy once for each item that asks for its policy. Items are few unless very many plans are applied at once."""
+    return copies.join(F.broadcast(owners) if fits_broadcast(owners) else owners, ["check_id", "action_id"])
+
+
+def dry_run_plans(art: Artifacts, plan_ids: DataFrame, registry: Registry, frames: Mapping[str, DataFrame],
+                  store: Store, run_id: str, now: datetime | None = None) -> DataFrame:
+    """(``OUTCOME``) of each plan in ``plan_ids`` (plan_id): verified and rechecked, with the estimated rows
+    as steps. Each table is read once for all plans. Nothing is written but one event per plan that passed."""
+    wanted = plan_ids.select("plan_id").distinct()
+    heads = stored(_headers(art, wanted, registry)[0], "dry_headers")
+    items = stored(_executable(art, heads.filter("plan_problem is null").select("plan_id")), "dry_items")
+    policies = [tuple(row) for row in items.select("check_id", "action_id").distinct().collect()]
+    planned = items.select("plan_id", "check_id", "action_id", "target_count", "target_fingerprint")
+    checked = recheck(planned, target_sets(registry, frames, store.spark, policies)).groupBy("plan_id").agg(
+        F.bool_and("unchanged").alias("unchanged"))
+    steps = items.groupBy("plan_id").agg(_steps(F.lit(None)).alias("steps"))
+    judged = heads.join(checked, "plan_id", "left").join(steps, "plan_id", "left").withColumn(
+        "problem", F.coalesce("plan_problem", F.when(~F.coalesce("unchanged", F.lit(True)), CHANGED))).withColumn(
+        "steps", F.coalesce("steps", F.array().cast(STEP_TYPE)))
+    judged = stored(judged, "dry_judged")
+    rows, events = _evidence(judged.filter("problem is null"), run_id, True, "dry_run", [], now or datetime.now(timezone.utc))
+    store.append_events(events, now or datetime.now(timezone.utc))
+    return _outcomes(rows.withColumn("outcome", F.lit("dry_run"))).unionByName(_outcomes(
+        judged.filter("problem is not null").withColumn("outcome", F.lit("refused"))))
+
+
+def _outcomes(rows: DataFrame) -> DataFrame:
+    kinds = T.StructType.fromDDL(OUTCOME)
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+
+
+def apply_plans(
+    art: Artifacts,
+    admissions: DataFrame,
+    registry: Registry,
+    frames: Mapping[str, DataFrame],
+    store: Store,
+    run_id: str,
+    environment_id: str,
+    clock: Callable[[], datetime] | None = None,
+) -> DataFrame:
+    """(``OUTCOME``) of each admission: applied, recovered (committed by an earlier attempt) or refused with its problem.
+
+    Every plan stands or falls as a whole, independently of the others. All copies of a table are staged by
+    one job; what was written is compared with the admitted target sets; plans that agree are committed
+    together by one manifest. Repeated admissions of one plan count once. ``clock`` is read before every step that
+    could make a copy durable. A plan whose targets changed, or whose admission ran out before the commit,
+    leaves an ``apply_failed`` event."""
+    clock = clock or (lambda: datetime.now(timezone.utc))
+    mine = admissions.dropDuplicates(["plan_id"])
+    heads, plans, judged = _headers(art, mine.select("plan_id"), registry)
+    granted = mine.select(
+        "plan_id", "admission_id", "decision_id", "decision_event_id", "expires_at", F.col("fingerprint").alias("admission_fingerprint"),
+        F.col("policy_fingerprint").alias("granted_policy"), F.col("environment_id").alias("granted_environment"))
+    bound = admission_integrity(mine, plans, judged).withColumnRenamed("problem", "admission_problem")
+    problem = F.coalesce("plan_problem", "admission_problem", _first([
+        (~F.col("granted_policy").eqNullSafe(F.col("policy_fingerprint")), "policy snapshot drifted after admission"),
+        (other_environment(environment_id, F.col("environment_id"), F.col("granted_environment")),
+         "apply connection is a different warehouse/environment")]))
+    checked = stored(heads.join(granted, "plan_id").join(bound, "admission_id", "left").withColumn("problem", problem), "apply_headers")
+
+    fine = checked.filter("problem is null")
+    items = stored(_executable(art, fine.select("plan_id", "admission_id")), "apply_items")
+    shape = items.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "action_id", "table"))), lambda s: F.struct(
+        s["action_id"].alias("action_id"), s["table"].alias("table"))).alias("steps"))
+    asked = fine.join(shape, "plan_id", "left").select(
+        "admission_id", "plan_id", "quality_run_id", "plan_fingerprint", "admission_fingerprint",
+        F.coalesce("steps", F.array().cast("array<struct<action_id:string,table:string>>")).alias("steps"))
+    known = stored(recover(asked, store.apply_log()), "recovered")
+    recovered = _recovered(known, checked, store)
+    open_ = fine.join(known.select("admission_id"), "admission_id", "left_anti")
+    out_of_time = lambda now: expired(F.lit(now).cast("timestamp"), F.col("expires_at"))
+    start = clock()
+    late = open_.filter(out_of_time(start)).withColumn("problem", F.lit(EXPIRED))
+    open_ = stored(open_.filter(~out_of_time(start)), "open")
+    done = [_outcomes(checked.filter("problem is not null").withColumn("outcome", F.lit("refused"))),
+            _outcomes(late.withColumn("outcome", F.lit("refused"))), recovered]
+    if open_.isEmpty():
+        return stored(reduce(DataFrame.unionByName, done), "outcomes")
+
+    attempt = uuid.uuid4().hex
+    items = stored(items.join(open_.select("plan_id"), "plan_id", "left_semi"), "open_items")
+    none = F.array().cast(STEP_TYPE)
+    try:
+        written = _staged(items, registry, frames, store, run_id, attempt, clock)
+        compared = items.join(written, ["admission_id", "item_id"], "left").withColumn("rowcount", F.coalesce("written", F.lit(0))).withColumn(
+            "same", (F.col("rowcount") == F.col("target_count")) & (F.col("target_fingerprint") == F.coalesce(
+                "written_fingerprint", empty_set_digest(column="concat(`table`, '|', action_id)"))))
+        per_plan = _per_plan(compared)
+        tried = stored(open_.join(per_plan, "plan_id", "left").withColumn("steps", F.coalesce("steps", none)), "tried")
+    except Exception:
+        _fail(open_.withColumn("steps", none), store, run_id, clock())
+        raise
+    now = clock()
+    agreed = F.coalesce("same", F.lit(True)) & ~out_of_time(now)
+    rows, events = _evidence(tried.filter(agreed), run_id, False, "apply_succeeded", [], now)
+    entries = stored(rows.select(
+        "run_id", F.lit("whole_plan").alias("action_id"), F.lit("multiple").alias("table_name"), "plan_id", "admission_id",
+        F.lit("whole-plan").alias("item_id"), F.coalesce("target_count", F.lit(0)).alias("target_count"),
+        F.coalesce("target_fingerprint", empty_set_digest("targets")).alias("target_fingerprint"), "rowcount", "applied_at", "event_id",
+        "apply_result_id", "result_fingerprint", "admission_fingerprint", "steps", F.lit(attempt).alias("attempt"), "expires_at"), "entries")
+    filled = [f"filled/{row['table']}" for row in items.filter("action_id = 'null_fill'").select("table").distinct().collect()]
+    files = store.files_of(attempt, "quarantine", *filled)
+    last = clock()
+    committed = store.append_log(entries.filter(~out_of_time(last)).drop("expires_at"), files)
+    store.append_events(events.join(committed.select("apply_result_id"), "apply_result_id", "left_semi"), now)
+    failed = stored(tried.filter(~agreed | out_of_time(last)).withColumn(
+        "problem", F.when(F.coalesce("same", F.lit(True)), EXPIRED).otherwise(CHANGED)), "failed")
+    if not failed.isEmpty():
+        _fail(failed, store, run_id, last)
+    done += [_outcomes(committed.withColumn("outcome", F.lit("applied"))), _outcomes(failed.withColumn("outcome", F.lit("refused")))]
+    rivals = entries.filter(~out_of_time(last)).join(committed.select("admission_id"), "admission_id", "left_anti").select("admission_id")
+    if not rivals.isEmpty():
+        lost = stored(recover(asked.join(rivals, "admission_id", "left_semi"), store.apply_log()), "lost")
+        done.append(_recovered(lost, checked, store))
+    return stored(reduce(DataFrame.unionByName, done), "outcomes")
+
+
+def _per_plan(compared: DataFrame) -> DataFrame:
+    """Per plan: whether all items were written as admitted, its steps, and its totals as ``result_totals`` has them."""
+    hashed = compared.withColumn("item_hash", row_hash(F.concat_ws("|", "item_id", "target_fingerprint")))
+    return hashed.groupBy("plan_id").agg(
+        F.bool_and("same").alias("same"), _steps(F.col("rowcount")).alias("steps"), F.sum("target_count").alias("target_count"),
+        F.sum("rowcount").alias("rowcount"), set_digest("item_hash", "targets").alias("target_fingerprint"))
+
+
+def _fail(rows: DataFrame, store: Store, run_id: str, now: datetime) -> None:
+    store.append_events(_evidence(rows, run_id, False, "apply_failed", [FAILED_REASON], now)[1], now)
+
+
+def _recovered(known: DataFrame, checked: DataFrame, store: Store) -> DataFrame:
+    """Outcomes of admissions that were committed before. Their events are stored again, in case the attempt that
+    committed them ended before that; ids follow from content, so one that is stored changes nothing."""
+    if known.isEmpty():
+        return config_frame(store.spark, [], OUTCOME)
+    bad = known.filter("problem is not null").withColumn("problem", F.concat(
+        F.lit("committed result does not bind the supplied payloads ("), F.col("problem"), F.lit(")")))
+    good = known.filter("problem is null")
+    log = store.apply_log().select("admission_id", "applied_at")
+    again = good.select("admission_id", "run_id", "steps", "apply_result_id", "event_id").join(
+        checked.drop("problem"), "admission_id").join(log, "admission_id").withColumn("dry_run", F.lit(False)).withColumn(
+        "result_fingerprint", result_fingerprint()).withColumn("previous_id", F.col("decision_event_id")).withColumn(
+        "reasons", F.array().cast("array<string>"))
+    told = apply_events(again.withColumn("run_id", F.col("quality_run_id")), "apply_succeeded")
+    store.append_events_at(told.join(good.select("event_id"), "event_id", "left_semi").join(
+        again.select("apply_result_id", F.col("applied_at").alias("occurred_at")), "apply_result_id"))
+    return _outcomes(good.withColumn("outcome", F.lit("recovered"))).unionByName(_outcomes(bad.withColumn("outcome", F.lit("refused"))))
 
 
-def _unchanged(registry: Registry, frames: Mapping[str, DataFrame], items: list, spark) -> bool:
-    planned = config_frame(
-            spark,
-            [(i.check_id, i.action_id, i.target_count, i.target_fingerprint) for i in items],
-        "check_id string, action_id string, target_count bigint, target_fingerprint string")
-    current = target_sets(registry, frames, spark, [(i.check_id, i.action_id) for i in items])
-    return recheck(planned, current).filter(~F.col("unchanged")).isEmpty()
+# -- one plan -----------------------------------------------------------------------------
+
+
+def _result(row, dry: bool, what: str) -> ApplyResult:
+    if row.outcome == "refused":
+        recovery = " recovery" if row.problem.startswith("committed result") else ""
+        raise ApplyRefused(f"Refusing {what}{recovery}: {row.problem}")
+    return ApplyResult(
+        row.plan_id, row.run_id, dry, row.admission_id, row.apply_result_id, row.result_fingerprint, row.event_id,
+        [step.asDict() for step in row.steps], row.outcome == "recovered")
 
 
 def dry_run(art: Artifacts, plan_id: str, registry: Registry, frames: Mapping[str, DataFrame],
             store: Store, run_id: str, now: datetime | None = None) -> ApplyResult:
     """Verify and recheck targets; report estimated rows; write one ``dry_run`` event only."""
-    spark = store.spark
-    header = _verify(art, plan_id, registry, "dry run")
-    items = _plan_items(art, plan_id)
-    if not _unchanged(registry, frames, items, spark):
-        raise ApplyRefused("Refusing dry run: controlled target set changed after plan compilation")
-    steps = [{"action_id": i.action_id, "table": i.table, "estimated_rows": i.target_count,
-              "rowcount": None} for i in items]
-    result = ApplyResult(plan_id, run_id, True, steps=steps)
-    _record(store, header, None, result, "dry_run", [], now)
-    return result
+    ids = config_frame(store.spark, [(plan_id,)], "plan_id string")
+    return _result(dry_run_plans(art, ids, registry, frames, store, run_id, now).head(), True, "dry run")
 
 
 def apply_plan(
@@ -230,166 +453,9 @@ def apply_plan(
     environment_id: str,
     clock: Callable[[], datetime] | None = None,
 ) -> ApplyResult:
-    """Apply one admitted plan, or return the result an earlier attempt committed.
-
-    ``admission`` is the admission's single row. ``clock`` is read before every step that could
-    make a copy durable.
-    """
-    spark = store.spark
-    clock = clock or (lambda: datetime.now(timezone.utc))
-    mine = admission.filter(F.col("plan_id") == plan_id)
-    granted = mine.head()
-    if granted is None:
-        raise ApplyRefused("Refusing apply: mutation requires an apply admission")
-    header = _verify(art, plan_id, registry, "apply")
-    plan = art.plans.filter(F.col("plan_id") == plan_id)
-    judged = art.evaluations.filter(F.col("plan_id") == plan_id)
-    problem = admission_integrity(mine, plan, judged).head()["problem"]
-    if problem is None and granted.policy_fingerprint != header["policy_fingerprint"]:
-        problem = "policy snapshot drifted after admission"
-    if problem:
-        raise ApplyRefused(f"Refusing apply: {problem}")
-    if environment_id != header["environment_id"] or environment_id != granted.environment_id:
-        raise ApplyRefused("Refusing apply: apply connection is a different warehouse/environment")
-
-    items = _plan_items(art, plan_id)
-    earlier = _recover(store, header, granted, items)
-    if earlier is not None:
-        return earlier  # its event is stored again if the earlier attempt ended before that
-    _require_time(granted, clock)
-    result = ApplyResult(plan_id, run_id, False, admission_id=granted.admission_id)
-    try:
-        for item in items:
-            _require_time(granted, clock)
-            result.steps.append(_apply_item(item, registry, frames, store, granted, run_id, clock))
-        _require_time(granted, clock)
-    except Exception:
-        failed = ApplyResult(plan_id, run_id, False, granted.admission_id, steps=result.steps)
-        _record(store, header, granted, failed, "apply_failed", [FAILED_REASON], clock())
-        raise
-    entry = _record(store, header, granted, result, "apply_succeeded", [], clock(), items)
-    if not entry:
-        earlier = _recover(store, header, granted, items)
-        if earlier is None:
-            raise ApplyRefused("Refusing apply: apply admission has already been consumed")
-        return earlier
-    return result
-
-
-def _require_time(granted, clock: Callable[[], datetime]) -> None:
-    ends, now = _utc(granted.expires_at), _utc(clock())
-    if now > ends or int((ends - now).total_seconds() * 1000) <= 0:
-        raise ApplyRefused("Refusing apply: apply admission has expired")
-
-
-def _utc(value: datetime) -> datetime:
-    """Naive times read from Spark are local; times from a clock carry their zone."""
-    return value.astimezone(timezone.utc)
-
-
-def _apply_item(item, registry: Registry, frames: Mapping[str, DataFrame], store: Store, granted,
-                run_id: str, clock: Callable[[], datetime]) -> dict:
-    step = {"action_id": item.action_id, "table": item.table, "estimated_rows": item.target_count,
-            "rowcount": 0}
-    pk = registry.contract(item.table).single_key
-    changed = ApplyRefused("Refusing apply: controlled target set changed after plan compilation")
-    if not ACTIONS[item.action_id].mutates:
-        if not _unchanged(registry, frames, [item], store.spark):
-            raise changed
-        return step
-    if item.action_id == "null_fill":
-        filled = filled_rows(registry, item.check_id, frames, mark=FILLED)
-        table = store.stage_filled(filled, item.table, granted.admission_id)
-        staged = table.filter(FILLED).select(row_hash(F.col(pk)).alias("pk_hash"))
-    else:
-        copies = quarantine_rows(registry, item.check_id, item.action_id, frames, run_id, pk_hash=True)
-        staged = store.stage_quarantine(copies, granted.admission_id, item.item_id, clock())
-    # what was written decides, not what another reading of the source would give
-    written = staged.agg(
-        F.count(F.lit(1)).alias("n"),
-        set_digest("pk_hash", label_of(item.table, item.action_id)).alias("fingerprint")).head()
-    if (written.n, written.fingerprint) != (item.target_count, item.target_fingerprint):
-        raise changed
-    step["rowcount"] = written.n
-    return step
-
-
-def _recover(store: Store, header: dict, granted, items: list) -> ApplyResult | None:
-    spark = store.spark
-    shape = [(i.action_id, i.table) for i in items]
-    request = config_frame(
-            spark,
-            [(granted.admission_id, header["plan_id"], header["run_id"], header["plan_fingerprint"],
-          granted.fingerprint, shape)],
-        "admission_id string, plan_id string, quality_run_id string, plan_fingerprint string,"
-        " admission_fingerprint string, steps array<struct<action_id:string,table:string>>")
-    log = store.apply_log()
-    row = recover(request, log).head()
+    """Apply one admitted plan, or return the result an earlier attempt committed."""
+    row = apply_plans(
+        art, admission.filter(F.col("plan_id") == plan_id), registry, frames, store, run_id, environment_id, clock).head()
     if row is None:
-        return None
-    if row.problem:
-        raise ApplyRefused(
-            f"Refusing apply recovery: committed result does not bind the supplied payloads ({row.problem})")
-    result = ApplyResult(
-        header["plan_id"], row.run_id, False, granted.admission_id, row.apply_result_id,
-        row.result_fingerprint, row.event_id, [s.asDict() for s in row.steps], True)
-    applied_at = log.filter(F.col("admission_id") == granted.admission_id).head().applied_at
-    _, event = _evidence(store, header, granted, result, "apply_succeeded", [], applied_at)
-    # ids follow from content: appending an event that is stored changes nothing
-    store.append_events(event.filter(F.col("event_id") == row.event_id), applied_at)
-    return result
-
-
-def _evidence(store: Store, header: dict, granted, result: ApplyResult, outcome: str,
-              reasons: list[str], now: datetime) -> tuple[DataFrame, DataFrame]:
-    """The result as one row, with its fingerprint and id, and the audit event that tells of it."""
-    steps = [(s["action_id"], s["table"], s["estimated_rows"], s["rowcount"]) for s in result.steps]
-    previous = granted.decision_event_id if granted else header["evaluation_id"]
-    row = config_frame(
-            store.spark,
-            [(header["run_id"], result.run_id, result.plan_id, header["plan_fingerprint"],
-          header["policy_fingerprint"], header["evaluation_id"], header["evaluation_fingerprint"],
-          granted.decision_id if granted else None, granted.fingerprint if granted else None,
-          granted.admission_id if granted else None, previous, result.dry_run, steps, reasons, now)],
-        "quality_run_id string, run_id string, plan_id string, plan_fingerprint string,"
-        " policy_fingerprint string, evaluation_id string, evaluation_fingerprint string,"
-        " decision_id string, admission_fingerprint string, admission_id string,"
-        f" previous_id string, dry_run boolean, steps {STEP_TYPE}, reasons array<string>,"
-        " applied_at timestamp")
-    row = row.withColumn("result_fingerprint", result_fingerprint())
-    row = row.withColumn("apply_result_id", F.substring(
-        F.sha2(F.concat_ws("|", "result_fingerprint", "run_id", F.lit(outcome)), 256), 1, 32))
-    return row, apply_events(row.withColumn("run_id", F.col("quality_run_id")), outcome)
-
-
-def _record(store: Store, header: dict, granted, result: ApplyResult, outcome: str,
-            reasons: list[str], now: datetime | None, items: list | None = None) -> bool:
-    """Write the result: the log entry first when something was applied, then its event. An
-    attempt that ends between the two leaves the event to the next one's recovery."""
-    spark, now = store.spark, now or datetime.now(timezone.utc)
-    row, event = _evidence(store, header, granted, result, outcome, reasons, now)
-    facts = row.select("result_fingerprint", "apply_result_id").head()
-    result.fingerprint, result.apply_result_id = facts.result_fingerprint, facts.apply_result_id
-    result.event_id = event.select("event_id").head().event_id
-    if outcome == "apply_succeeded":
-        totals = config_frame(
-            spark,
-            [(i.item_id, i.target_count, i.target_fingerprint) for i in items or []],
-            "item_id string, target_count bigint, target_fingerprint string")
-        digest = totals.select("target_count", row_hash(
-            F.concat_ws("|", "item_id", "target_fingerprint")).alias("__h")).agg(
-            F.coalesce(F.sum("target_count"), F.lit(0)).alias("target_count"),
-            set_digest("__h", "targets").alias("fp")).head()
-        rowcounts = [s["rowcount"] for s in result.steps if s["rowcount"] is not None]
-        entry = row.select(
-            "run_id", F.lit("whole_plan").alias("action_id"), F.lit("multiple").alias("table_name"),
-            "plan_id", "admission_id", F.lit("whole-plan").alias("item_id"),
-            F.lit(digest.target_count).cast("bigint").alias("target_count"),
-            F.lit(digest.fp).alias("target_fingerprint"),
-            F.lit(sum(rowcounts) if rowcounts else None).cast("bigint").alias("rowcount"),
-            "applied_at", F.lit(result.event_id).alias("event_id"), "apply_result_id",
-            "result_fingerprint", "admission_fingerprint", "steps")
-        if not store.append_log(entry):
-            return False
-    store.append_events(event, now)
-    return True
+        raise ApplyRefused("Refusing apply: mutation requires an apply admission")
+    return _result(row, False, "apply")

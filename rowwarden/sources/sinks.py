@@ -1,17 +1,23 @@
 """Durable tables of the engine, as Parquet below one root folder.
 
-Every write is safe to repeat: partitions are replaced as a whole, events are recognised by id,
-and a quarantine copy becomes visible only when the apply log names its admission.
+Every write is safe to repeat: events are recognised by id, and what an apply attempt stages
+becomes visible only when a manifest of the apply log names its attempt and admission.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rowwarden.functions.fingerprint import row_hash, set_digest
 from rowwarden.operators.lineage import EVENT_FIELDS
 from rowwarden.session import config_frame
 from rowwarden.sources.tables import ABSENT
@@ -22,14 +28,15 @@ LOG_FIELDS = (
     " item_id string, target_count bigint, target_fingerprint string, rowcount bigint,"
     " applied_at timestamp, event_id string, apply_result_id string, result_fingerprint string,"
     " admission_fingerprint string,"
-    " steps array<struct<action_id:string,table:string,estimated_rows:bigint,rowcount:bigint>>"
+    " steps array<struct<action_id:string,table:string,estimated_rows:bigint,rowcount:bigint>>, attempt string"
 )
+MANIFEST_SCHEMA = "version bigint, part string, n_entries bigint, n_files bigint, files_digest string"
 EVENT_SCHEMA = ", ".join(
     ["event_id string", *[f"{n} {t}" for n, t in EVENT_FIELDS.items()], "fingerprint string",
      "occurred_at timestamp", "run_bucket int"])
 QUARANTINE_SCHEMA = (
     "run_id string, table_name string, pk_json string, reason string, payload string,"
-    " quarantined_at timestamp, pk_hash string, admission_id string, item_id string")
+    " quarantined_at timestamp, pk_hash string, admission_id string, item_id string, attempt string")
 CHECK_RUN_SCHEMA = (
     "run_id string, report_id string, check_id string, contract_id string, status string,"
     " n_failed bigint, n_total bigint, recorded_at timestamp, run_bucket int")
@@ -43,9 +50,8 @@ def _bucket(run: str) -> Column:
 
 @dataclass(frozen=True)
 class Store:
-    """Paths of the engine's tables. Between a folder's check and its creation plain Parquet leaves a
-    short gap for a second concurrent apply; a table format with optimistic commits can replace
-    ``append_log``."""
+    """Paths of the engine's tables. Commits rely on the file system's rename without overwriting, which
+    HDFS and conditional object stores do atomically."""
 
     spark: SparkSession
     root: str
@@ -53,10 +59,10 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
-    def read(self, name: str, schema: str) -> DataFrame:
+    def read(self, name: str, schema: str | T.StructType, form: str = "parquet") -> DataFrame:
         """A stored table, or an empty one before its first write."""
         try:
-            return self.spark.read.schema(schema).parquet(self.path(name))
+            return self.spark.read.schema(schema).format(form).load(self.path(name))
         except AnalysisException as exc:
             if not (exc.getCondition() or "").startswith(ABSENT):
                 raise
@@ -81,14 +87,16 @@ class Store:
     # -- audit events -------------------------------------------------------------------
 
     def append_events(self, events: DataFrame, occurred_at) -> None:
-        """Add events that are not stored yet. Only the run buckets of the new events are read
-        to find out: the semi join on the partition column prunes the others."""
+        self.append_events_at(events.withColumn("occurred_at", F.lit(occurred_at).cast("timestamp")))
+
+    def append_events_at(self, events: DataFrame) -> None:
+        """Add events (with ``occurred_at``) that are not stored yet. Only the run buckets of the new events are
+        read to find out: the semi join on the partition column prunes the others."""
         keyed = events.dropDuplicates(["event_id"]).withColumn("run_bucket", _bucket("quality_run_id"))
         touched = keyed.select("run_bucket").distinct()
         stored = self.events().select("run_bucket", "event_id").join(
             F.broadcast(touched), "run_bucket", "left_semi")
-        fresh = keyed.join(stored.select("event_id"), "event_id", "left_anti").withColumn(
-            "occurred_at", F.lit(occurred_at).cast("timestamp"))
+        fresh = keyed.join(stored.select("event_id"), "event_id", "left_anti")
         (fresh.select("event_id", *EVENT_FIELDS, "fingerprint", "occurred_at", "run_bucket")
          .repartition("run_bucket").write.mode("append").partitionBy("run_bucket").parquet(self.path("audit_events")))
 
@@ -103,30 +111,29 @@ class Store:
 
     # -- quarantine and apply log --------------------------------------------------------
 
-    def stage_quarantine(self, copies: DataFrame, admission_id: str, item_id: str, at) -> DataFrame:
-        """Write one item's copies into its own partition and return what was written.
+    def stage_copies(self, copies: DataFrame, attempt: str, at) -> DataFrame:
+        """Write an attempt's copies (with admission_id and item_id) and return what was written.
 
-        The written partition is the pinned target set: it is checked and committed as it is,
-        without reading the source again, and it survives the loss of executors.
+        The written files are the pinned target sets: they are checked and committed as they are, without
+        reading the source again. Attempts do not share files, so rivals cannot replace each other's.
         """
-        rows = copies.withColumn("quarantined_at", F.lit(at).cast("timestamp")).withColumn(
-            "admission_id", F.lit(admission_id)).withColumn("item_id", F.lit(item_id))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("admission_id", "item_id").parquet(self.path("quarantine")))
-        return self.read("quarantine", QUARANTINE_SCHEMA).filter(
-            (F.col("admission_id") == admission_id) & (F.col("item_id") == item_id))
+        rows = copies.withColumn("quarantined_at", F.lit(at).cast("timestamp")).withColumn("attempt", F.lit(attempt))
+        names = [field.name for field in T.StructType.fromDDL(QUARANTINE_SCHEMA)]
+        rows.select(names).write.mode("append").partitionBy("attempt").parquet(self.path("quarantine"))
+        return self.staged_copies(attempt)
+
+    def staged_copies(self, attempt: str) -> DataFrame:
+        return self.read("quarantine", QUARANTINE_SCHEMA).filter(F.col("attempt") == attempt)
 
     def quarantine(self) -> DataFrame:
-        """Committed copies only; a staged partition without a log entry is not visible."""
-        committed = self.apply_log().select("admission_id").distinct()
-        return self.read("quarantine", QUARANTINE_SCHEMA).join(committed, "admission_id", "left_semi")
+        """Committed copies only; what an attempt without a log entry staged is not visible."""
+        return self._committed(self.read("quarantine", QUARANTINE_SCHEMA)).drop("attempt")
 
-    def stage_filled(self, filled: DataFrame, table: str, admission_id: str) -> DataFrame:
-        """Write a filled table into its admission's own partition and return what was written."""
-        rows = filled.withColumn("admission_id", F.lit(admission_id))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("admission_id").parquet(self.path(f"filled/{table}")))
-        return self.read(f"filled/{table}", rows.schema).filter(F.col("admission_id") == admission_id)
+    def stage_filled(self, filled: DataFrame, table: str, attempt: str) -> DataFrame:
+        """Write an attempt's filled rows (with admission_id) and return what was written."""
+        rows = filled.withColumn("attempt", F.lit(attempt))
+        rows.write.mode("append").partitionBy("attempt").parquet(self.path(f"filled/{table}"))
+        return self.read(f"filled/{table}", rows.schema).filter(F.col("attempt") == attempt)
 
     def filled(self, table: str) -> DataFrame | None:
         """Committed fills only, None before the first; the rows say which admission filled them."""
@@ -136,26 +143,77 @@ class Store:
             if not (exc.getCondition() or "").startswith(ABSENT):
                 raise
             return None
-        return rows.join(self.apply_log().select("admission_id").distinct(), "admission_id", "left_semi")
+        return self._committed(rows).drop("attempt")
+
+    def _committed(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.apply_log().select("attempt", "admission_id").distinct(), ["attempt", "admission_id"], "left_semi")
+
+    def manifests(self) -> DataFrame:
+        """One row per commit: its version, the part of the log that it made visible, and the number
+        and digest of the files it covers."""
+        return self.read("apply_log/commits", MANIFEST_SCHEMA, "json")
 
     def apply_log(self) -> DataFrame:
-        return self.read("apply_log", LOG_FIELDS + ", commit_bucket int, commit string").drop("commit_bucket", "commit")
-
-    def append_log(self, entry: DataFrame) -> bool:
-        """Commit: add the one-row log entry unless its admission already has one. The entry carries
-        the result evidence, so result and evidence appear in one file or not at all. Its folder is
-        named by the admission and must not exist, so of two applies at once one fails."""
-        taken = self.apply_log().filter(F.coalesce(F.trim("admission_id"), F.lit("")) != "")
-        fresh = entry.join(taken.select("admission_id"), "admission_id", "left_anti")
-        if fresh.isEmpty():
-            return False
-        named = F.when(F.trim("admission_id") != "", F.col("admission_id")).otherwise(F.col("apply_result_id"))
-        key = fresh.select(F.sha2(F.coalesce(named, F.expr("uuid()")), 256).alias("key")).head().key
-        place = f"apply_log/commit_bucket={int(key[:2], 16)}/commit={key}"
+        visible = self.manifests().select("part").distinct()
+        return self.read("apply_log/rows", f"{LOG_FIELDS}, part string").join(visible, "part", "left_semi").drop("part")
+
+    def append_log(self, entries: DataFrame, files: DataFrame | None = None) -> DataFrame:
+        """Commit: make log entries visible, all at once, and return those that were.
+
+        An admission is committed once: entries whose admission has one already are left out. The entries
+        carry the result evidence and are written first; the commit is the exclusive creation of the next
+        manifest. Whoever loses that race looks at the log again before the next version. A blank admission is
+        never in the way of another."""
+        todo = entries
+        while True:
+            version = 1 + (self.manifests().agg(F.max("version")).head()[0] or 0)
+            named = F.coalesce(F.trim("admission_id"), F.lit("")) != ""
+            taken = self.apply_log().filter(named).select("admission_id").distinct()
+            part = uuid.uuid4().hex
+            fresh = todo.join(taken, "admission_id", "left_anti").select(
+                *[field.name for field in T.StructType.fromDDL(LOG_FIELDS)], F.lit(part).alias("part"))
+            fresh.write.mode("append").partitionBy("part").parquet(self.path("apply_log/rows"))
+            todo = self.read("apply_log/rows", f"{LOG_FIELDS}, part string").filter(F.col("part") == part).drop("part")
+            counted = todo.agg(F.count(F.lit(1)).alias("n_entries")).head()
+            if not counted.n_entries:
+                return todo
+            covered = files.agg(F.count(F.lit(1)).alias("n"), set_digest("file_hash", "files").alias("digest")).head() if files is not None else None
+            manifest = {"version": version, "part": part, "n_entries": counted.n_entries,
+                        "n_files": covered.n if covered else 0, "files_digest": covered.digest if covered else None}
+            if self._create(f"apply_log/commits/{version:012d}.json", json.dumps(manifest)):
+                return todo
+
+    def files_of(self, attempt: str, *names: str) -> DataFrame:
+        """(path, length, file_hash) of the files an attempt staged; contents are not read."""
+        parts = [config_frame(self.spark, [], "path string, length bigint")]
+        for name in names:
+            try:
+                found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path(name)}/attempt={attempt}")
+            except AnalysisException as exc:
+                if not (exc.getCondition() or "").startswith(ABSENT):
+                    raise
+                continue
+            parts.append(found.select("path", "length"))
+        return reduce(DataFrame.unionByName, parts).select(
+            "*", row_hash(F.concat_ws("|", "path", F.col("length").cast("string"))).alias("file_hash"))
+
+    def _create(self, name: str, text: str) -> bool:
+        """Create a file with its content unless it exists. It is written aside and renamed without overwriting,
+        so a reader sees all of it or nothing, and of two creators one fails."""
+        hadoop = self.spark._jvm.org.apache.hadoop
+        path = hadoop.fs.Path(self.path(name))
+        aside = hadoop.fs.Path(self.path(f"apply_log/aside/{uuid.uuid4().hex}"))
+        context = hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        system.mkdirs(path.getParent())
+        out = system.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
         try:
-            fresh.select(*taken.columns).coalesce(1).write.mode("errorifexists").parquet(self.path(place))
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_ALREADY_EXISTS":
+            context.rename(aside, path, self.spark._sc._gateway.new_array(hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as exc:
+            if exc.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
                 raise
+            system.delete(aside, False)
             return False
         return True

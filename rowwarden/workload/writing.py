@@ -87,12 +87,13 @@ def e3_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
                        inside["cust_nk"].alias("cust_nk"), inside["o_orderpriority"].alias("o_orderpriority"))
 
 
-def log_entry(spark: SparkSession, admission_id: str, targets: DataFrame) -> DataFrame:
+def log_entry(spark: SparkSession, admission_id: str, targets: DataFrame, attempt: str) -> DataFrame:
     """The commit of one copied item."""
     counted = targets.agg(F.count("*").alias("n"), set_digest("pk_hash", "written").alias("digest"))
     names = [part.split()[0] for part in LOG_FIELDS.split(", ") if " " in part and not part.startswith("rowcount:")]
     values = {"run_id": F.lit("apply-1"), "admission_id": F.lit(admission_id), "target_count": F.col("n"), "rowcount": F.col("n"),
-              "target_fingerprint": F.col("digest"), "applied_at": F.lit(AT), "apply_result_id": F.lit(f"result-{admission_id}")}
+              "target_fingerprint": F.col("digest"), "applied_at": F.lit(AT), "apply_result_id": F.lit(f"result-{admission_id}"),
+              "attempt": F.lit(attempt)}
     empty = config_frame(spark, [], LOG_FIELDS)
     return empty.unionByName(counted.select(*[values[n].alias(n) for n in names if n in values]), allowMissingColumns=True)
 
@@ -103,11 +104,11 @@ def log_entry(spark: SparkSession, admission_id: str, targets: DataFrame) -> Dat
 def a6_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two attempts at one admission and one that never commits: the reader sees the first's copies once."""
     store, loaded = fresh_store(spark), views.frames(spark, sf_dir, only=["orders"])
-    copies = fix.quarantine_rows(REG, *NULLS, loaded, "apply-1", pk_hash=True)
-    store.stage_quarantine(copies, "adm-2", "item-1", AT)
-    for _ in range(2):
-        staged = store.stage_quarantine(copies, "adm-1", "item-1", AT)
-        store.append_log(log_entry(spark, "adm-1", staged))
+    copies = fix.quarantine_rows(REG, *NULLS, loaded, "apply-1", pk_hash=True).withColumn("item_id", F.lit("item-1"))
+    store.stage_copies(copies.withColumn("admission_id", F.lit("adm-2")), "attempt-0", AT)
+    for attempt in ("attempt-1", "attempt-2"):
+        staged = store.stage_copies(copies.withColumn("admission_id", F.lit("adm-1")), attempt, AT)
+        store.append_log(log_entry(spark, "adm-1", staged, attempt), store.files_of(attempt, "quarantine"))
     log = store.apply_log().select("admission_id", "rowcount")
     return store.quarantine().join(F.broadcast(log), "admission_id").select("pk_json", "admission_id", "rowcount")
 
@@ -150,11 +151,12 @@ def d10_quality_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h2_null_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fill is written whole, summed up from what was written, and hidden until its commit."""
     store, loaded = fresh_store(spark), views.frames(spark, sf_dir, only=["orders"])
-    staged = store.stage_filled(fix.filled_rows(REG, FILL[0], loaded, mark="filled"), "orders", "adm-1")
+    filled = fix.filled_rows(REG, FILL[0], loaded, mark="filled").withColumn("admission_id", F.lit("adm-1"))
+    staged = store.stage_filled(filled, "orders", "attempt-1")
     changed = staged.filter("filled").select(row_hash(F.col("o_orderkey")).alias("pk_hash"))
     written = changed.agg(F.count("*").alias("target_count"), set_digest("pk_hash", fix.label_of("orders", FILL[1])).alias("target_fingerprint"))
     hidden = store.filled("orders").isEmpty()
-    store.append_log(log_entry(spark, "adm-1", changed))
+    store.append_log(log_entry(spark, "adm-1", changed, "attempt-1"))
     # one row
     return store.filled("orders").join(F.broadcast(written)).select(
         "o_orderkey", "o_totalprice", "filled", "target_count", "target_fingerprint", F.lit(hidden).alias("hidden_before"))

@@ -193,11 +193,22 @@ def test_event_lost_after_the_commit_is_written_on_recovery(spark, prepared, fra
         assert again.recovered and [e.event_id for e in store.events().collect()] == [again.event_id]
 
 
-def test_a_second_commit_of_one_admission_fails(spark, prepared, frames, tmp_path, monkeypatch):
-    store = Store(spark, str(tmp_path))
-    run(spark, prepared, frames, tmp_path)
-    entry = stored(store.apply_log(), "entry")
-    monkeypatch.setattr(Store, "apply_log", lambda self: entry.filter("false"))  # a reader that came too early
-    assert store.append_log(entry) is False
+def test_of_two_rivals_one_commits(spark, prepared, frames, tmp_path, monkeypatch):
+    """The second reads the log before the first commits, and reaches the commit after it."""
+    store, real = Store(spark, str(tmp_path)), Store.manifests
+    first = run(spark, prepared, frames, tmp_path)
+    early = []
+
+    def manifests(self):
+        early.append(1)
+        return real(self).filter("false") if len(early) <= 3 else real(self)
+
+    monkeypatch.setattr(Store, "manifests", manifests)
+    second = run(spark, prepared, frames, tmp_path, run_id="apply-2")
     monkeypatch.undo()
-    assert store.apply_log().count() == 1
+    assert len(early) > 5 and second.recovered and second.run_id == first.run_id == "apply-1"
+    assert store.apply_log().count() == 1 and store.quarantine().count() == 2
+    assert store.staged_copies(store.apply_log().head().attempt).count() == 2
+    manifest = store.manifests().collect()
+    assert [(m.version, m.n_entries) for m in manifest] == [(1, 1)] and manifest[0].n_files > 0
+    assert store._create("apply_log/commits/000000000001.json", "{}") is False
