@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from rowwarden.operators import lineage, scoring, suite
 from rowwarden.operators import proposals as prop
 from rowwarden.operators.remediation import target_sets
 from rowwarden.plans import admission, apply, compiler, review
+from rowwarden.plans.preparation import prepare_reviews
 from rowwarden.session import stored
 from rowwarden.sources import replay
 from rowwarden.workload import corpus, views
@@ -312,10 +315,15 @@ TARGETS = "g_targets AS (" + " UNION ALL ".join(
     f"SELECT '{k}' AS check_id, ({sql})::BIGINT AS n" for k, sql in TARGET.items()) + ")"
 
 
+@lru_cache(maxsize=8)
+def run_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target sets of all policies, resolved once for all plans of a session."""
+    return stored(target_sets(REG, corpus.frames(spark, sf_dir), spark), "target_sets")
+
+
 def _items(spark: SparkSession, sf_dir: str, requested: DataFrame) -> DataFrame:
-    sets = target_sets(REG, corpus.frames(spark, sf_dir), spark)
     return compiler.compile_items(
-        corpus.proposals(spark, sf_dir), requested, corpus.results(spark, sf_dir), sets, REG, spark)
+        corpus.proposals(spark, sf_dir), requested, corpus.results(spark, sf_dir), run_targets(spark, sf_dir), REG, spark)
 
 
 @query("g1_duplicates", with_corpus("SELECT proposal_id, ordinal, duplicate FROM g_dup", *BASE,
@@ -386,6 +394,12 @@ def _plans(spark: SparkSession, sf_dir: str, requested: DataFrame) -> tuple[Data
     return stored(plans, "plans"), items
 
 
+@lru_cache(maxsize=8)
+def good_plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Plans and items of the default proposals: durable artifacts, written once and read by every later step."""
+    return _plans(spark, sf_dir, corpus.good_actions(spark, sf_dir))
+
+
 GOOD = """g_good AS (SELECT p.proposal_id, p.run_id, f.check_id, f.check_no, y.action_id, f."table"
   FROM g_proposals p JOIN g_runs r ON r.run_id = p.run_id AND NOT r.incomplete JOIN g_failed f ON f.run_id = p.run_id
   JOIN g_policy y ON y.check_id = f.check_id)"""
@@ -396,7 +410,7 @@ SELECT p.proposal_id, s.name, CASE WHEN s.name = 'plan_compilation' AND r.incomp
   TRUE AS intact FROM g_proposals p JOIN g_runs r ON r.run_id = p.run_id,
   (VALUES ('plan_compilation'), ('policy_snapshot'), ('target_set_integrity')) s(name)""", *BASE))
 def g5_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans, items = _plans(spark, sf_dir, corpus.good_actions(spark, sf_dir))
+    plans, items = good_plans(spark, sf_dir)
     scores = compiler.evaluate_plans(plans, items, REG)
     return scores.join(plans.select("plan_id", "proposal_id"), "plan_id").select(
         "proposal_id", "name", "score", "intact")
@@ -406,7 +420,7 @@ def g5_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT proposal_id, check_id, check_id = 'c0' AS drifted FROM g_good", *BASE, more=GOOD))
 def g6_policy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans compiled before the contract of ``t0`` changed, checked after it did."""
-    items = _items(spark, sf_dir, corpus.good_actions(spark, sf_dir))
+    items = good_plans(spark, sf_dir)[1]
     return compiler.policy_drift(items, corpus.registry("reworded")).select(
         "proposal_id", F.col("evidence")[0]["check_id"].alias("check_id"), "drifted")
 
@@ -416,7 +430,7 @@ SELECT g.proposal_id, g.action_id, g."table", g.check_id AS checks, t.n AS targe
   g.action_id <> 'no_op_alert' AS mutates, TRUE AS reversible
 FROM g_good g JOIN g_targets t ON t.check_id = g.check_id""", *BASE, more=GOOD + ", " + TARGETS, views_needed=("orders_d",)))
 def g7_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans, items = _plans(spark, sf_dir, corpus.good_actions(spark, sf_dir))
+    plans, items = good_plans(spark, sf_dir)
     shown = review.review_items(items, REG, spark)
     return shown.join(plans.select("plan_id", "proposal_id"), "plan_id").select(
         "proposal_id", "action_id", "table", F.array_join("evidence_check_ids", ",").alias("checks"),
@@ -430,7 +444,7 @@ SELECT p.proposal_id, 'passed' AS verdict, count(g.check_id) AS n_items,
   LEFT JOIN g_good g ON g.proposal_id = p.proposal_id GROUP BY p.proposal_id""", *BASE, more=GOOD))
 def g7_review_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the review text says; ids and digests in it are the engine's own."""
-    plans, items = _plans(spark, sf_dir, corpus.good_actions(spark, sf_dir))
+    plans, items = good_plans(spark, sf_dir)
     judged = compiler.evaluations(plans, compiler.evaluate_plans(plans, items, REG))
     texts = review.approval_reviews(plans, judged, review.review_items(items, REG, spark))
     body = F.col("body")
@@ -508,14 +522,14 @@ def g9_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- admission ------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=8)
 def artifacts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Stored artifacts of every default proposal, each damaged in the way its first event says.
 
     ``fault`` is the user number of the proposal's first event modulo 16.
     """
-    requested = corpus.good_actions(spark, sf_dir)
     results = corpus.results(spark, sf_dir)
-    plans, items = _plans(spark, sf_dir, requested)
+    plans, items = good_plans(spark, sf_dir)
     judged = stored(compiler.evaluations(plans, compiler.evaluate_plans(plans, items, REG)), "evaluations")
     reviews = stored(review.approval_reviews(plans, judged, review.review_items(items, REG, spark)), "reviews")
     fault = views.base(spark, sf_dir, "events").filter("event_id % 4 = 0").select(
@@ -554,12 +568,13 @@ def artifacts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+@lru_cache(maxsize=8)
 def _refusals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     art = artifacts(spark, sf_dir)
     checked = admission.admission_refusals(
         art["requests"], art["plans"], art["items"], art["evaluations"], art["decisions"], art["reviews"],
         art["events"], art["reports"], art["results"], REG, spark)
-    return checked, art
+    return stored(checked, "refusals"), art
 
 
 FAULT_TEXT = {
@@ -612,7 +627,7 @@ FROM g_proposals p JOIN g_runs r ON r.run_id = p.run_id AND NOT r.incomplete AND
 JOIN g_faults f ON f.proposal_id = p.proposal_id WHERE fault BETWEEN 1 AND 4""", *BASE, more=FAULTS))
 def g12_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items repeated, re-labelled, re-parametrised or lost after compilation."""
-    plans, items = _plans(spark, sf_dir, corpus.good_actions(spark, sf_dir))
+    plans, items = good_plans(spark, sf_dir)
     fault = views.base(spark, sf_dir, "events").filter("event_id % 4 = 0").select(
         F.expr("event_id DIV 4").alias("proposal_id"), F.expr("user_id % 16").alias("fault"))
     damaged = items.join(fault, "proposal_id")
@@ -637,13 +652,11 @@ def g13_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain(spark, sf_dir).groupBy("kind").agg(F.count_distinct("event_id").alias("n_events"))
 
 
+@lru_cache(maxsize=8)
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rowwarden.plans.preparation import prepare_reviews
-
-    requested = corpus.good_actions(spark, sf_dir)
-    return prepare_reviews(
-        corpus.proposals(spark, sf_dir), requested, corpus.results(spark, sf_dir),
-        target_sets(REG, corpus.frames(spark, sf_dir), spark), REG, spark, "warehouse-a").events
+    return stored(prepare_reviews(
+        corpus.proposals(spark, sf_dir), corpus.good_actions(spark, sf_dir), corpus.results(spark, sf_dir),
+        run_targets(spark, sf_dir), REG, spark, "warehouse-a").events, "chain")
 
 
 # -- apply ----------------------------------------------------------------------------------------
@@ -774,7 +787,7 @@ LEFT JOIN (SELECT g.proposal_id, t.n FROM g_good g JOIN g_targets t ON t.check_i
 GROUP BY ALL""", *BASE, more=GOOD + ", " + TARGETS, views_needed=("orders_d",)))
 def i1_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plan events of every proposal, summed per run and kind."""
-    plans, _ = _plans(spark, sf_dir, corpus.good_actions(spark, sf_dir))
+    plans, _ = good_plans(spark, sf_dir)
     events = lineage.plan_events(plans.withColumn("previous_id", F.lit("c")))
     return events.groupBy(F.col("quality_run_id").cast("bigint").alias("run_id"), "kind").agg(
         F.sum("target_count").alias("target_count"), F.count_distinct("event_id").alias("n_events"))

@@ -188,7 +188,7 @@ LEFT JOIN (SELECT NULL::BIGINT AS proposal_id WHERE FALSE) o ON o.proposal_id =
     *governance.BASE, more=governance.GOOD))
 def g7_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of each shadow review and its last advice; ids and digests are the engine's own."""
-    plans, items = governance._plans(spark, sf_dir, corpus.good_actions(spark, sf_dir))
+    plans, items = governance.good_plans(spark, sf_dir)
     judged = compiler.evaluations(plans, compiler.evaluate_plans(plans, items, governance.REG))
     reviews = review.approval_reviews(plans, judged, review.review_items(items, governance.REG, spark))
     texts = review.shadow_reviews(reviews, plans, items, governance.REG)
