@@ -70,3 +70,8 @@ def set_digest(hashed: str, label: str | None = None, column: str | None = None)
 def empty_set_digest(label: str | None = None, column: str | None = None) -> Column:
     """The digest of no rows, for a fixed label or for the label in a column."""
     return _fold(f"'{label}'" if column is None else column, "0", ["0"] * len(LANES))
+
+
+def set_digest_of(label: str, count: str, lanes: list[str]) -> Column:
+    """The digest of a set whose row count and lane sums are known; all are SQL expressions."""
+    return _fold(label, count, lanes)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowwarden import quality
 from rowwarden.functions.fingerprint import row_hash, set_digest
-from rowwarden.operators import lineage, proposals, scoring, suite
+from rowwarden.operators import filesets, lineage, proposals, scoring, suite
 from rowwarden.operators import remediation as fix
 from rowwarden.plans import compiler, review
 from rowwarden.session import checkpoint_dir, config_frame
@@ -162,6 +162,48 @@ def h2_null_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_totalprice", "filled", "target_count", "target_fingerprint", F.lit(hidden).alias("hidden_before"))
 
 
+_BUCKETS = 8
+_LOST = "o_orderkey % 8 = 3 AND o_orderpriority = '1-URGENT'"  # what the rewritten bucket lost
+_ROW_POLICIES = [NULLS, ("orders.o_orderstatus.validity", "quarantine_invalids"), INVALID, ("orders.o_orderdate.open_window", "quarantine_invalids")]
+
+
+def _bucket_sql() -> str:
+    later = f"later AS (SELECT * REPLACE (CASE WHEN {_LOST} THEN NULL ELSE o_totalprice END AS o_totalprice) FROM orders_d)"
+    parts = []
+    for check_id, action_id in _ROW_POLICIES:
+        keys = target_sql(check_id, action_id)
+        parts.append(
+            f"SELECT '{check_id}' AS check_id, '{action_id}' AS action_id, coalesce(b.bucket, a.bucket) AS bucket, coalesce(b.n, 0) AS n_before,"
+            f" coalesce(a.n, 0) AS n_after, s.target_count, s.target_fingerprint FROM"
+            f" (SELECT k % {_BUCKETS} AS bucket, count(*) AS n, list(k ORDER BY k) AS ks FROM ({keys}) GROUP BY ALL) b FULL JOIN"
+            f" (SELECT k % {_BUCKETS} AS bucket, count(*) AS n, list(k ORDER BY k) AS ks FROM ({keys.replace('orders_d', 'later')}) GROUP BY ALL) a"
+            f" ON a.bucket = b.bucket, ({summary_sql(check_id, action_id).replace('orders_d', 'later')}) s WHERE a.ks IS DISTINCT FROM b.ks")
+    return with_views(" UNION ALL ".join(parts), "orders_d", more=later)
+
+
+@query("e12_changed_buckets", _bucket_sql())
+def e12_changed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in buckets, one of which is written anew: the recheck reads that one, names where targets
+    changed, and gives the whole table's new target sets."""
+    root = f"{fresh_store(spark).root}/orders"
+    rows = views.frames(spark, sf_dir, only=["orders"])["orders"].withColumn("bucket", F.pmod("o_orderkey", F.lit(_BUCKETS)))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(root)
+    read = filesets.parquet_files(spark, root)
+    before = filesets.file_sets(REG, "orders", _ROW_POLICIES, filesets.list_files(spark, root), read)
+    lost = F.when(F.expr(_LOST), None).otherwise(F.col("o_totalprice"))
+    rewritten = rows.filter("bucket = 3").withColumn("o_totalprice", lost)
+    rewritten.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
+    after = filesets.file_sets(REG, "orders", _ROW_POLICIES, filesets.list_files(spark, root), read, kept=before)
+    # one file's targets may move to another file of its bucket; a bucket changed if its sums did
+    bucketed = lambda sums: sums.withColumn("path", F.regexp_extract("path", r"bucket=(\d+)", 1)).groupBy("path", *filesets.POLICY).agg(
+        F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in filesets.LANE_NAMES])
+    changed = filesets.changed_files(bucketed(before[1]), bucketed(after[1]))
+    totals = filesets.total_sets(REG, "orders", _ROW_POLICIES, after[1]).drop("table")
+    # one row per policy
+    return changed.join(F.broadcast(totals), list(filesets.POLICY)).select(
+        *filesets.POLICY, F.col("path").cast("bigint").alias("bucket"), "n_before", "n_after", "target_count", "target_fingerprint")
+
+
 @query("f10_details", with_corpus("""
 SELECT proposal_id, 'citation_quality' AS name, 'unknown' AS detail, check_id AS id FROM g_judged WHERE NOT in_failed
 UNION SELECT proposal_id, 'citation_quality', 'mismatched_contracts', check_id FROM g_judged WHERE in_failed AND mismatched

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rowwarden.operators import checks, digests, remediation, suite
 from rowwarden.operators.verdicts import RowVerdicts, readable_checks
 from rowwarden.registry import Registry
+from rowwarden.session import stored
 
 COLUMNS = [{"name": n, "dtype": d} for n, d in (("id", "int64"), ("name", "utf8"), ("part", "utf8"), ("day", "date"), ("ref", "int64"), ("kind", "utf8"))]
 COLUMNS[-1]["allowed_values"] = ["a", "b"]
@@ -159,3 +160,40 @@ def test_empty_tables(spark):
     found = RowVerdicts(REG, frames, spark, readable_checks(REG, frames), POLICIES)
     assert all(r.n_failed == r.n_total == 0 for r in found.counts().collect()) and found.targets().count() == 0
     assert suite.failure_samples(REG, frames).count() == 0
+
+
+def test_only_changed_files_are_read(spark, tmp_path):
+    from rowwarden.operators import filesets
+
+    root = str(tmp_path / "t")
+    frame = spark.createDataFrame(rows_like(200), SCHEMA).withColumn("b", F.col("id") % 4)
+    frame.repartition("b").write.partitionBy("b").parquet(root)
+    policies = [("t.name.completeness", "quarantine_nulls"), ("t.kind.validity", "quarantine_invalids")]
+    asked = []
+
+    def read(paths):
+        asked.append(sorted(paths))
+        return filesets.parquet_files(spark, root)(paths)
+
+    def total(sums):
+        return sorted(map(tuple, filesets.total_sets(REG, "t", policies, sums).collect()))
+
+    def plainly():
+        return sorted(map(tuple, remediation.target_sets(
+            REG, {"t": spark.read.parquet(root), "p": spark.range(1).toDF("pid")}, spark, policies).collect()))
+
+    first = filesets.file_sets(REG, "t", policies, filesets.list_files(spark, root), read)
+    assert total(first[1]) == plainly() and len(asked[0]) == 4
+    again = filesets.file_sets(REG, "t", policies, filesets.list_files(spark, root), read, kept=first)
+    assert len(asked) == 1 and total(again[1]) == plainly()
+    part = stored(spark.read.parquet(root).filter("b = 2").withColumn("name", F.lit(None).cast("string")), "part")
+    part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("b").parquet(root)
+    more = spark.createDataFrame([(1000, None, None, None, None, "c")], SCHEMA).withColumn("b", F.lit(9))
+    more.write.mode("append").partitionBy("b").parquet(root)
+    later = filesets.file_sets(REG, "t", policies, filesets.list_files(spark, root), read, kept=first)
+    assert total(later[1]) == plainly() and total(later[1]) != total(first[1])
+    assert len(asked) == 2 and all("b=2" in path or "b=9" in path for path in asked[1])
+    changed = filesets.changed_files(first[1], later[1]).collect()
+    assert {row.path.split("b=")[1][0] for row in changed} == {"2", "9"}
+    with pytest.raises(ValueError, match="other rows"):
+        filesets.file_sets(REG, "t", [("t.ref.referential_integrity", "quarantine_orphans")], filesets.list_files(spark, root), read)
