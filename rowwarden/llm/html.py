@@ -1,10 +1,11 @@
 """Main text of web pages by two passes over their text blocks.
 
-The first pass judges every block by itself: where it stands (menus, forms, comments and the like
-against the article), its link density, its length and its share of stop words. Short blocks and
-those with few stop words stay undecided. In the second pass they are text inside an article; on other
-pages they take the label of the nearest block before or after them that its text decided, and are
-text where no block is text for sure. Each page is worked on alone, inside one task.
+The first pass judges every block by its text: link density, length and share of stop words decide
+some, short blocks and those with few stop words stay undecided. Where a block stands is one more
+feature: menus, forms, comments and the like are never text, and the region with more decided text,
+inside articles or outside, is the page's text. In the second pass an undecided block of that region takes the label of
+its nearest decided neighbours; where none is text for sure, all undecided ones are.
+Each page is worked on alone, inside one task.
 """
 
 from __future__ import annotations
@@ -51,10 +52,10 @@ STOPS = frozenset((
     "le la les de des et un une du en à il que est pour qui dans ce par sur se pas plus au avec son ne "
     "el los las y del con no por su para como más pero sus lo este entre cuando muy sin sobre también me ya").split())
 
-# A quoted attribute may hold ">"; one that never ends, or is very long, ends with the tag at the next ">".
+# A quoted attribute may hold ">" and be of any length; one that never ends, ends with the tag at the next ">".
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)"
-    r"((?:[^'\">]|\"[^\"]{0,9999}\"|'[^']{0,9999}')*+|[^<>]*)>", re.S)
+    r"((?:[^'\">]|\"[^\"]*\"|'[^']*')*+|[^<>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 MARKED = frozenset("class id role".split())
 INVISIBLE = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -153,10 +154,6 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def has_tag(html: str) -> bool:
-    return html.find(">") >= 0 and TAG.search(html) is not None
-
-
 def decided(block: tuple[str, int, int]) -> int:
     """First pass: GOOD, BAD or UNSURE."""
     text, linked, place = block
@@ -167,39 +164,46 @@ def decided(block: tuple[str, int, int]) -> int:
     return GOOD if len(words) >= SURE_WORDS and stops >= SURE_STOPS * len(words) else UNSURE
 
 
+def inherited(labels: list[int], article: bool) -> list[int]:
+    """Second pass: undecided labels become that of the nearest decided one, at equal distance of the one before.
+    Inside articles only those enclosed by boilerplate on both sides are boilerplate. Without any decided label they
+    stay undecided."""
+    before, after = [], []
+    for out, order in ((before, labels), (after, reversed(labels))):
+        seen, steps = UNSURE, 0
+        for label in order:
+            out.append((steps, seen))
+            seen, steps = (label, 1) if label != UNSURE else (seen, steps + 1)
+    final = []
+    for label, (near, one), (far, other) in zip(labels, before, reversed(after), strict=True):
+        if label == UNSURE and (one or other):
+            if article:
+                label = BAD if one == other == BAD else GOOD
+            elif not one or not other:
+                label = one or other
+            else:
+                label = one if near <= far else other
+        final.append(label)
+    return final
+
+
 def main_text(html: str) -> str:
     """The page's text blocks, one line each.
 
-    On a page with an article, blocks outside it are boilerplate, and undecided blocks inside it are
-    text. On other pages an undecided block takes the label of the nearest block that its own text
-    decided; blocks in menus and other places of boilerplate go, and say nothing about their
-    neighbours. A tie goes to the block before. Where no block is text for sure, as in a language
-    without stop words here or on a page of short lines, all undecided blocks are text. Only a
-    text of fewer than ``SURE_WORDS`` words without any tag is no page and stays empty."""
-    page = blocks(html)
-    has_article = any(place == GOOD for _, _, place in page)
-    page = [block for block in page if (block[2] == GOOD if has_article else block[2] != BAD)]
-    labels = [decided(block) for block in page]
-    if has_article or GOOD not in labels:
-        kept = [block[0] for block, label in zip(page, labels, strict=True) if label != BAD]
-        words = sum(len(text.split()) for text in kept)
-        return "\n".join(kept) if has_article or words >= SURE_WORDS or has_tag(html) else ""
-    kept = []
-    before, distance = None, 0  # nearest decided block before, and how far
-    after: list[tuple[int, int]] = []  # the same after each block, from the end
-    seen, steps = None, 0
-    for label in reversed(labels):
-        after.append((seen, steps))
-        seen, steps = (label, 1) if label != UNSURE else (seen, steps + 1)
-    after.reverse()
-    for block, label, (later, far) in zip(page, labels, after, strict=True):
-        final = label
-        if label == UNSURE:
-            final = min((n, order, other) for n, order, other in ((distance, 0, before), (far, 1, later)) if other is not None)[2]
-        if final == GOOD:
-            kept.append(block[0])
-        before, distance = (label, 1) if label != UNSURE else (before, distance + 1)
-    return "\n".join(kept)
+    Blocks in menus and other places of boilerplate go, and say nothing about their neighbours. Of the others,
+    those inside articles are the page's text unless those outside have more text that is text for sure, as beside
+    teasers. Of the chosen blocks, undecided ones take the label of the nearest that its own text decided; inside articles
+    they go only where decided blocks on both sides are boilerplate. Where no block is text for sure, as
+    in a language without stop words here or on a page of short lines, all undecided blocks are text."""
+    page = [(block, decided(block)) for block in blocks(html) if block[2] != BAD]
+    sure = {place: sum(len(block[0]) for block, label in page if label == GOOD and block[2] == place) for place in (GOOD, UNSURE)}
+    article = any(block[2] == GOOD for block, _ in page) and sure[GOOD] >= sure[UNSURE]
+    if article:
+        page = [(block, label) for block, label in page if block[2] == GOOD]
+    labels = [label for _, label in page]
+    if GOOD in labels:
+        labels = inherited(labels, article)
+    return "\n".join(block[0] for (block, _), label in zip(page, labels, strict=True) if label != BAD)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

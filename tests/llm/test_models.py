@@ -125,7 +125,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><scrip
 
 @pytest.mark.parametrize(("page", "text"), [
     (PAGE, "Short title\nThe first paragraph of the text is &here& and it is long enough!\nTiny.\na b\none two\nthree"),
-    ("", ""), ("no markup at all", ""), ("<p>" + "the cat and the dog of the man in a house " * 2, ("the cat and the dog of the man in a house " * 2).strip()),
+    ("", ""), ("no markup at all", "no markup at all"), ("Breaking: shop closed", "Breaking: shop closed"), ("<p>" + "the cat and the dog of the man in a house " * 2, ("the cat and the dog of the man in a house " * 2).strip()),
     ("<p>Heading</p><p>" + "it is the end of the day and a long one " * 2 + "</p><p>next<div id=nav>the a of</div>",
      "Heading\n" + ("it is the end of the day and a long one " * 2).strip() + "\nnext"),
     ("<article>a < b <b title='x", "a < b <b title='x"), ("<article><p>x</p><script>never closed <p>y", "x"),
@@ -135,6 +135,26 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+def plain_labels(labels, article):
+    """The second pass by looking at all pairs of blocks."""
+    out = []
+    for n, label in enumerate(labels):
+        near = sorted((abs(n - k), k > n, other) for k, other in enumerate(labels) if other != html.UNSURE)
+        sides = [{later for _, later, other in near if later == side} and next(o for _, later, o in near if later == side) for side in (False, True)]
+        if label == html.UNSURE and near:
+            label = near[0][2] if not article else html.BAD if sides == [html.BAD, html.BAD] else html.GOOD
+        out.append(label)
+    return out
+
+
+def test_second_pass_equals_all_pairs():
+    rng = random.Random(6)
+    for _ in range(500):
+        labels = rng.choices([html.GOOD, html.BAD, html.UNSURE], [1, 1, 3], k=rng.randint(0, 12))
+        for article in (False, True):
+            assert html.inherited(labels, article) == plain_labels(labels, article)
+
+
 FINNISH = "Koira juoksi metsän läpi nopeasti kohti järveä jossa kalat uivat hiljaa syvällä"
 ENGLISH = "it is the end of the day and a long one for all of us"
 
@@ -152,6 +172,20 @@ def test_pages_without_article(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article class=teaser>Read more</article><div><p>{ENGLISH}</p><p>{ENGLISH} too</p></div>", f"Read more\n{ENGLISH}\n{ENGLISH} too"),
+    (f"<article><h1>Title</h1><p>{ENGLISH}</p><p>Short</p></article><div>{ENGLISH}</div>", f"Title\n{ENGLISH}\nShort"),
+    (f"<article><p>{ENGLISH}</p><ul><li><a href=/>one</a></li></ul><h2>Next</h2><p>{ENGLISH}</p></article>", f"{ENGLISH}\nNext\n{ENGLISH}"),
+    (f"<article><p>{ENGLISH}</p><p>near</p><p>far</p><p><a href=/>More</a></p></article>", f"{ENGLISH}\nnear\nfar"),
+    (f"<article><p>{ENGLISH}</p><p><a href=/>More</a></p><p>or</p><p><a href=/>Less</a></p><p>End</p></article>", f"{ENGLISH}\nEnd"),
+    (f"<article><p>{FINNISH}</p><p>Lyhyt</p></article>", f"{FINNISH}\nLyhyt"),
+    (f"<article><p data-x='{'>' * 12_000}'>{ENGLISH}</p></article>", ENGLISH),
+    (f"<p title=\"{'a>' * 200_000}\" class='x'>{ENGLISH}", ENGLISH),
+])
+def test_texts_decide_on_pages_with_articles(page, text):
+    assert html.main_text(page) == text
+
+
 @pytest.mark.parametrize("opening", [
     "<article class='post has-sidebar'>", "<main class=no-sidebar>", "<article class=sidebar>", "<article id=search-result-7>",
     "<body class='nav menu'><article>", "<main class=search><article class=post>", "<div class='content social-news'>",
