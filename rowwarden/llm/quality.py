@@ -23,7 +23,7 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
 MAX_SYMBOLS = 50  # percent of the words
 MAX_DUP_LINES = 30  # percent of the lines with a word
-CONDEMNED = 0.5  # shrunk failure rate from which a host's documents must pass every rule
+ABOVE = 1 + 1e-9  # a host at the common rate is not above it, whatever the rounding
 STRENGTH = (1.0, 1e6)  # bounds of the fitted prior's weight, in documents
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -78,7 +78,8 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     """(host, failed) rows to (host, n, n_failed, rate, condemned); a null host is a host.
 
     Beta prior by moments: mean of all documents, variance between hosts beyond what their sizes
-    explain. Without such variance every host takes the common rate."""
+    explain. Without such variance every host takes the common rate, up to the bound of the prior's weight. A host is condemned
+    when its shrunk rate lies above the common one."""
     hosts = stored(judged.groupBy("host").agg(
         F.count("*").alias("n"), F.count_if("failed").alias("n_failed")), "hosts")
     total = hosts.agg(
@@ -93,28 +94,28 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     prior = total.select(mean.alias("mean"), F.coalesce(weight, F.lit(STRENGTH[1])).alias("weight"))
     rate = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))
     # the prior is one row
-    return hosts.join(F.broadcast(prior)).select("host", "n", "n_failed", rate.alias("rate"), (rate > CONDEMNED).alias("condemned"))
+    return hosts.join(F.broadcast(prior)).select("host", "n", "n_failed", rate.alias("rate"), (rate > F.col("mean") * ABOVE).alias("condemned"))
 
 
-def _with_condemned(rows: DataFrame, host: str, verdicts: DataFrame, flag: str) -> DataFrame:
-    """Adds the flag of condemned hosts. A host that holds much of the table is split by the join."""
-    condemned = stored(verdicts.filter("condemned").select(F.col("host").alias(host), F.lit(True).alias(flag)), "condemned")
-    sizes = verdicts.select(F.col("host").alias(host), "n")
-    return skew_join(rows, condemned, [host], "left", null_safe=True, sizes=sizes)
+def _with_verdicts(rows: DataFrame, host: str, verdicts: DataFrame, flag: str, rate: str) -> DataFrame:
+    """Adds the verdict on each row's host and its rate. A host that holds much of the table is split by the join."""
+    known = stored(verdicts.select(F.col("host").alias(host), "n", F.col("condemned").alias(flag), F.col("rate").alias(rate)), "verdicts")
+    return skew_join(rows, known.drop("n"), [host], "left", null_safe=True, sizes=known.select(host, "n"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """(doc_id, the five measures, base_failed, kept) for each row of ``docs`` (doc_id, text, source).
+    """(doc_id, the five measures, base_failed, kept, host_condemned, host_rate) for each row of ``docs`` (doc_id, text, source).
 
     A null text is an empty text and fails; a null source is a host of its own; repeated rows are
     judged as often as they occur; other columns are not read; an empty table gives no rows."""
     rows = measured(docs.select("doc_id", "text", F.col("source").alias("host")), "m").select("doc_id", "host", "m")
     rows = stored(rows, "measures")
     verdicts = host_verdicts(rows.select("host", any_failed(F.col("m")).alias("failed")))
-    joined = _with_condemned(rows, "host", verdicts, "condemned")
+    joined = _with_verdicts(rows, "host", verdicts, "condemned", "rate")
     return joined.select(
         "doc_id", *[f"m.{name}" for name in MEASURES], base_failed(F.col("m")).alias("base_failed"),
-        _keeps(F.col("m"), F.col("condemned")).alias("kept"))
+        _keeps(F.col("m"), F.col("condemned")).alias("kept"), F.col("condemned").alias("host_condemned"),
+        F.round("rate", 6).alias("host_rate"))
 
 
 def _keeps(m: Column, condemned: Column) -> Column:
@@ -122,12 +123,14 @@ def _keeps(m: Column, condemned: Column) -> Column:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns unchanged."""
-    m, flag, host, failed = fresh(docs, "m", "condemned", "host", "failed")
-    rows = measured(docs.select("text", F.col("source").alias(host)), m)
+    """The rows of ``docs`` that the rules keep, with all their columns unchanged.
+
+    Null texts and sources, repeated rows and an empty table are treated as in ``judge``; columns of ``docs`` may have any
+    names. Texts are measured once: they are written with their measures before the hosts are judged."""
+    m, flag, rate, host = fresh(docs, "m", "condemned", "rate", "host")
+    rows = stored(measured(docs.withColumn(host, F.col("source")), m), "measured")
     verdicts = host_verdicts(rows.select(F.col(host).alias("host"), any_failed(F.col(m)).alias("failed")))
-    joined = _with_condemned(docs.withColumn(host, F.col("source")), host, verdicts, flag)
-    return measured(joined, m).filter(_keeps(F.col(m), F.col(flag))).select(docs.columns)
+    return _with_verdicts(rows, host, verdicts, flag, rate).filter(_keeps(F.col(m), F.col(flag))).select(docs.columns)
 
 
 ORACLE = r"""
@@ -150,9 +153,10 @@ t AS (SELECT sum(bad) / sum(n) AS mean,
              (sum(bad::DOUBLE * bad / n) - sum(bad) * sum(bad) / sum(n) - (count(*) - 1) * (sum(bad) / sum(n)) * (1 - sum(bad) / sum(n)))
              / nullif(sum(n) - sum(n::DOUBLE * n) / sum(n), 0) AS between_hosts FROM h),
 p AS (SELECT mean, CASE WHEN between_hosts > 0 THEN greatest(1.0, least(1e6, mean * (1 - mean) / between_hosts - 1)) ELSE 1e6 END AS weight FROM t),
-v AS (SELECT source, (bad + mean * weight) / (n + weight) > 0.5 AS condemned FROM h, p)
+v AS (SELECT source, round((bad + mean * weight) / (n + weight), 6) AS host_rate,
+        (bad + mean * weight) / (n + weight) > mean * (1 + 1e-9) AS condemned FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (condemned AND failed) AS kept
+       NOT base_failed AND NOT (condemned AND failed) AS kept, condemned AS host_condemned, host_rate
 FROM a JOIN v ON a.source IS NOT DISTINCT FROM v.source
 """
 
