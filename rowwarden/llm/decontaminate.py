@@ -38,92 +38,94 @@ def needed(n: int) -> int:
     return -(-n * 4 // 5)
 
 
-def hashed(flat: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every shingle and the offsets of each text's shingles.
+def hashed(flat: pa.Array, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every shingle of ``size`` words and the offsets of each text's shingles.
 
     The hash is a polynomial over the words' XXH64, so equal shingles have equal hashes; a text
-    with one to four words is one shingle of all its words."""
+    with fewer words has none."""
     words, codes = encoded(flat)
     of_word = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))[codes]
-    n = np.diff(offsets)
-    counts = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
+    counts = np.maximum(np.diff(offsets) - size + 1, 0)
     starts = np.repeat(offsets[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    stops = np.repeat(offsets[1:], counts)
     value = np.zeros(len(starts), np.uint64)
-    for k in range(SHINGLE):
-        at = starts + k
-        inside = at < stops
-        step = np.where(inside, of_word[np.minimum(at, max(len(of_word) - 1, 0))] if len(of_word) else np.uint64(0), np.uint64(0))
-        value = (value ^ step) * SPREAD
+    for k in range(size):
+        value = (value ^ of_word[starts + k]) * SPREAD
         value ^= value >> np.uint64(29)
     return value, np.concatenate(([0], np.cumsum(counts)))
 
 
-def shingles(words: list[str]) -> list[str]:
-    if not words:
-        return []
-    return [" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
+def shingles(words: list[str], size: int = SHINGLE) -> list[str]:
+    return [" ".join(words[i:i + size]) for i in range(len(words) - size + 1)]
 
 
-def sketches(items: list[tuple[int, str]]) -> dict:
-    """Sketch values with the items they belong to, sorted by value, for the probe."""
-    sets, by_size = [], {}  # size class: members
-    for at, (_, text) in enumerate(items):
+def sketches(items: list[tuple[int, str]]) -> list[dict]:
+    """The partitions of the items, by words of a shingle and size class: sketch values with the items they
+    belong to, sorted by value, and the fewest shingles that a text must have to contain one of them.
+
+    An item of one to four words is one shingle of all its words. In a partition of 5-word shingles sizes differ by less than a
+    factor of two, so a text too short for its smallest item is not probed at all."""
+    parts: dict[tuple[int, int], list] = {}
+    for item_id, text in items:
         flat, offsets = split_words(pa.array([text], pa.string()))
         words = flat.to_pylist()
-        sets.append(frozenset(shingles(words)))
         if words:
-            by_size.setdefault(len(sets[-1]).bit_length(), []).append((at, np.unique(hashed(flat, offsets)[0])))
-    values, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for members in by_size.values():  # one sketch length per size class and size
-        for at, least in members:
-            kept = least[:len(sets[at]) - needed(len(sets[at])) + 1]
-            values.append(kept)
-            owners.append(np.full(len(kept), at))
-    values, owners = np.concatenate(values), np.concatenate(owners)
-    order = np.argsort(values, kind="stable")
-    return {"ids": [i for i, _ in items], "sets": sets, "values": values[order], "owners": owners[order]}
-
-
-def matches(flat: pa.Array, offsets: np.ndarray, probe: dict) -> list[tuple[int, int, int]]:
-    """(text, item, shared shingles) of all texts and items with enough in common."""
-    values = probe["values"]
-    if not len(values) or not len(flat):
-        return []
-    value, bounds = hashed(flat, offsets)
-    first = np.searchsorted(values, value, side="left")
-    hit = np.flatnonzero(values[np.minimum(first, len(values) - 1)] == value)
-    text = np.searchsorted(bounds, hit, side="right") - 1
-    last = np.searchsorted(values, value[hit], side="right")
-    met: dict[int, set[int]] = {}
-    for t, v, a, b in {(int(t), int(v), int(a), int(b)) for t, v, a, b in zip(text, value[hit], first[hit], last, strict=True)}:
-        met.setdefault(t, set()).update(probe["owners"][a:b].tolist())
+            size = min(len(words), SHINGLE)
+            own = frozenset(shingles(words, size))
+            parts.setdefault((size, len(own).bit_length()), []).append((item_id, own, np.unique(hashed(flat, offsets, size)[0])))
     out = []
-    for t, owners in met.items():
-        own = set(shingles(flat.slice(offsets[t], offsets[t + 1] - offsets[t]).to_pylist()))
-        for at in owners:
-            shared = len(probe["sets"][at] & own)
-            if shared >= needed(len(probe["sets"][at])):
-                out.append((t, at, shared))
+    for (size, _), members in sorted(parts.items()):
+        kept = [least[:len(own) - needed(len(own)) + 1] for _, own, least in members]
+        values, owners = np.concatenate(kept), np.repeat(np.arange(len(members)), list(map(len, kept)))
+        order = np.argsort(values, kind="stable")
+        out.append({
+            "size": size, "ids": [item_id for item_id, _, _ in members], "sets": [own for _, own, _ in members],
+            "values": values[order], "owners": owners[order], "fewest": min(needed(len(own)) for _, own, _ in members)})
+    return out
+
+
+def matches(flat: pa.Array, offsets: np.ndarray, parts: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(text, item id, shared shingles, shingles of the item) of all texts and items with enough in common."""
+    out, known = [], {}
+    for part in parts:
+        size, values = part["size"], part["values"]
+        if not len(flat):
+            break
+        if size not in known:
+            known[size] = hashed(flat, offsets, size)
+        value, bounds = known[size]
+        long_enough = np.repeat(np.diff(bounds) >= part["fewest"], np.diff(bounds))
+        places = np.flatnonzero(long_enough)
+        first = np.searchsorted(values, value[places], side="left")
+        met_here = values[np.minimum(first, len(values) - 1)] == value[places]
+        hit, first = places[met_here], first[met_here]
+        text = np.searchsorted(bounds, hit, side="right") - 1
+        last = np.searchsorted(values, value[hit], side="right")
+        met: dict[int, set[int]] = {}
+        for t, a, b in {(int(t), int(a), int(b)) for t, a, b in zip(text, first, last, strict=True)}:
+            met.setdefault(t, set()).update(part["owners"][a:b].tolist())
+        for t, owners in met.items():
+            own = set(shingles(flat.slice(offsets[t], offsets[t + 1] - offsets[t]).to_pylist(), size))
+            for at in owners:
+                wanted = part["sets"][at]
+                shared = len(wanted & own)
+                if shared >= needed(len(wanted)):
+                    out.append((t, part["ids"][at], shared, len(wanted)))
     return out
 
 
 def _search(probe):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_block = probe.value
+        parts = probe.value
         for batch in slices(batches, "text"):
             flat, offsets = split_words(filled(batch, "text"))
-            found = matches(flat, offsets, item_block)
+            found = matches(flat, offsets, parts)
             if not found:
                 continue
-            rows = pa.array([t for t, _, _ in found], pa.int64())
-            sizes = [len(item_block["sets"][at]) for _, at, _ in found]
+            rows, ids, shared, sizes = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([
-                pc.take(batch.column("doc_id"), rows),
-                pa.array([item_block["ids"][at] for _, at, _ in found], pa.int64()),
-                pa.array([shared for _, _, shared in found], pa.int64()),
-                pa.array(sizes, pa.int64()),
-                pa.array([shared / size for (_, _, shared), size in zip(found, sizes, strict=True)], pa.float64()),
+                pc.take(batch.column("doc_id"), pa.array(rows, pa.int64())), pa.array(ids, pa.int64()),
+                pa.array(shared, pa.int64()), pa.array(sizes, pa.int64()),
+                pa.array([n / size for n, size in zip(shared, sizes, strict=True)], pa.float64()),
             ], ["doc_id", "item_id", "n_shared", "n_shingles", "containment"])
     return run
 
@@ -147,7 +149,7 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are not read. Words are
     runs without ASCII white space, A-Z lower-cased. An item with one to four words is one
-    shingle of all its words; it is found in texts that are exactly these words. Null and empty
+    shingle of all its words, and is found wherever these words stand in a row. Null and empty
     texts contain nothing and are contained nowhere. Repeated rows and null ids are reported as
     they are. Without documents or items the result is empty."""
     spark = docs.sparkSession
@@ -165,7 +167,7 @@ def _clean(probe):
         for batch in slices(batches, "text"):
             flat, offsets = split_words(filled(batch, "text"))
             dirty = np.zeros(batch.num_rows, bool)
-            dirty[[t for t, _, _ in matches(flat, offsets, probe.value)]] = True
+            dirty[[found[0] for found in matches(flat, offsets, probe.value)]] = True
             yield batch.filter(pa.array(~dirty))
     return run
 
@@ -187,11 +189,14 @@ WITH t AS (
   SELECT 'i', row_number() OVER (), item_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')
   FROM benchmark),
-s AS (SELECT DISTINCT kind, row_id, id, array_to_string(w[i:i + 4], ' ') AS g
-      FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+k AS (SELECT DISTINCT least(len(w), 5) AS size FROM t WHERE kind = 'i' AND len(w) > 0),
+p AS (SELECT kind, row_id, id, w, least(len(w), 5) AS size FROM t WHERE kind = 'i' AND len(w) > 0
+      UNION ALL SELECT kind, row_id, id, w, size FROM t, k WHERE kind = 'd'),
+s AS (SELECT DISTINCT kind, row_id, id, size, array_to_string(w[i:i + size - 1], ' ') AS g
+      FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM p WHERE len(w) >= size)),
 n AS (SELECT row_id, count(*) AS n_shingles FROM s WHERE kind = 'i' GROUP BY row_id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
-FROM s d JOIN s i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.row_id = i.row_id
+FROM s d JOIN s i ON d.g = i.g AND d.size = i.size AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.row_id = i.row_id
 GROUP BY d.row_id, d.id, i.row_id, i.id, n_shingles HAVING 5 * count(*) >= 4 * n_shingles
 """
 
