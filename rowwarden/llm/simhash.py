@@ -97,7 +97,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
         F.struct(F.lit(n).cast("byte").alias("choice"), _choice_key(chosen).alias("key"))
         for n, chosen in enumerate(choices)])).alias("k")).select("fp", "k.choice", "k.key")
     full = stored(keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1"), "blocks")
-    met = keyed.join(full, ["choice", "key"])
+    met = skew_join(keyed, full, ["choice", "key"], "inner", sizes=full, hot_rows=MAX_BLOCK * MAX_BLOCK)
     small = met.filter(F.col("n") <= MAX_BLOCK).groupBy("choice", "key").agg(F.collect_list("fp").alias("fps"))
     near = small.select("fps").mapInArrow(_pairs_within, "u long, v long").distinct()
     around = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(64)])

@@ -98,9 +98,13 @@ def test_one_document_of_each_class_stays(awkward, nothing, documents):
     assert [row["doc_id"] for row in simhash.distinct_documents(docs).orderBy("doc_id").collect()] == [None, 5, 5]
 
 
-def plain_shingles(text):
-    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
-    return {" ".join(words[n:n + 5]) for n in range(max(1, len(words) - 4))} if words else set()
+def plain_words(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+
+
+def plain_shingles(text, size=5):
+    words = plain_words(text)
+    return {" ".join(words[n:n + size]) for n in range(len(words) - size + 1)}
 
 
 def contamination_case(rng):
@@ -124,9 +128,9 @@ def test_contained_items(spark, monkeypatch):
     docs, items = contamination_case(random.Random(5))
     want = []
     for doc_id, text in docs:
-        own = plain_shingles(text)
         for item_id, item in items:
-            wanted = plain_shingles(item)
+            size = min(5, len(plain_words(item)))
+            wanted, own = (plain_shingles(x, size) if size else set() for x in (item, text))
             if wanted and 5 * len(wanted & own) >= 4 * len(wanted):
                 want.append((doc_id, item_id, len(wanted & own), len(wanted), len(wanted & own) / len(wanted)))
     assert len(want) > 50
@@ -142,9 +146,9 @@ def test_contained_items(spark, monkeypatch):
 
 
 def test_decontamination_of_awkward_rows(awkward, spark):
-    items = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "ok")], "item_id long, text string")
+    items = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "ok"), (3, "The CAT"), (4, "words the")], "item_id long, text string")
     found = rows_of(decontaminate.contained(awkward, items).select("doc_id", "item_id"))
-    assert found == sorted([(1, 1), (1, 1), (None, 1), (4, 2)], key=repr)
+    assert found == sorted([(1, 1), (1, 1), (None, 1), (4, 2), (1, 3), (1, 3), (None, 3), (6, 4)], key=repr)
     clean = decontaminate.clean_documents(awkward, items)
     assert clean.columns == awkward.columns and clean.filter(F.col("text").contains("cat")).count() == 0
 
@@ -153,3 +157,17 @@ def test_hash_tells_word_order():
     one = decontaminate.hashed(pa.array(["a", "b", "c", "d", "e"]), decontaminate.np.array([0, 5]))[0]
     two = decontaminate.hashed(pa.array(["e", "b", "c", "d", "a"]), decontaminate.np.array([0, 5]))[0]
     assert len(one) == len(two) == 1 and one[0] != two[0]
+
+
+def test_hub_of_half_the_edges(spark, monkeypatch):
+    """One vertex has half of all edges; it is matched by broadcast and the components are the same."""
+    monkeypatch.setattr(graph, "MIN_HOT", 10)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = [(5000, n) for n in range(1, 400)] + [(n, n + 1) for n in range(6000, 6400, 2)] + [(7000 + n, 7001 + n) for n in range(50)]
+        found = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+        assert all(found[n] == 1 for n in [*range(1, 400), 5000]) and found[6001] == 6000 and found[7050] == 7000
+        assert len(found) == 400 + 400 + 51
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
