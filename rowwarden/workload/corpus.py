@@ -1,7 +1,8 @@
 """A governance corpus derived from ``events``: runs, proposals, requests and decisions.
 
-Every event is one requested action; four consecutive events form a proposal and proposals are
-dealt to fifty runs. Everything grows with the events table. ``SQL`` states the same relations.
+Every event is one requested action; four consecutive events form a proposal and 64 consecutive
+proposals share a run, so runs, results and proposals all grow with the events table. In every seventh
+run the first check cannot be evaluated. ``SQL`` states the same relations.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from rowwarden.operators.proposals import default_actions
 from rowwarden.registry import Registry
 from rowwarden.workload import views
 
-RUNS, CHECKS = 50, 8
+CHECKS = 8
+EVENTS_A_RUN = 256
+RUN_SQL, RUN = f"event_id // {EVENTS_A_RUN}", f"event_id DIV {EVENTS_A_RUN}"  # for the database, for Spark
+UNREADABLE = "run_id % 7 = 2 AND k = 0"  # a check of a run, by number, that ends in an error
 ACTION = ("CASE event_type WHEN 'signup' THEN 'quarantine_nulls' WHEN 'purchase' THEN 'quarantine_invalids'"
           " WHEN 'view' THEN 'dedupe_keep_min_pk' WHEN 'click' THEN 'no_op_alert' ELSE 'drop_table' END")
 # the action each check permits, by check number
@@ -25,14 +29,14 @@ PERMITTED = ("quarantine_nulls", "quarantine_invalids", "dedupe_keep_min_pk", "n
              "quarantine_nulls")
 
 SQL = {
-    "g_actions": f"""SELECT event_id // 4 AS proposal_id, (event_id // 4) % {RUNS} AS run_id,
+    "g_actions": f"""SELECT event_id // 4 AS proposal_id, {RUN_SQL} AS run_id,
         event_id % 4 AS ordinal, {ACTION} AS action_id, 'c' || (user_id % 8) AS check_id,
         CASE WHEN event_id % 61 = 0 THEN 'warehouse.wrong' ELSE 'warehouse.t' || (user_id % 8) END AS contract_id
         FROM events""",
     "g_proposals": "SELECT DISTINCT proposal_id, run_id FROM g_actions",
     "g_checks": f"""SELECT run_id, k AS check_no, 'c' || k AS check_id, 'warehouse.t' || (k % 8) AS contract_id,
         't' || (k % 8) AS "table",
-        CASE WHEN run_id = {RUNS - 1} AND k = 0 THEN 'error'
+        CASE WHEN {UNREADABLE} THEN 'error'
              WHEN (run_id * 7 + k % 8) % 5 = 0 THEN 'fail' ELSE 'pass' END AS status
         FROM (SELECT DISTINCT run_id FROM g_actions), range({CHECKS}) r(k)""",
     "g_results": """SELECT *, CASE status WHEN 'fail' THEN run_id + check_no + 1 ELSE 0 END AS n_failed,
@@ -107,7 +111,7 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.base(spark, sf_dir, "events").withColumn(
-        "proposal_id", F.expr("event_id DIV 4")).withColumn("run_id", F.expr(f"event_id DIV 4 % {RUNS}"))
+        "proposal_id", F.expr("event_id DIV 4")).withColumn("run_id", F.expr(RUN))
 
 
 def actions(spark: SparkSession, sf_dir: str, several: bool = False) -> DataFrame:
@@ -134,7 +138,7 @@ def results(spark: SparkSession, sf_dir: str, checks: int = CHECKS) -> DataFrame
     """Check results of every run; the ninth check repeats the outcome of the first."""
     runs = events(spark, sf_dir).select("run_id").distinct()
     k = F.col("k")
-    status = F.expr(f"CASE WHEN run_id = {RUNS - 1} AND k = 0 THEN 'error'"
+    status = F.expr(f"CASE WHEN {UNREADABLE} THEN 'error'"
                     " WHEN (run_id * 7 + k % 8) % 5 = 0 THEN 'fail' ELSE 'pass' END")
     return runs.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(checks - 1))).alias("k")).select(
         "run_id", k.alias("ordinal"), F.concat(F.lit("c"), k.cast("string")).alias("check_id"),

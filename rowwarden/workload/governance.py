@@ -158,7 +158,7 @@ def f3_justify(spark: SparkSession, sf_dir: str) -> DataFrame:
 # two pieces of evidence: the first offending one decides; nine checks, the ninth like the first
 SEVERAL = f"""g_nine AS (SELECT run_id, 'c' || k AS check_id, 'warehouse.t' || (k % 8) AS contract_id, 't' || (k % 8) AS home,
   k AS check_no FROM (SELECT DISTINCT run_id FROM g_actions), range(9) r(k)
-  WHERE (run_id * 7 + k % 8) % 5 = 0 AND NOT (run_id = {corpus.RUNS - 1} AND k = 0)),
+  WHERE (run_id * 7 + k % 8) % 5 = 0 AND NOT ({corpus.UNREADABLE})),
  g_rules AS (SELECT * FROM (VALUES {", ".join(f"('c{k}', '{a}')" for k, a in enumerate(corpus.PERMITTED))}) v(check_id, allowed)),
  g_two AS (SELECT a.*, event_id, 1 AS place FROM g_actions a JOIN events e ON e.event_id = a.proposal_id * 4 + a.ordinal
    UNION ALL SELECT a.proposal_id, a.run_id, a.ordinal, a.action_id,
@@ -339,7 +339,7 @@ def g1_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     " FROM g_items i LEFT JOIN g_targets t ON t.check_id = i.check_id",
     *BASE, more=ITEMS + ", " + TARGETS, views_needed=("orders_d",)))
 def g2_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir, corpus.actions(spark, sf_dir))
+    items = mixed_plans(spark, sf_dir)[1]
     return items.select("proposal_id", "item_id", "kind", "reason", "action_id", "target_count")
 
 
@@ -381,7 +381,7 @@ SELECT p.proposal_id, count(i.item_id) AS n_items, count(i.item_id) FILTER (WHER
 FROM g_proposals p LEFT JOIN g_items i ON i.proposal_id = p.proposal_id LEFT JOIN g_targets t ON t.check_id = i.check_id
 GROUP BY p.proposal_id""", *BASE, more=ITEMS + ", " + TARGETS, views_needed=("orders_d",)))
 def g4_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans, _ = _plans(spark, sf_dir, corpus.actions(spark, sf_dir))
+    plans, _ = mixed_plans(spark, sf_dir)
     return plans.select("proposal_id", "n_items", "n_executable",
                         F.array_join("blocked_reasons", ";").alias("reasons"), "blocked", "target_count")
 
@@ -400,6 +400,12 @@ def good_plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _plans(spark, sf_dir, corpus.good_actions(spark, sf_dir))
 
 
+@lru_cache(maxsize=8)
+def mixed_plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Plans and items of what was really requested: permitted, refused, repeated, and in unreadable runs."""
+    return _plans(spark, sf_dir, corpus.actions(spark, sf_dir))
+
+
 GOOD = """g_good AS (SELECT p.proposal_id, p.run_id, f.check_id, f.check_no, y.action_id, f."table"
   FROM g_proposals p JOIN g_runs r ON r.run_id = p.run_id AND NOT r.incomplete JOIN g_failed f ON f.run_id = p.run_id
   JOIN g_policy y ON y.check_id = f.check_id)"""
@@ -438,18 +444,19 @@ def g7_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("g7_review_text", with_corpus("""
-SELECT p.proposal_id, 'passed' AS verdict, count(g.check_id) AS n_items,
-  count(g.check_id) FILTER (WHERE g.action_id <> 'no_op_alert') AS n_mutating,
-  TRUE AS asks_note FROM g_proposals p JOIN g_runs r ON r.run_id = p.run_id AND NOT r.incomplete
-  LEFT JOIN g_good g ON g.proposal_id = p.proposal_id GROUP BY p.proposal_id""", *BASE, more=GOOD))
+SELECT p.proposal_id, CASE WHEN r.incomplete OR count(i.reason) > 0 THEN 'failed' ELSE 'passed' END AS verdict,
+  count(i.item_id) FILTER (WHERE i.reason IS NULL) AS n_items,
+  count(i.item_id) FILTER (WHERE i.reason IS NULL AND i.action_id <> 'no_op_alert') AS n_mutating, TRUE AS asks_note
+FROM g_proposals p JOIN g_runs r ON r.run_id = p.run_id LEFT JOIN g_items i ON i.proposal_id = p.proposal_id
+GROUP BY p.proposal_id, r.incomplete""", *BASE, more=ITEMS))
 def g7_review_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the review text says; ids and digests in it are the engine's own."""
-    plans, items = good_plans(spark, sf_dir)
+    """What the review text of every plan says, whether or not it passed; ids and digests in it are the engine's own."""
+    plans, items = mixed_plans(spark, sf_dir)
     judged = compiler.evaluations(plans, compiler.evaluate_plans(plans, items, REG))
     texts = review.approval_reviews(plans, judged, review.review_items(items, REG, spark))
     body = F.col("body")
     count = lambda pattern: F.regexp_count(body, F.lit(pattern)).cast("bigint")
-    return texts.filter("evaluation_passed").join(plans.select("plan_id", "proposal_id"), "plan_id").select(
+    return texts.join(plans.select("plan_id", "proposal_id"), "plan_id").select(
         "proposal_id", F.regexp_extract(body, r"(?m)^Evaluation: (\w+)$", 1).alias("verdict"),
         count(r"(?m)^- \w+ on t\d; mutates=").alias("n_items"), count("mutates=yes").alias("n_mutating"),
         body.endswith("Approve the whole plan or reject it. A note is required.").alias("asks_note"))
@@ -748,7 +755,7 @@ def h7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # events whose chain is whole, except for what the proposal's first event breaks
 def _broken_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.base(spark, sf_dir, "events").select(
-        F.col("event_id"), F.expr(f"cast(event_id DIV 4 % {corpus.RUNS} AS string)").alias("quality_run_id"),
+        F.col("event_id"), F.expr(f"cast({corpus.RUN} AS string)").alias("quality_run_id"),
         F.expr("event_id DIV 4").alias("p"), F.expr("event_id % 4").alias("stage"), "user_id")
     kind = F.expr("CASE stage WHEN 0 THEN 'plan_compiled' WHEN 1 THEN 'evaluation' WHEN 2 THEN 'approval_review'"
                   " ELSE 'human_approved' END")
@@ -767,7 +774,7 @@ def _broken_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("i3_chain", f"""
 WITH v AS (SELECT event_id, event_id % 4 AS stage, user_id, CASE WHEN event_id % 4 = 2 AND user_id % 5 = 1 THEN 'other'
-    ELSE ((event_id // 4) % {corpus.RUNS})::VARCHAR END AS run,
+    ELSE ({corpus.RUN_SQL})::VARCHAR END AS run,
   CASE WHEN user_id % 5 = 2 THEN NULL WHEN user_id % 5 = 3 OR event_id % 4 = 0 THEN -1
        WHEN user_id % 7 = 1 AND event_id % 4 > 1 THEN event_id - 2 ELSE event_id - 1 END AS prev FROM events)
 SELECT 'v' || v.event_id AS event_id, CASE WHEN v.prev IS NULL THEN 'no predecessor' WHEN p.event_id IS NULL THEN 'predecessor not found'

@@ -221,21 +221,18 @@ def f10_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("g7_shadow", with_corpus("""
-SELECT p.proposal_id, count(g.check_id) + count(o.proposal_id) AS n_entries, count(o.proposal_id) AS n_blocked,
-  CASE WHEN count(o.proposal_id) > 0 THEN 'Next: do not request a Human Decision.'
-       WHEN count(g.check_id) > 0 THEN 'Next: the Shadow Review was recorded.' ELSE 'Next: no remediation is required.' END AS next
-FROM g_proposals p JOIN g_runs r ON r.run_id = p.run_id AND NOT r.incomplete
-LEFT JOIN g_good g ON g.proposal_id = p.proposal_id
-LEFT JOIN (SELECT NULL::BIGINT AS proposal_id WHERE FALSE) o ON o.proposal_id = p.proposal_id GROUP BY p.proposal_id""",
-    *governance.BASE, more=governance.GOOD))
+SELECT p.proposal_id, count(i.item_id) AS n_entries, count(i.reason) AS n_blocked,
+  CASE WHEN r.incomplete OR count(i.reason) > 0 THEN 'Next: do not request a Human Decision.'
+       WHEN count(i.item_id) > 0 THEN 'Next: the Shadow Review was recorded.' ELSE 'Next: no remediation is required.' END AS next
+FROM g_proposals p JOIN g_runs r ON r.run_id = p.run_id LEFT JOIN g_items i ON i.proposal_id = p.proposal_id
+GROUP BY p.proposal_id, r.incomplete""", *governance.BASE, more=governance.ITEMS))
 def g7_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries of each shadow review and its last advice; ids and digests are the engine's own."""
-    plans, items = governance.good_plans(spark, sf_dir)
+    """The entries of each shadow review, blocked ones included, and its last advice; ids and digests are the engine's own."""
+    plans, items = governance.mixed_plans(spark, sf_dir)
     judged = compiler.evaluations(plans, compiler.evaluate_plans(plans, items, governance.REG))
     reviews = review.approval_reviews(plans, judged, review.review_items(items, governance.REG, spark))
     texts = review.shadow_reviews(reviews, plans, items, governance.REG)
     count = lambda pattern: F.regexp_count("body", F.lit(pattern)).cast("bigint")
-    complete = plans.filter("NOT incomplete").select("plan_id", "proposal_id")
-    return texts.join(complete, "plan_id").select(
+    return texts.join(plans.select("plan_id", "proposal_id"), "plan_id").select(
         "proposal_id", count("(?m)^Table: warehouse").alias("n_entries"), count("(?m)^Risk: unavailable").alias("n_blocked"),
         F.regexp_extract("body", r"(?m)^(Next: [^.]*\.)", 1).alias("next"))

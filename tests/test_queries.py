@@ -1,8 +1,4 @@
-"""Registered queries against their SQL at the smallest scale.
-
-The eight longest governance chains run only with ROWWARDEN_ALL=1; ``tools/compare.py`` runs everything
-at any scale.
-"""
+"""Registered queries against their SQL at the smallest scale; ``tools/compare.py`` runs them at any scale."""
 
 import glob
 import os
@@ -17,7 +13,6 @@ from compare import compare, connect
 from rowwarden.workload.base import ORACLES, QUERIES
 
 SF_DIR = entry.SMOKE_DIR
-LONG = {"g7_review", "g7_review_text", "g10_admission", "g11_integrity", "g12_params", "g13_prepare", "i1_events", "i4_walk"}
 pytestmark = pytest.mark.skipif(not glob.glob(f"{SF_DIR}/*.parquet"), reason="no test data")
 
 
@@ -28,8 +23,6 @@ def database():
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, database, name):
-    if name in LONG and not os.environ.get("ROWWARDEN_ALL"):
-        pytest.skip("long chain")
     verdict, _, _ = compare(spark, database, SF_DIR, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert verdict == "ok"
 
