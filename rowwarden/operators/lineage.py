@@ -207,9 +207,13 @@ def ordered_run(events: DataFrame, run_id: str) -> DataFrame:
 
 def privacy_findings(bodies: DataFrame, body: str = "body",
                      fields: Iterable[str] = PRIVATE_FIELDS) -> DataFrame:
-    """Rows whose JSON body, at any depth, has a field that may carry row content."""
-    pattern = '"(' + "|".join(fields) + r')"\s*:'
-    return bodies.filter(F.col(body).rlike(pattern))
+    """Rows whose JSON body, at any depth, has a field that may carry row content.
+
+    The body is parsed and written again, so that an escaped name becomes the name it stands for, and every quote
+    inside a name or value is escaped: only a field's name stands between plain quotes before a colon. What
+    is no JSON, or repeats a name, is searched as it is."""
+    written = F.coalesce(F.expr(f"to_json(try_parse_json(`{body}`))"), F.col(body))
+    return bodies.filter(written.rlike(r'(?<!\\)"(' + "|".join(fields) + r')"\s*:'))
 
 
 # -- table lineage ----------------------------------------------------------------------------

@@ -822,12 +822,17 @@ def i4_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-@query("i5_privacy", """SELECT event_id FROM events WHERE user_id % 23 = 5 OR (event_type = 'error' AND user_id % 4 = 1)""")
+@query("i5_privacy", """SELECT event_id FROM events WHERE user_id % 23 = 5 OR (event_type = 'error' AND user_id % 4 = 1)
+OR (user_id % 23 = 7 AND NOT (event_type = 'error' AND user_id % 4 = 1)) OR user_id % 23 = 11""")
 def i5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored bodies that hold a sample at some depth."""
+    """Stored bodies that hold a sample at some depth, also under an escaped name or in a torn body. A value that reads
+    like a field, and a longer name that ends like one, are none."""
     body = F.expr(
         "CASE WHEN user_id % 23 = 5 THEN concat('{\"kind\":\"quality_report\",\"checks\":[{\"check_id\":\"c\",\"sample_failures\":[', props, ']}]}')"
         " WHEN event_type = 'error' AND user_id % 4 = 1 THEN concat('{\"kind\":\"x\",\"payload\" : ', props, '}')"
+        " WHEN user_id % 23 = 7 THEN concat('{\"a\":[1,{\"b\":{\"', r'\\u0070ay\\u006coad', '\":', user_id, '}}]}')"
+        " WHEN user_id % 23 = 11 THEN concat('{\"row\": ', user_id, ', \"torn')"
+        " WHEN user_id % 23 = 13 THEN concat('{\"note\":\"\\\\\"payload\\\\\": 1\",\"my payload\":1,\"no_row\":', user_id, '}')"
         " ELSE concat('{\"kind\":\"', event_type, '\",\"note\":\"no payload here\",\"n_rows\":', user_id, '}') END")
     bodies = views.base(spark, sf_dir, "events").select("event_id", body.alias("body"))
     return lineage.privacy_findings(bodies).select("event_id")
