@@ -177,24 +177,31 @@ def chain_problems(events: DataFrame) -> DataFrame:
 
 
 def walk_runs(events: DataFrame) -> DataFrame:
-    """(root_id, event_id, kind, depth): every event reached from its run's report.
+    """(root_id, quality_run_id, event_id, kind, depth): every event reached from its run's report, by every path.
 
-    A chain has at most seven stages, so the walk is six self-joins. Each level is stored, so
-    that the next one starts from it instead of repeating all earlier joins.
+    Ancestors are found by doubling: a link to the predecessor joined with itself gives links to the second, those joined
+    with all so far give the third and fourth, and so on, so a chain of ``CHAIN_LENGTH`` stages takes
+    log2 of it joins. Links stay inside a run. An event whose predecessors are lost, or only lead round in a circle, reaches no
+    report. One report may be the ancestor of very many events: links know when they have reached one, and are joined no further.
     """
-    edges = events.select("event_id", "kind", "quality_run_id",
-                          F.explode("predecessor_ids").alias("previous_id"))
-    level = events.filter(F.col("kind") == "quality_report").select(
-        F.col("event_id").alias("root_id"), "quality_run_id", "event_id", "kind",
-        F.lit(0).alias("depth"))
-    reached = level
-    for depth in range(1, CHAIN_LENGTH):
-        above = level.select("root_id", "quality_run_id", F.col("event_id").alias("previous_id"))
-        found = skew_join(edges, above, ["previous_id", "quality_run_id"], "inner")
-        level = stored(found.select(
-            "root_id", "quality_run_id", "event_id", "kind", F.lit(depth).alias("depth")), f"level{depth}")
-        reached = reached.unionByName(level)
-    return reached
+    known = events.select("event_id", "kind", "quality_run_id")
+    reports = known.filter(F.col("kind") == "quality_report")
+    linked = events.select("event_id", "kind", "quality_run_id", F.explode("predecessor_ids").alias("ancestor"), F.lit(1).alias("depth"))
+    roots = reports.select(F.col("event_id").alias("ancestor"), "quality_run_id", F.lit(True).alias("top")).distinct()
+    reach = stored(skew_join(linked, roots, ["ancestor", "quality_run_id"], "left").withColumn(
+        "top", F.coalesce("top", F.lit(False))), "links1")
+    far = 1
+    while far < CHAIN_LENGTH - 1:
+        onward = reach.filter(F.col("depth") == far).select(
+            F.col("event_id").alias("ancestor"), "quality_run_id", F.col("ancestor").alias("beyond"), F.col("top").alias("beyond_top"))
+        farther = reach.filter(~F.col("top")).join(onward, ["ancestor", "quality_run_id"]).select(
+            "event_id", "kind", "quality_run_id", F.col("beyond").alias("ancestor"), (F.col("depth") + far).alias("depth"),
+            F.col("beyond_top").alias("top"))
+        far *= 2
+        reach = stored(reach.unionByName(farther), f"links{far}")
+    found = reach.filter(F.col("top") & (F.col("depth") < CHAIN_LENGTH))
+    return reports.select(F.col("event_id").alias("root_id"), "quality_run_id", "event_id", "kind", F.lit(0).alias("depth")).unionByName(
+        found.select(F.col("ancestor").alias("root_id"), "quality_run_id", "event_id", "kind", "depth"))
 
 
 def ordered_run(events: DataFrame, run_id: str) -> DataFrame:
