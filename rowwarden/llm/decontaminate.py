@@ -173,7 +173,10 @@ def _clean(probe):
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns unchanged."""
+    """The rows of ``docs`` that contain no item, with all their columns unchanged.
+
+    Null and empty texts contain nothing and stay; repeated rows stay or go alike; ids are not looked at, and columns may have
+    any names. Without items, or without documents, ``docs`` comes back as it is."""
     for block in _blocks(items):
         probe = docs.sparkSession.sparkContext.broadcast(sketches(block))
         docs = docs.mapInArrow(_clean(probe), docs.schema)
