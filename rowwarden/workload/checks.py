@@ -24,7 +24,6 @@ from rowwarden.sources import warehouse
 from rowwarden.workload import views
 from rowwarden.workload.base import query
 from rowwarden.workload.views import with_views
-from rowwarden.session import config_frame
 
 DAY = "%Y-%m-%d"
 REG = views.registry()
