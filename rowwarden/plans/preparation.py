@@ -39,9 +39,8 @@ def prepare_reviews(
         "report_id", short_id(F.lit("report"), F.col("run_id").cast("string"))))
     roots = reports.select(F.col("quality_run_id").alias("run_id"), F.col("event_id").alias("previous_id"))
     keyed = proposals.select("proposal_id", F.col("run_id").cast("string").alias("run_id"))
-    candidates = skew_join(
-        keyed.join(compiler.candidate_fingerprints(actions), "proposal_id", "left"),
-        roots, ["run_id"], "inner", hot_rows=hot_rows)
+    candidates = skew_join(keyed, roots, ["run_id"], "inner", hot_rows=hot_rows).join(
+        compiler.candidate_fingerprints(actions), "proposal_id", "left")
     proposed = stored(lineage.candidate_events(candidates), "candidate_events")
     items = stored(compiler.compile_items(
         proposals, actions, results, targets, registry, spark, hot_rows), "items")
