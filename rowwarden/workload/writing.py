@@ -16,6 +16,7 @@ from rowwarden import quality
 from rowwarden.functions.fingerprint import row_hash, set_digest
 from rowwarden.operators import filesets, lineage, proposals, scoring, suite
 from rowwarden.operators import remediation as fix
+from rowwarden.operators.joins import by_id
 from rowwarden.plans import compiler, review
 from rowwarden.session import checkpoint_dir, config_frame
 from rowwarden.sources.sinks import LOG_FIELDS, Store
@@ -233,6 +234,6 @@ def g7_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = review.approval_reviews(plans, judged, review.review_items(items, governance.REG, spark))
     texts = review.shadow_reviews(reviews, plans, items, governance.REG)
     count = lambda pattern: F.regexp_count("body", F.lit(pattern)).cast("bigint")
-    return texts.join(plans.select("plan_id", "proposal_id"), "plan_id").select(
+    return by_id(texts, plans.select("plan_id", "proposal_id"), "plan_id").select(
         "proposal_id", count("(?m)^Table: warehouse").alias("n_entries"), count("(?m)^Risk: unavailable").alias("n_blocked"),
         F.regexp_extract("body", r"(?m)^(Next: [^.]*\.)", 1).alias("next"))
