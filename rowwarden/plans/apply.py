@@ -1,7 +1,7 @@
 """Apply admitted plans: copy their exact target rows, then commit once.
 
-Order of an apply: verify the stored artifacts, write the copies of all items of all plans with one
-job per table, compare what was written with the admitted target sets, and make the log entries of
+Order of an apply: verify the stored artifacts, write the target rows of all plans with one job per
+table and which items own them, compare what was written with the admitted target sets, and make the log entries of
 those that agree visible by one manifest. Until then none of the copies is visible, and no two
 attempts write the same files. Source tables are only read.
 """
@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowwarden.contracts import ACTIONS
 from rowwarden.contracts import ACTIONS
 from rowwarden.functions.fingerprint import empty_set_digest, row_hash, set_digest, struct_digest
-from rowwarden.operators.joins import fits_broadcast, skew_join
+from rowwarden.operators.joins import by_id, fits_broadcast, skew_join
 from rowwarden.operators.lineage import apply_events
 from rowwarden.operators.remediation import (
     filled_rows,
+    label_of,
     quarantine_copies,
     readable,
     recheck,
@@ -40,7 +40,7 @@ from rowwarden.plans.admission import (
 from rowwarden.plans.compiler import policy_drift
 from rowwarden.registry import Registry
 from rowwarden.session import config_frame, stored
-from rowwarden.sources.sinks import Store
+from rowwarden.sources.sinks import COPY_TABLES, Store
 
 FILLED = "filled_by_apply"  # marks the rows a fill changed
 # Refusal and problem texts of this module.
@@ -171,9 +171,7 @@ def _headers(art: Artifacts, wanted: DataFrame, registry: Registry) -> tuple[Dat
     """(plan_id, header fields, plan_problem) of the wanted plans, with their plan rows and evaluations. All
     artifacts are cut down to these plans first."""
     spark = wanted.sparkSession
-    plans = art.plans.join(wanted, "plan_id", "left_semi")
-    items = art.items.join(wanted, "plan_id", "left_semi")
-    judged = art.evaluations.join(wanted, "plan_id", "left_semi")
+    plans, items, judged = (by_id(frame, wanted, "plan_id", "left_semi") for frame in (art.plans, art.items, art.evaluations))
     runs = plans.select("run_id").distinct()
     results, reports = (frame.join(runs, "run_id", "left_semi") for frame in (art.results, art.reports))
     drift = policy_drift(items, registry).groupBy("plan_id").agg(F.bool_or("drifted").alias("drifted"))
@@ -182,10 +180,9 @@ def _headers(art: Artifacts, wanted: DataFrame, registry: Registry) -> tuple[Dat
                               F.col("plan_fingerprint").alias("eval_plan_fp"))
     head = plans.select("plan_id", F.col("run_id").alias("quality_run_id"), "run_id", "plan_fingerprint", "policy_fingerprint",
                         "environment_id", "blocked")
-    joined = (
-        wanted.join(skew_join(head, report_integrity(reports, results), ["run_id"], "left").drop("run_id"), "plan_id", "left")
-        .join(evaluated, "plan_id", "left").join(plan_integrity(plans, items), "plan_id", "left")
-        .join(evaluation_integrity(judged), "plan_id", "left").join(drift, "plan_id", "left").join(problems, "plan_id", "left"))
+    joined = by_id(wanted, skew_join(head, report_integrity(reports, results), ["run_id"], "left").drop("run_id"), "plan_id", "left")
+    for facts in (evaluated, plan_integrity(plans, items), evaluation_integrity(judged), drift, problems):
+        joined = by_id(joined, facts, "plan_id", "left")
     no = lambda flag: ~F.coalesce(F.col(flag), F.lit(False))
     # fixed values: the texts, in the order the rules are looked at
     problem = _first([
@@ -206,9 +203,9 @@ def _headers(art: Artifacts, wanted: DataFrame, registry: Registry) -> tuple[Dat
 def _executable(art: Artifacts, wanted: DataFrame) -> DataFrame:
     """Executable items of the wanted plans, with the columns of ``wanted``."""
     first = F.try_element_at("evidence", F.lit(1))["check_id"]
-    return art.items.filter(F.col("kind") == "executable").select(
+    return by_id(art.items.filter(F.col("kind") == "executable").select(
         "plan_id", "item_id", "ordinal", "action_id", "table", first.alias("check_id"), "target_count",
-        "target_fingerprint").join(wanted, "plan_id")
+        "target_fingerprint"), wanted, "plan_id")
 
 
 def _steps(rowcount: Column) -> Column:
@@ -233,28 +230,28 @@ def _evidence(rows: DataFrame, run_id: str, dry: bool, outcome: str, reasons: li
     full = full.withColumn("apply_result_id", F.substring(
         F.sha2(F.concat_ws("|", "result_fingerprint", "run_id", F.lit(outcome)), 256), 1, 32))
     events = apply_events(full.withColumn("run_id", F.col("quality_run_id")), outcome)
-    return full.join(events.select("plan_id", "apply_result_id", "event_id"), ["plan_id", "apply_result_id"]), events
+    return by_id(full, events.select("plan_id", "apply_result_id", "event_id"), ["plan_id", "apply_result_id"]), events
 
 
 def _staged(art_items: DataFrame, registry: Registry, frames: Mapping[str, DataFrame], store: Store, run_id: str,
             attempt: str, clock: Callable[[], datetime]) -> DataFrame:
-    """Write the copies of all items, one job per table and one per fill, and sum up what was written:
-    (admission_id, item_id, written, written_fingerprint)."""
+    """Write the target rows of all policies, one job per table and one per fill, and who owns them, and sum up what was
+    written: (admission_id, item_id, written, written_fingerprint). Rows that many items copy are written once."""
     policies = [tuple(row) for row in art_items.select("check_id", "action_id").distinct().collect()]  # declared policies
     by_table: dict[str, list[tuple[str, str]]] = {}
     for check_id, action_id in policies:
         if ACTIONS[action_id].mutates and readable(registry, frames, check_id, action_id):
             by_table.setdefault(registry.check(check_id).table, []).append((check_id, action_id))
     owners = art_items.select("check_id", "action_id", "admission_id", "item_id")
-    label = F.concat_ws("|", "label_table", "action_id")
-    parts = []
-    copied = False
+    named = "admission_id string, item_id string, written bigint, written_fingerprint string"
+    parts = [config_frame(store.spark, [], named)]
+    labels = []
     for table, mine in by_table.items():
         copies = [p for p in mine if p[1] != "null_fill"]
         if copies:
-            found = owned_copies(quarantine_copies(registry, frames, table, copies, run_id), owners)
-            store.stage_copies(found, attempt, clock())
-            copied = True
+            found = quarantine_copies(registry, frames, table, copies, run_id)
+            store.stage_sets(found.withColumn("set_id", set_id()), attempt, clock())
+            labels += [(check_id, action_id, label_of(table, action_id)) for check_id, action_id in copies]
         for check_id, action_id in (p for p in mine if p[1] == "null_fill"):
             filled = filled_rows(registry, check_id, frames, mark=FILLED).select(
                 "*", F.lit(check_id).alias("fill_check"), F.lit(action_id).alias("fill_action"))
@@ -262,20 +259,26 @@ def _staged(art_items: DataFrame, registry: Registry, frames: Mapping[str, DataF
             staged = store.stage_filled(filled.join(F.broadcast(owner) if fits_broadcast(owner) else owner, ["fill_check", "fill_action"]).drop(
                 "fill_check", "fill_action"), table, attempt)
             parts.append(staged.filter(FILLED).select(
-                "admission_id", "item_id", F.lit(table).alias("label_table"), F.lit(action_id).alias("action_id"),
-                row_hash(F.col(registry.contract(table).single_key)).alias("pk_hash")))
-    if copied:
-        named = art_items.select("admission_id", "item_id", F.col("table").alias("label_table"), "action_id")
-        written = store.staged_copies(attempt).select("admission_id", "item_id", "pk_hash")
-        parts.append(written.join(named, ["admission_id", "item_id"]).select("admission_id", "item_id", "label_table", "action_id", "pk_hash"))
-    empty = config_frame(store.spark, [], "admission_id string, item_id string, label_table string, action_id string, pk_hash string")
-    return reduce(DataFrame.unionByName, parts, empty).withColumn("label", label).groupBy("admission_id", "item_id", "label").agg(
-        F.count(F.lit(1)).alias("written"), set_digest("pk_hash", column="label").alias("written_fingerprint")).drop("label")
+                "admission_id", "item_id", F.lit(label_of(table, action_id)).alias("label"),
+                row_hash(F.col(registry.contract(table).single_key)).alias("pk_hash")).groupBy(
+                "admission_id", "item_id", "label").agg(*_written()).drop("label"))
+    if labels:
+        declared = F.broadcast(config_frame(store.spark, labels, "check_id string, action_id string, label string").withColumn("set_id", set_id()))
+        bound = owners.join(declared, ["check_id", "action_id"]).select("set_id", "admission_id", "item_id")
+        store.stage_owners(bound, attempt)
+        # one row per declared policy
+        sums = store.staged_sets(attempt).join(declared, "set_id").groupBy("set_id", "label").agg(*_written()).drop("label")
+        parts.append(bound.join(F.broadcast(sums), "set_id").drop("set_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _written() -> tuple[Column, Column]:
+    return F.count(F.lit(1)).alias("written"), set_digest("pk_hash", column="label").alias("written_fingerprint")
 
 
-def owned_copies(copies: DataFrame, owners: DataFrame) -> DataFrame:
-    """Every copy once for each item that asks for its policy. Items are few unless very many plans are applied at once."""
-    return copies.join(F.broadcast(owners) if fits_broadcast(owners) else owners, ["check_id", "action_id"])
+def set_id() -> Column:
+    """The set of target rows that one declared policy copies."""
+    return F.concat_ws("|", "check_id", "action_id")
 
 
 def dry_run_plans(art: Artifacts, plan_ids: DataFrame, registry: Registry, frames: Mapping[str, DataFrame],
@@ -290,7 +293,7 @@ def dry_run_plans(art: Artifacts, plan_ids: DataFrame, registry: Registry, frame
     checked = recheck(planned, target_sets(registry, frames, store.spark, policies)).groupBy("plan_id").agg(
         F.bool_and("unchanged").alias("unchanged"))
     steps = items.groupBy("plan_id").agg(_steps(F.lit(None)).alias("steps"))
-    judged = heads.join(checked, "plan_id", "left").join(steps, "plan_id", "left").withColumn(
+    judged = by_id(by_id(heads, checked, "plan_id", "left"), steps, "plan_id", "left").withColumn(
         "problem", F.coalesce("plan_problem", F.when(~F.coalesce("unchanged", F.lit(True)), CHANGED))).withColumn(
         "steps", F.coalesce("steps", F.array().cast(STEP_TYPE)))
     judged = stored(judged, "dry_judged")
@@ -333,7 +336,7 @@ def apply_plans(
         (~F.col("granted_policy").eqNullSafe(F.col("policy_fingerprint")), "policy snapshot drifted after admission"),
         (other_environment(environment_id, F.col("environment_id"), F.col("granted_environment")),
          "apply connection is a different warehouse/environment")]))
-    checked = stored(heads.join(granted, "plan_id").join(bound, "admission_id", "left").withColumn("problem", problem), "apply_headers")
+    checked = stored(by_id(by_id(heads, granted, "plan_id"), bound, "admission_id", "left").withColumn("problem", problem), "apply_headers")
 
     fine = checked.filter("problem is null")
     items = stored(_executable(art, fine.select("plan_id", "admission_id")), "apply_items")
@@ -376,7 +379,7 @@ def apply_plans(
         F.coalesce("target_fingerprint", empty_set_digest("targets")).alias("target_fingerprint"), "rowcount", "applied_at", "event_id",
         "apply_result_id", "result_fingerprint", "admission_fingerprint", "steps", F.lit(attempt).alias("attempt"), "expires_at"), "entries")
     filled = [f"filled/{row['table']}" for row in items.filter("action_id = 'null_fill'").select("table").distinct().collect()]
-    files = store.files_of(attempt, "quarantine", *filled)
+    files = store.files_of(attempt, *COPY_TABLES, *filled)
     last = clock()
     committed = store.append_log(entries.filter(~out_of_time(last)).drop("expires_at"), files)
     store.append_events(events.join(committed.select("apply_result_id"), "apply_result_id", "left_semi"), now)

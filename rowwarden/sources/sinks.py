@@ -37,6 +37,10 @@ EVENT_SCHEMA = ", ".join(
 QUARANTINE_SCHEMA = (
     "run_id string, table_name string, pk_json string, reason string, payload string,"
     " quarantined_at timestamp, pk_hash string, admission_id string, item_id string, attempt string")
+# Target rows that many items share are stored once, as a set; an owner is an item that copied a set.
+SET_SCHEMA = QUARANTINE_SCHEMA.replace("admission_id string, item_id string", "set_id string")
+OWNER_SCHEMA = "set_id string, admission_id string, item_id string, attempt string"
+COPY_TABLES = ("quarantine", "quarantine_sets", "quarantine_owners")
 CHECK_RUN_SCHEMA = (
     "run_id string, report_id string, check_id string, contract_id string, status string,"
     " n_failed bigint, n_total bigint, recorded_at timestamp, run_bucket int")
@@ -117,17 +121,48 @@ class Store:
         The written files are the pinned target sets: they are checked and committed as they are, without
         reading the source again. Attempts do not share files, so rivals cannot replace each other's.
         """
-        rows = copies.withColumn("quarantined_at", F.lit(at).cast("timestamp")).withColumn("attempt", F.lit(attempt))
-        names = [field.name for field in T.StructType.fromDDL(QUARANTINE_SCHEMA)]
-        rows.select(names).write.mode("append").partitionBy("attempt").parquet(self.path("quarantine"))
+        self._stage(copies.withColumn("quarantined_at", F.lit(at).cast("timestamp")), attempt, "quarantine", QUARANTINE_SCHEMA)
         return self.staged_copies(attempt)
 
+    def stage_sets(self, copies: DataFrame, attempt: str, at) -> None:
+        """Write target rows (with set_id) once for all items that copy them: what an apply of many plans writes
+        grows with the targets, not with targets times plans."""
+        self._stage(copies.withColumn("quarantined_at", F.lit(at).cast("timestamp")), attempt, "quarantine_sets", SET_SCHEMA)
+
+    def stage_owners(self, owners: DataFrame, attempt: str) -> None:
+        """Write which items (admission_id, item_id) copied which sets (set_id) of an attempt."""
+        self._stage(owners, attempt, "quarantine_owners", OWNER_SCHEMA)
+
+    def _stage(self, rows: DataFrame, attempt: str, name: str, schema: str) -> None:
+        names = [field.name for field in T.StructType.fromDDL(schema)]
+        rows.withColumn("attempt", F.lit(attempt)).select(names).write.mode("append").partitionBy("attempt").parquet(self.path(name))
+
+    def staged_sets(self, attempt: str) -> DataFrame:
+        return self.read("quarantine_sets", SET_SCHEMA).filter(F.col("attempt") == attempt)
+
     def staged_copies(self, attempt: str) -> DataFrame:
-        return self.read("quarantine", QUARANTINE_SCHEMA).filter(F.col("attempt") == attempt)
+        mine = F.col("attempt") == attempt
+        return self._copies(self.read("quarantine", QUARANTINE_SCHEMA).filter(mine), self.read("quarantine_owners", OWNER_SCHEMA).filter(mine))
 
     def quarantine(self) -> DataFrame:
-        """Committed copies only; what an attempt without a log entry staged is not visible."""
-        return self._committed(self.read("quarantine", QUARANTINE_SCHEMA)).drop("attempt")
+        """Committed copies only; what an attempt without a log entry staged is not visible. A row of a shared set
+        stands here once for each item that copied it; ``copies_by_item`` sums up without that."""
+        own, owners = (self._committed(self.read(name, schema)) for name, schema in (
+            ("quarantine", QUARANTINE_SCHEMA), ("quarantine_owners", OWNER_SCHEMA)))
+        return self._copies(own, owners).drop("attempt")
+
+    def _copies(self, own: DataFrame, owners: DataFrame) -> DataFrame:
+        shared = self.read("quarantine_sets", SET_SCHEMA).join(owners, ["attempt", "set_id"])
+        return own.unionByName(shared.select(own.columns))
+
+    def copies_by_item(self, *aggregates: Column) -> DataFrame:
+        """(admission_id, item_id, aggregates) over the committed copies of each item. A shared set is summed up once
+        and its sums are handed to every item that copied it."""
+        own, owners = (self._committed(self.read(name, schema)) for name, schema in (
+            ("quarantine", QUARANTINE_SCHEMA), ("quarantine_owners", OWNER_SCHEMA)))
+        sums = self.read("quarantine_sets", SET_SCHEMA).groupBy("attempt", "set_id").agg(*aggregates)
+        return own.groupBy("admission_id", "item_id").agg(*aggregates).unionByName(
+            owners.join(sums, ["attempt", "set_id"]).drop("attempt", "set_id"))
 
     def stage_filled(self, filled: DataFrame, table: str, attempt: str) -> DataFrame:
         """Write an attempt's filled rows (with admission_id) and return what was written."""

@@ -13,6 +13,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rowwarden.operators.joins import by_id
 from rowwarden.plans import admission, apply
 from rowwarden.session import stored
 from rowwarden.sources.sinks import Store
@@ -64,7 +65,7 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> apply.Artifacts:
 def _admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The admission of one plan per run; some end before ``NOW``."""
     checked, art = governance._refusals(spark, sf_dir)
-    granted = admission.admit(checked).join(art["plans"].select("plan_id", "proposal_id"), "plan_id")
+    granted = by_id(admission.admit(checked), art["plans"].select("plan_id", "proposal_id"), "plan_id")
     first = Window.partitionBy("run_id").orderBy("proposal_id")  # plans of one run
     chosen = granted.withColumn("place", F.row_number().over(first)).filter("place = 1")
     ends = F.when(F.col("run_id") % OVER == 3, F.lit(NOW).cast("timestamp")).otherwise(F.col("expires_at"))
@@ -96,7 +97,7 @@ def h1_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, art = fresh_store(spark), _artifacts(spark, sf_dir)
     found = apply.dry_run_plans(art, art.plans.select("plan_id"), REG, _changed(spark, sf_dir), store, "dry", NOW)
     told = store.events().filter("kind = 'dry_run'").select("event_id", F.lit(True).alias("told"))
-    rows = found.join(told, "event_id", "left").join(art.plans.select("plan_id", "proposal_id"), "plan_id")
+    rows = by_id(by_id(found, told, "event_id", "left"), art.plans.select("plan_id", "proposal_id"), "plan_id")
     estimated = F.aggregate("steps", F.lit(0).cast("long"), lambda total, step: total + step["estimated_rows"])
     return rows.select("proposal_id", "problem", F.when(F.col("problem").isNull(), estimated).alias("estimated"),
                        F.coalesce("told", F.lit(False)).alias("told"))
@@ -113,7 +114,7 @@ def h2_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, admissions, first, second = applied(spark, sf_dir)
     items = governance.artifacts(spark, sf_dir)["items"].filter("kind = 'executable'").select("plan_id", "item_id", F.col("action_id").alias("reason"))
     key = F.regexp_extract("pk_json", r":(\d+)", 1).cast("long")
-    copies = store.quarantine().groupBy("admission_id", "item_id").agg(F.count(F.lit(1)).alias("n_copies"), F.sum(key).alias("key_sum"))
+    copies = store.copies_by_item(F.count(F.lit(1)).alias("n_copies"), F.sum(key).alias("key_sum"))
     outcome = lambda rows, name: rows.select(
         "plan_id", F.col("outcome").alias(f"{name}_outcome"), F.col("problem").alias(f"{name}_problem"))
     rows = admissions.select("plan_id", "admission_id", "proposal_id").join(outcome(first, "first"), "plan_id").join(
