@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -39,7 +39,7 @@ from rowwarden.plans.admission import (
 )
 from rowwarden.plans.compiler import policy_drift
 from rowwarden.registry import Registry
-from rowwarden.session import config_frame, stored
+from rowwarden.session import config_frame, forget, packed, stored
 from rowwarden.sources.sinks import COPY_TABLES, Store
 
 FILLED = "filled_by_apply"  # marks the rows a fill changed
@@ -200,6 +200,14 @@ def _headers(art: Artifacts, wanted: DataFrame, registry: Registry) -> tuple[Dat
         "evaluation_fingerprint", problem.alias("plan_problem")), plans, judged
 
 
+def _admitted(art: Artifacts, wanted: DataFrame) -> Artifacts:
+    """Plans, items and evaluations of the wanted plans. Admitted plans are few among those compiled, and every later step
+    would shuffle all of them to find its own; stored, each is shuffled whole once."""
+    kept = {name: packed(by_id(getattr(art, name), wanted, "plan_id", "left_semi"), f"admitted_{name}")
+            for name in ("plans", "items", "evaluations")}
+    return replace(art, **kept)
+
+
 def _executable(art: Artifacts, wanted: DataFrame) -> DataFrame:
     """Executable items of the wanted plans, with the columns of ``wanted``."""
     first = F.try_element_at("evidence", F.lit(1))["check_id"]
@@ -327,6 +335,7 @@ def apply_plans(
     leaves an ``apply_failed`` event."""
     clock = clock or (lambda: datetime.now(timezone.utc))
     mine = admissions.dropDuplicates(["plan_id"])
+    art = _admitted(art, mine.select("plan_id"))
     heads, plans, judged = _headers(art, mine.select("plan_id"), registry)
     granted = mine.select(
         "plan_id", "admission_id", "decision_id", "decision_event_id", "expires_at", F.col("fingerprint").alias("admission_fingerprint"),
@@ -336,29 +345,30 @@ def apply_plans(
         (~F.col("granted_policy").eqNullSafe(F.col("policy_fingerprint")), "policy snapshot drifted after admission"),
         (other_environment(environment_id, F.col("environment_id"), F.col("granted_environment")),
          "apply connection is a different warehouse/environment")]))
-    checked = stored(by_id(by_id(heads, granted, "plan_id"), bound, "admission_id", "left").withColumn("problem", problem), "apply_headers")
+    checked = packed(by_id(by_id(heads, granted, "plan_id"), bound, "admission_id", "left").withColumn("problem", problem), "apply_headers")
 
     fine = checked.filter("problem is null")
-    items = stored(_executable(art, fine.select("plan_id", "admission_id")), "apply_items")
+    items = packed(_executable(art, fine.select("plan_id", "admission_id")), "apply_items")
+    forget(art.plans, art.items, art.evaluations)
     shape = items.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "action_id", "table"))), lambda s: F.struct(
         s["action_id"].alias("action_id"), s["table"].alias("table"))).alias("steps"))
     asked = fine.join(shape, "plan_id", "left").select(
         "admission_id", "plan_id", "quality_run_id", "plan_fingerprint", "admission_fingerprint",
         F.coalesce("steps", F.array().cast("array<struct<action_id:string,table:string>>")).alias("steps"))
-    known = stored(recover(asked, store.apply_log()), "recovered")
+    known = packed(recover(asked, store.apply_log()), "recovered")
     recovered = _recovered(known, checked, store)
     open_ = fine.join(known.select("admission_id"), "admission_id", "left_anti")
     out_of_time = lambda now: expired(F.lit(now).cast("timestamp"), F.col("expires_at"))
     start = clock()
     late = open_.filter(out_of_time(start)).withColumn("problem", F.lit(EXPIRED))
-    open_ = stored(open_.filter(~out_of_time(start)), "open")
+    open_ = packed(open_.filter(~out_of_time(start)), "open")
     done = [_outcomes(checked.filter("problem is not null").withColumn("outcome", F.lit("refused"))),
             _outcomes(late.withColumn("outcome", F.lit("refused"))), recovered]
     if open_.isEmpty():
-        return stored(reduce(DataFrame.unionByName, done), "outcomes")
+        return packed(reduce(DataFrame.unionByName, done), "outcomes")
 
     attempt = uuid.uuid4().hex
-    items = stored(items.join(open_.select("plan_id"), "plan_id", "left_semi"), "open_items")
+    items = packed(items.join(open_.select("plan_id"), "plan_id", "left_semi"), "open_items")
     none = F.array().cast(STEP_TYPE)
     try:
         written = _staged(items, registry, frames, store, run_id, attempt, clock)
@@ -366,14 +376,14 @@ def apply_plans(
             "same", (F.col("rowcount") == F.col("target_count")) & (F.col("target_fingerprint") == F.coalesce(
                 "written_fingerprint", empty_set_digest(column="concat(`table`, '|', action_id)"))))
         per_plan = _per_plan(compared)
-        tried = stored(open_.join(per_plan, "plan_id", "left").withColumn("steps", F.coalesce("steps", none)), "tried")
+        tried = packed(open_.join(per_plan, "plan_id", "left").withColumn("steps", F.coalesce("steps", none)), "tried")
     except Exception:
         _fail(open_.withColumn("steps", none), store, run_id, clock())
         raise
     now = clock()
     agreed = F.coalesce("same", F.lit(True)) & ~out_of_time(now)
     rows, events = _evidence(tried.filter(agreed), run_id, False, "apply_succeeded", [], now)
-    entries = stored(rows.select(
+    entries = packed(rows.select(
         "run_id", F.lit("whole_plan").alias("action_id"), F.lit("multiple").alias("table_name"), "plan_id", "admission_id",
         F.lit("whole-plan").alias("item_id"), F.coalesce("target_count", F.lit(0)).alias("target_count"),
         F.coalesce("target_fingerprint", empty_set_digest("targets")).alias("target_fingerprint"), "rowcount", "applied_at", "event_id",
@@ -383,16 +393,16 @@ def apply_plans(
     last = clock()
     committed = store.append_log(entries.filter(~out_of_time(last)).drop("expires_at"), files)
     store.append_events(events.join(committed.select("apply_result_id"), "apply_result_id", "left_semi"), now)
-    failed = stored(tried.filter(~agreed | out_of_time(last)).withColumn(
+    failed = packed(tried.filter(~agreed | out_of_time(last)).withColumn(
         "problem", F.when(F.coalesce("same", F.lit(True)), EXPIRED).otherwise(CHANGED)), "failed")
     if not failed.isEmpty():
         _fail(failed, store, run_id, last)
     done += [_outcomes(committed.withColumn("outcome", F.lit("applied"))), _outcomes(failed.withColumn("outcome", F.lit("refused")))]
     rivals = entries.filter(~out_of_time(last)).join(committed.select("admission_id"), "admission_id", "left_anti").select("admission_id")
     if not rivals.isEmpty():
-        lost = stored(recover(asked.join(rivals, "admission_id", "left_semi"), store.apply_log()), "lost")
+        lost = packed(recover(asked.join(rivals, "admission_id", "left_semi"), store.apply_log()), "lost")
         done.append(_recovered(lost, checked, store))
-    return stored(reduce(DataFrame.unionByName, done), "outcomes")
+    return packed(reduce(DataFrame.unionByName, done), "outcomes")
 
 
 def _per_plan(compared: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from rowwarden.functions.fingerprint import row_hash, set_digest
 from rowwarden.operators.lineage import EVENT_FIELDS
-from rowwarden.session import config_frame
+from rowwarden.session import config_frame, shuffles_dropped
 from rowwarden.sources.tables import ABSENT
 
 RUN_BUCKETS = 256
@@ -63,6 +63,11 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    def _append(self, rows: DataFrame, name: str, by: str) -> None:
+        """Add rows to a table, packed as ids and digests need it; no shuffle files are left behind."""
+        with shuffles_dropped(self.spark):
+            rows.write.mode("append").option("compression", "zstd").partitionBy(by).parquet(self.path(name))
+
     def read(self, name: str, schema: str | T.StructType, form: str = "parquet") -> DataFrame:
         """A stored table, or an empty one before its first write."""
         try:
@@ -101,8 +106,8 @@ class Store:
         stored = self.events().select("run_bucket", "event_id").join(
             F.broadcast(touched), "run_bucket", "left_semi")
         fresh = keyed.join(stored.select("event_id"), "event_id", "left_anti")
-        (fresh.select("event_id", *EVENT_FIELDS, "fingerprint", "occurred_at", "run_bucket")
-         .repartition("run_bucket").write.mode("append").partitionBy("run_bucket").parquet(self.path("audit_events")))
+        self._append(fresh.select("event_id", *EVENT_FIELDS, "fingerprint", "occurred_at", "run_bucket").repartition("run_bucket"),
+                     "audit_events", "run_bucket")
 
     def events(self) -> DataFrame:
         return self.read("audit_events", EVENT_SCHEMA)
@@ -135,7 +140,7 @@ class Store:
 
     def _stage(self, rows: DataFrame, attempt: str, name: str, schema: str) -> None:
         names = [field.name for field in T.StructType.fromDDL(schema)]
-        rows.withColumn("attempt", F.lit(attempt)).select(names).write.mode("append").partitionBy("attempt").parquet(self.path(name))
+        self._append(rows.withColumn("attempt", F.lit(attempt)).select(names), name, "attempt")
 
     def staged_sets(self, attempt: str) -> DataFrame:
         return self.read("quarantine_sets", SET_SCHEMA).filter(F.col("attempt") == attempt)
@@ -207,7 +212,7 @@ class Store:
             part = uuid.uuid4().hex
             fresh = todo.join(taken, "admission_id", "left_anti").select(
                 *[field.name for field in T.StructType.fromDDL(LOG_FIELDS)], F.lit(part).alias("part"))
-            fresh.write.mode("append").partitionBy("part").parquet(self.path("apply_log/rows"))
+            self._append(fresh, "apply_log/rows", "part")
             todo = self.read("apply_log/rows", f"{LOG_FIELDS}, part string").filter(F.col("part") == part).drop("part")
             counted = todo.agg(F.count(F.lit(1)).alias("n_entries")).head()
             if not counted.n_entries:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rowwarden.operators.joins import by_id
 from rowwarden.plans import admission, apply
-from rowwarden.session import stored
+from rowwarden.session import packed
 from rowwarden.sources.sinks import Store
 from rowwarden.workload import corpus, governance
 from rowwarden.workload.base import query
@@ -76,7 +76,7 @@ def _admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def applied(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame, DataFrame, DataFrame]:
     """A store after two applies, its admissions, and the outcomes of both."""
     store, art = fresh_store(spark), _artifacts(spark, sf_dir)
-    admissions = stored(_admissions(spark, sf_dir), "admissions")
+    admissions = packed(_admissions(spark, sf_dir), "admissions")
     outcomes = [apply.apply_plans(art, admissions, REG, frames, store, f"apply-{n}", ENV, lambda: NOW)
                 for n, frames in enumerate((_changed(spark, sf_dir), corpus.frames(spark, sf_dir)), start=1)]
     return store, admissions, *outcomes
